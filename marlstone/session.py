@@ -36,12 +36,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: cuts the lineage,
     fixes row placement, and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/marlstone-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
