@@ -7,12 +7,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, neardup, packing, quality, secrets, sharding, tokenstore
+from . import chat, decontaminate, neardup, packing, quality, repeats, secrets, sharding, tokenstore
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, sf_dir))
+
+
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
