@@ -157,16 +157,37 @@ def digest(items) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row for each row of docs(doc_id, text): see RESULT."""
-    spark = docs.sparkSession
+def blocks_of(benchmark: DataFrame, window: int, gram: int, block_bytes: int):
+    """Broadcast indexes of the items, each made of about block_bytes of text at most."""
+    spark = benchmark.sparkSession
     C.ship(spark)
     items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-int(size) // block_bytes))
+    for b in range(blocks):
+        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
+        yield spark.sparkContext.broadcast(Index([tuple(r) for r in own.collect()], window, gram))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs in which no item window occurs, as they are. Blocks of items filter one after the other."""
+    at = docs.columns.index("text")
+    for index in blocks_of(benchmark, window, gram, block_bytes):
+
+        def keep(batches, index=index):
+            for batch in batches:
+                yield batch.filter(pa.array([f[1] == 0 for f in scan(index.value, C.as_texts(batch.column(at)))], pa.bool_()))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row for each row of docs(doc_id, text): see RESULT."""
+    indexes = list(blocks_of(benchmark, window, gram, block_bytes))
     docs = docs.select("doc_id", "text")
-    if blocks == 1:
-        index = spark.sparkContext.broadcast(Index([tuple(r) for r in items.collect()], window, gram))
+    if len(indexes) == 1:
+        index = indexes[0]
 
         def one(batches):
             for batch in batches:
@@ -182,9 +203,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
 
     docs = docs.withColumn("row_key", F.monotonically_increasing_id())
     parts = []
-    for b in range(blocks):
-        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        index = spark.sparkContext.broadcast(Index([tuple(r) for r in own.collect()], window, gram))
+    for index in indexes:
 
         def part(batches, index=index):
             for batch in batches:
