@@ -15,10 +15,14 @@ components of all links. Steps:
 3. In each table's group the class that shares the most sub-keys with others is the hub;
    each member is compared with the hub, not with the other members.
 4. Comparison is exact, on the full sets; verified links are joined into components.
-5. Groups that are still in several components are compared further: each member outside
-   the group's largest component with all members of other components (a pair in the
-   first table that it shares only). So no link is lost for want of a hub, while members
-   of one component are never paired.
+5. A member that is in another component than its hub is compared with the hub's other
+   members too, so that no link is lost for want of a hub. Each is held as its difference
+   from the hub: shingles added and shingles missing. If less than SIMILAR_PERCENT of the
+   member's shingles are the hub's, then any text similar to it must share some of its
+   added shingles, and one of any fifth (and one more) of them: those are looked up among
+   the others' added shingles. If not, its overlap with all is counted. Comparison is
+   exact from the differences. Only links leave the task, not pairs. A hub's members are
+   dealt over tasks in chunks, to each of which its open members are sent.
 
 The hash of a shingle has 64 bits, the fingerprint of a set 128. Classes are identified
 by their fingerprint; a component by the smallest doc_id in it.
@@ -35,7 +39,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -45,9 +49,8 @@ SHINGLE = 4
 SIMILAR_PERCENT = 80
 SUBKEYS = 12
 ROWS = 2
-#: Pairs of step 5 are compared exactly only if at least this share of their minima agree; at similarity 0.8 fewer agree once in 1e5.
-LEAST_AGREEING = 0.5
-SIGNED = "doc_id long, n_shingles long, class binary, subkeys array<long>, minima binary"
+CHUNK = 20_000
+SIGNED = "doc_id long, n_shingles long, class binary, subkeys array<long>"
 
 
 def word_table() -> np.ndarray:
@@ -115,7 +118,6 @@ def signatures(docs: DataFrame, size: int, subkeys: int, rows: int) -> DataFrame
                 full = [k for k, s in enumerate(sets) if len(s)]
                 names: list = [None] * len(sets)
                 keys: list = [None] * len(sets)
-                low: list = [None] * len(sets)
                 if full:
                     own = [sets[k] for k in full]
                     minima = minima_of(own, 2 * subkeys * rows)
@@ -125,27 +127,34 @@ def signatures(docs: DataFrame, size: int, subkeys: int, rows: int) -> DataFrame
                         joined = C.mix(joined * C.BASES[0] + minima.reshape(len(own), 2 * subkeys, rows)[:, :, r])
                     joined = C.mix(joined + np.arange(1, 2 * subkeys + 1, dtype=C.U64) * C.BASES[1]).view(np.int64)
                     name = fingerprints(own)
-                    bits = (minima >> C.U64(40)).astype(np.uint8)
                     for j, k in enumerate(full):
-                        names[k], keys[k], low[k] = name[j], joined[j], bits[j].tobytes()
+                        names[k], keys[k] = name[j], joined[j]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.binary())],
-                    names=["doc_id", "n_shingles", "class", "subkeys", "minima"],
+                    [ids.slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    names=["doc_id", "n_shingles", "class", "subkeys"],
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, SIGNED)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) of classes whose full sets are similar. texts: one text of each class."""
+def full_sets(wanted: DataFrame, docs: DataFrame, signed: DataFrame, size: int) -> DataFrame:
+    """The shingle set of each class in wanted(class), from the text of a document whose set it is."""
 
     def sets(batches):
         for batch in batches:
-            wanted = batch.column(0).to_pylist()
+            names = batch.column(0).to_pylist()
             found = list(shingle_sets(C.as_texts(batch.column(1)), size))
-            rows = [(c, s.tobytes()) for c, s in zip(wanted, found, strict=True) if len(s) and fingerprints([s]) == [c]]  # rows that share a doc_id may have other texts
+            rows = [(c, s.tobytes()) for c, s in zip(names, found, strict=True) if len(s) and fingerprints([s]) == [c]]  # rows that share a doc_id may have other texts
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["class", "set"])
 
+    who = signed.filter("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id")).join(wanted, "class", "left_semi")
+    texts = who.join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id").select("class", "text")
+    return materialise(texts.mapInArrow(sets, "class binary, set binary").dropDuplicates(["class"]), "sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) of classes whose full sets are similar."""
+
     def similar(batches):
         for batch in batches:
             keep = []
@@ -160,11 +169,70 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
                 keep.append(100 * common >= percent * (len(both) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    made = materialise(texts.mapInArrow(sets, "class binary, set binary").dropDuplicates(["class"]), "sets")
-    joined = pairs.join(made.select(F.col("class").alias("a"), F.col("set").alias("x")), "a").join(made.select(F.col("class").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
+    joined = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
     return joined.mapInArrow(similar, "a binary, b binary")
 
 
+def differences(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """members(class, hub, ...) with n, of the hub n_hub, and the shingles added to and missing from the hub's."""
+
+    def differ(batches):
+        for batch in batches:
+            out = []
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, C.U64), np.frombuffer(y, C.U64)
+                out.append((len(x), len(y), np.setdiff1d(x, y, assume_unique=True).tobytes(), np.setdiff1d(y, x, assume_unique=True).tobytes()))
+            types = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *[pa.array([r[k] for r in out], t) for k, t in enumerate(types)]], names=[*batch.schema.names[2:], "n", "n_hub", "added", "missing"])
+
+    joined = members.join(sets.select("class", F.col("set").alias("_x")), "class").join(sets.select(F.col("class").alias("hub"), F.col("set").alias("_y")), "hub").select("_x", "_y", *members.columns)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema)
+    return joined.mapInArrow(differ, schema + ", n long, n_hub long, added binary, missing binary")
+
+
+def links_within(table: pa.Table, percent: int) -> pa.Table:
+    """Links between a hub's open members and its members of other components, one to a component."""
+    names, roots, is_open = (table[c].to_pylist() for c in ("class", "root", "open"))
+    added = [np.frombuffer(x, C.U64) for x in table["added"].to_pylist()]
+    missing = [np.frombuffer(x, C.U64) for x in table["missing"].to_pylist()]
+    n, n_hub = table["n"].to_numpy(), table["n_hub"].to_numpy()
+    lacks = np.array([len(m) for m in missing])
+    number = {r: k for k, r in enumerate(dict.fromkeys(roots))}
+    part = np.array([number[r] for r in roots])
+
+    def inverted(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        flat = np.concatenate(lists)
+        order = np.argsort(flat, kind="stable")
+        return flat[order], np.repeat(np.arange(len(lists)), [len(x) for x in lists])[order]
+
+    (add_keys, add_who), (miss_keys, miss_who) = inverted(added), inverted(missing)
+
+    found = []
+    for i in np.flatnonzero(is_open):
+        of_hub = n_hub[i] - lacks[i]
+        lo, hi = np.searchsorted(add_keys, added[i], "left"), np.searchsorted(add_keys, added[i], "right")
+        if of_hub * 100 < percent * n[i]:
+            need = -(-percent * n[i] // 100) - of_hub  # added shingles that a similar text shares at least
+            rare = np.argsort(hi - lo, kind="stable")[: max(0, len(added[i]) - need + 1)]
+            who = np.unique(np.concatenate([add_who[lo[k] : hi[k]] for k in rare] or [np.zeros(0, np.int64)]))
+        else:
+            who = np.arange(len(names))
+        who = who[(part[who] != part[i]) & (np.minimum(n[who], n[i]) * 100 >= percent * np.maximum(n[who], n[i]))]
+        if not len(who):
+            continue
+        overlap = np.zeros(len(names), np.int64)
+        for k in range(len(lo)):
+            overlap[add_who[lo[k] : hi[k]]] += 1
+        lo, hi = np.searchsorted(miss_keys, missing[i], "left"), np.searchsorted(miss_keys, missing[i], "right")
+        for k in range(len(lo)):
+            overlap[miss_who[lo[k] : hi[k]]] += 1
+        common = n_hub[i] - lacks[i] - lacks[who] + overlap[who]
+        who = who[100 * common >= percent * (n[i] + n[who] - common)]
+        _, first = np.unique(part[who], return_index=True)
+        found += [(names[i], names[k]) for k in who[first]]
+    return pa.table({"a": pa.array([f[0] for f in found], pa.binary()), "b": pa.array([f[1] for f in found], pa.binary())})
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (a, b): node, root (the smallest node in it).
 
@@ -196,11 +264,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = SIMILAR_PERCENT, subkeys: int = SUBKEYS, rows: int = ROWS, least_agreeing: float = LEAST_AGREEING) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = SIMILAR_PERCENT, subkeys: int = SUBKEYS, rows: int = ROWS, chunk: int = CHUNK) -> DataFrame:
     """Each row of docs(doc_id, text): doc_id, n_shingles, component_id, kept."""
     C.ship(docs.sparkSession)
     signed = materialise(signatures(docs, size, subkeys, rows), "signatures")
-    classes = signed.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("subkeys", "n_shingles", "minima")).alias("s")).select("class", "least_id", "s.subkeys", "s.n_shingles", "s.minima")
+    classes = signed.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least_id"), F.min("subkeys").alias("subkeys"))
     classes = materialise(classes, "classes")
 
     own = classes.select("class", F.posexplode("subkeys").alias("place", "subkey"))
@@ -211,27 +279,23 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = SIMILAR
     keys = materialise(keys.select(F.xxhash64("u", "v").alias("key"), "class", "shares"), "keys")
 
     hubs = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("shares", "class")).alias("hub")).filter("n > 1").select("key", F.col("hub.class").alias("hub"))
-    pairs = keys.join(hubs, "key").filter(F.col("class") != F.col("hub")).select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct()
-    pairs = materialise(pairs, "pairs")
-    links = materialise(verified(pairs, texts_of(docs, signed, pairs), size, percent), "links")
+    members = materialise(keys.join(hubs, "key").filter(F.col("class") != F.col("hub")).select("class", "hub").distinct(), "members")
+    pairs = members.select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct()
+    sets = full_sets(members.select("class").unionByName(members.select(F.col("hub").alias("class"))).distinct(), docs, signed, size)
+    links = materialise(verified(pairs, sets, percent), "links")
     roots = materialise(components(links), "roots")
 
-    # step 5: groups in several components
-    placed = keys.join(hubs.select("key"), "key").join(roots.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("root", "class").alias("root"))
-    held = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = held.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "root")).alias("main")).filter("parts > 1").select("key", F.col("main.root").alias("main"))
-    open_groups = placed.join(mixed, "key").join(classes.select("class", "subkeys", "minima", "n_shingles"), "class")
-    open_groups = materialise(open_groups, "open")
-    x = open_groups.filter(F.col("root") != F.col("main")).select("key", *[F.col(c).alias("x_" + c) for c in ("class", "root", "subkeys", "minima", "n_shingles")])
-    y = open_groups.select("key", *[F.col(c).alias("y_" + c) for c in ("class", "root", "main", "subkeys", "minima", "n_shingles")])
-    once = (F.col("y_root") == F.col("y_main")) | (F.col("x_class") < F.col("y_class"))  # both outside the main component: one order is enough
-    sizes = F.least("x_n_shingles", "y_n_shingles") * 100 >= F.greatest("x_n_shingles", "y_n_shingles") * percent
-    further = x.join(y, (x["key"] == y["key"]) & (F.col("x_root") != F.col("y_root")) & once & sizes & agreeing(F.col("x_minima"), F.col("y_minima"), 2 * subkeys * rows, least_agreeing) & (x["key"] == first_shared(F.col("x_subkeys"), F.col("y_subkeys"), subkeys)))
-    further = materialise(further.select(F.least("x_class", "y_class").alias("a"), F.greatest("x_class", "y_class").alias("b")).distinct(), "further")
-    if not further.isEmpty():
-        more = verified(further, texts_of(docs, signed, further), size, percent)
-        links = materialise(links.unionByName(more), "links")
-        roots = materialise(components(links), "roots")
+    # step 5: members in other components than their hubs
+    placed = members.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    placed = placed.join(roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub", "left")
+    placed = placed.withColumn("open", F.col("root") != F.coalesce("hub_root", "hub")).select("class", "hub", "root", "open")
+    groups = placed.groupBy("hub").agg(F.count(F.lit(1)).alias("_n"), F.count_if("open").alias("_open")).filter("_open > 0 and _n > 1").select("hub", F.ceil(F.col("_n") / chunk).cast("int").alias("chunks"))
+    differing = materialise(differences(placed.join(groups, "hub").select("class", "hub", "root", "open", "chunks"), sets), "differences")
+    own_chunk = F.array(F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
+    dealt = differing.withColumn("chunk", F.explode(F.when(F.col("open"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(own_chunk))).drop("chunks")
+    more = materialise(dealt.groupBy("hub", "chunk").applyInArrow(lambda table: links_within(table, percent), "a binary, b binary"), "more")
+    if not more.isEmpty():
+        roots = materialise(components(links.unionByName(more)), "roots")
 
     grouped = classes.select("class", "least_id").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     names = grouped.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -241,29 +305,6 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = SIMILAR
     return full.unionByName(lone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
-def texts_of(docs: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
-    """A text for each class in pairs: of a document whose set it is."""
-    wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    who = signed.filter("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id")).join(wanted, "class", "left_semi")
-    return who.join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id").select("class", "text")
-
-
-def agreeing(x: Column, y: Column, n: int, share: float) -> Column:
-    """Whether enough of two signatures' bytes agree."""
-    same = F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.lit(0), lambda a, i: a + F.when(F.substring(x, i, 1) == F.substring(y, i, 1), 1).otherwise(0))
-    return same >= int(n * share)
-
-
-def first_shared(x: Column, y: Column, subkeys: int) -> Column:
-    """The key of the first table that two classes share."""
-
-    def side(lo: int) -> Column:
-        both = F.zip_with(F.slice(x, lo + 1, subkeys), F.slice(y, lo + 1, subkeys), lambda a, b: F.when(a == b, a))
-        return F.get(F.filter(both, lambda k: k.isNotNull()), F.lit(0))
-
-    return F.xxhash64(side(0), side(subkeys))
-
-
 def distinct_documents(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of docs but those whose text is a near-duplicate of one with a smaller doc_id."""
     dropped = near_duplicates(docs, **parameters).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
