@@ -35,7 +35,7 @@ KINDS = ("assign", "access", "hex", "markov")
 
 SAMPLES = 3000
 SMOOTHING = 0.5
-THRESHOLD = 0.5
+THRESHOLD = 1.3
 ALPHABET = "abcdefghijklmnopqrstuvwxyzAD-+"
 WORDS = (
     "get set list item user name value index count table column row key map array string number file path read write open close "
