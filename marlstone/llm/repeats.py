@@ -25,7 +25,8 @@ doesn't pile up in one of them. Three levels, each a sort of hashes in buckets:
 
 Scale. Documents are dealt into blocks of about BLOCK_BYTES. A block sends each distinct
 hash once, with its count, packed by bucket; a bucket answers each block with those that
-are repeated. So the hashes of a passage that is in any share of the documents reach a
+are repeated, and names one block as each one's owner. At the second level a phrase that
+is repeated as a whole is sent by its owner alone, for others to be compared with. So the hashes of a passage that is in any share of the documents reach a
 bucket once from each block. Texts are shuffled once (the three uses share the
 exchange). Anchors are told apart by 64 bits, strings by 128.
 
@@ -121,13 +122,13 @@ def distinct(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.nda
     return keys[at], np.add.reduceat(counts, at)
 
 
-def packed(block: int, keys: np.ndarray, buckets: int) -> pa.Table:
-    """A block's distinct keys with their counts, by bucket. Keys are sorted, so buckets are slices."""
+def packed(block: int, keys: np.ndarray, buckets: int, exact: bool = True) -> pa.Table:
+    """A block's distinct keys with their counts (up to 255 if not exact), by bucket. Keys are sorted, so buckets are slices."""
     keys, counts = distinct(keys)
     bucket = ((keys[:, 0] >> C.U64(32)) * C.U64(buckets) >> C.U64(32)).astype(np.int64)
     at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    to = np.append(at[1:], len(keys))
-    counts = counts.astype("<u4")
+    to = np.append(at[1:], len(keys))[: len(at)]
+    counts = counts.astype("<u4") if exact else np.minimum(counts, 255).astype("u1")
     return pa.table({
         "bucket": pa.array(bucket[at], pa.int32()), "block": pa.array(np.full(len(at), block), pa.int32()),
         "keys": pa.array([keys[a:b].tobytes() for a, b in zip(at, to, strict=True)], pa.binary()),
@@ -135,21 +136,25 @@ def packed(block: int, keys: np.ndarray, buckets: int) -> pa.Table:
     })
 
 
-def totals(sent: DataFrame, width: int) -> DataFrame:
-    """For each block its keys that occur twice or more in all blocks together, with the totals."""
+def totals(sent: DataFrame, width: int, exact: bool = True) -> DataFrame:
+    """For each block its keys that occur twice or more in all blocks together, with twice
+    the total and, in one block for each key, one more."""
 
     def answer(table: pa.Table) -> pa.Table:
         blocks = table["block"].to_pylist()
         keys = [np.frombuffer(k, C.U64).reshape(-1, width) for k in table["keys"].to_pylist()]
-        counts = np.concatenate([np.frombuffer(c, "<u4") for c in table["counts"].to_pylist()]).astype(np.int64)
+        counts = np.concatenate([np.frombuffer(c, "<u4" if exact else "u1") for c in table["counts"].to_pylist()]).astype(np.int64)
         every, total = distinct(np.concatenate(keys), counts)
         every, total = every[total > 1], total[total > 1]
+        free = np.ones(len(every), bool)
         out = []
         for block, own in zip(blocks, keys, strict=True):
             at = place(every, own)
             hit = at >= 0
             if hit.any():
-                out.append((block, np.ascontiguousarray(own[hit]).tobytes(), total[at[hit]].astype("<i8").tobytes()))
+                at = at[hit]
+                out.append((block, np.ascontiguousarray(own[hit]).tobytes(), (total[at] * 2 + free[at]).astype("<i8").tobytes() if exact else b""))
+                free[at] = False
         return pa.table({"block": pa.array([x[0] for x in out], pa.int32()), "keys": pa.array([x[1] for x in out], pa.binary()), "counts": pa.array([x[2] for x in out], pa.binary())})
 
     return sent.groupBy("bucket").applyInArrow(answer, ANSWER)
@@ -179,7 +184,7 @@ class Answers:
 
     def __init__(self, table: pa.Table, width: int):
         keys = [np.frombuffer(k, C.U64).reshape(-1, width) for k in table["keys"].to_pylist()]
-        counts = [np.frombuffer(c, "<i8") for c in table["counts"].to_pylist()]
+        counts = [np.frombuffer(c, "<i8") if c else np.full(len(k), 4) for k, c in zip(keys, table["counts"].to_pylist(), strict=True)]
         if keys:
             keys, counts = np.concatenate(keys), np.concatenate(counts)
             order = np.argsort(keys[:, 0], kind="stable") if width == 1 else np.lexsort((keys[:, 1], keys[:, 0]))
@@ -187,16 +192,20 @@ class Answers:
         else:
             self.keys, self.counts = np.zeros((0, width), C.U64), np.zeros(0, np.int64)
 
-    def of(self, own: np.ndarray) -> np.ndarray:
+    def of(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Totals (1 for what was not answered), and whether the block owns the key."""
+        if not len(self.counts):
+            return np.ones(len(own), np.int64), np.ones(len(own), bool)
         at = place(self.keys, own)
-        return np.where(at >= 0, self.counts[at], 1) if len(self.counts) else np.ones(len(own), np.int64)
+        told = np.where(at >= 0, self.counts[at], 3)
+        return told >> 1, (told & 1).astype(bool)
 
 
 def verdicts(parsed: Parsed, answers: Answers) -> tuple[np.ndarray, np.ndarray]:
-    """Anchors all of whose strings are repeated, and those that need a look at each."""
-    anchor = answers.of(parsed.anchors[:, None])
-    phrase = answers.of(parsed.phrases[:, None])
-    return (anchor > 1) & (phrase > 1), (anchor > 1) & (phrase != anchor)
+    """Anchors all of whose strings are repeated, and those whose strings are to be sent."""
+    anchor, _ = answers.of(parsed.anchors[:, None])
+    phrase, own = answers.of(parsed.phrases[:, None])
+    return (anchor > 1) & (phrase > 1), (anchor > 1) & (phrase != anchor) & (own | (phrase == 1))
 
 
 def covered_runs(starts: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -227,7 +236,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, block_by
 
     def branching(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return packed(0, np.zeros((0, 2), C.U64), blocks)
+            return packed(0, np.zeros((0, 2), C.U64), blocks, False)
         answers = Answers(told, 1)
         keys = []
         for data, p in per_document(C.as_texts(table["text"]), span, gram):
@@ -235,9 +244,9 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, block_by
                 _, look = verdicts(p, answers)
                 if look.any():
                     keys.append(suffixes(data, p, np.flatnonzero(look))[1])
-        return packed(table["block"][0].as_py(), np.concatenate(keys) if keys else np.zeros((0, 2), C.U64), blocks)
+        return packed(table["block"][0].as_py(), np.concatenate(keys) if keys else np.zeros((0, 2), C.U64), blocks, False)
 
-    second = totals(rows.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(branching, PACKED), 2).withColumn("level", F.lit(2))
+    second = totals(rows.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(branching, PACKED), 2, False).withColumn("level", F.lit(2))
 
     def removed(table: pa.Table, told: pa.Table) -> pa.Table:
         level = told["level"].to_numpy()
@@ -252,7 +261,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, block_by
                 which = np.flatnonzero(look & ~whole)
                 if len(which):
                     own, keys = suffixes(data, p, which)
-                    starts = np.concatenate([starts, own[strings.of(keys) > 1]])
+                    starts = np.concatenate([starts, own[strings.of(keys)[0] > 1]])
             a, b = covered_runs(starts, span)
             digest, at, kept = hashlib.sha256(), 0, []
             for lo, hi in [*zip(a.tolist(), b.tolist(), strict=True), (len(data), len(data))]:
