@@ -17,7 +17,7 @@ import numpy as np
 
 STORE = 400_000
 #: White space that Unicode knows besides space and line feed; texts with any go the plain way.
-ODD_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
+ODD_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 PIECE = re.compile("[ \n]*[^ \n]+|[ \n]+")
 _ENCODERS: dict[str, Encoder] = {}
 

@@ -6,19 +6,20 @@ import corpus_pipeline as P
 from test_operators import brute_groups, words2
 
 from marlstone.llm import packing, quality, secrets
+from marlstone.session import materialise
 
 
 def test_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    kept = P.quality_rules(spark, docs, sf)
+    kept = materialise(P.quality_rules(spark, docs, sf), "stage")
     judged = {r.doc_id for r in quality.rules(docs).filter("kept").select("doc_id").collect()}
     assert {r.doc_id for r in kept.collect()} == judged and kept.dtypes == docs.dtypes
 
-    one = P.near_duplicates(spark, kept, sf)
+    one = materialise(P.near_duplicates(spark, kept, sf), "stage")
     want = {k[0] for k in brute_groups([(r.doc_id, r.text) for r in kept.collect()], P.SHINGLE, 80) if k[3]}
     assert {r.doc_id for r in one.collect()} == want and one.dtypes == docs.dtypes
 
-    clean = P.decontamination(spark, one, sf)
+    clean = materialise(P.decontamination(spark, one, sf), "stage")
     windows = set()
     for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
         w = words2(r.text)
@@ -27,7 +28,7 @@ def test_stages(spark, sf):
     bad = {r.doc_id for r in one.collect() for w in [words2(r.text)] if any(tuple(w[k : k + n]) in windows for n in {len(x) for x in windows} for k in range(len(w) - n + 1))}
     assert {r.doc_id for r in clean.collect()} == want - bad and clean.dtypes == docs.dtypes
 
-    masked = P.secret_masking(spark, clean, sf)
+    masked = materialise(P.secret_masking(spark, clean, sf), "stage")
     before = {r.doc_id: r for r in clean.collect()}
     found = {r.doc_id: r.spans for r in secrets.scan(clean).collect()}
     assert masked.dtypes == docs.dtypes
@@ -36,7 +37,7 @@ def test_stages(spark, sf):
         assert r.n_chars == (len(r.text) if found[r.doc_id] else before[r.doc_id].n_chars)
         assert not re.search(r"[0-9a-f]{16}", r.text)
 
-    packed = P.best_fit_packing(spark, masked, sf)
+    packed = materialise(P.best_fit_packing(spark, masked, sf), "stage")
     assert packed.columns == [c.split()[0] for c in packing.RESULT.split(", ")]
     assert packed.select("doc_id").distinct().count() == masked.count()
 
