@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, decontaminate, neardup, packing, pages, quality, repeats, secrets, sharding, tokenstore
 from .common import documents
+from .oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,4 +62,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
