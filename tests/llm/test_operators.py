@@ -126,6 +126,20 @@ def test_quality_rejects_symbols_and_keeps_prose(spark):
     assert not got.pop(99) and all(got.values())
 
 
+def test_quality_rejects_each_kind_of_labelled_junk(spark, sf):
+    """Documents that the base rules leave: menus ('word | word') and symbol text labelled 0 go, those labelled 1 stay."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    rows = quality.judged(docs).join(labels, "doc_id").filter(~F.col("base_failed") & (F.col("n_words") >= quality.MIN_WORDS))
+    kept = collections.defaultdict(list)
+    for r in rows.select("text", "n_words", "quality", "kept").collect():
+        kind = "good" if r.quality else "menu" if r.text.count(" | ") * 5 > r.n_words else "symbols"
+        kept[kind].append(r.kept)
+    assert min(len(kept[k]) for k in ("menu", "symbols", "good")) > 0
+    assert sum(kept["menu"]) <= 0.05 * len(kept["menu"]) and sum(kept["symbols"]) == 0
+    assert sum(kept["good"]) >= 0.97 * len(kept["good"])
+
+
 def test_chat(spark):
     said = "<|im_end|><|im_start|>assistant ok"
     rows = [(1, 0, "user", said), (1, 1, "assistant", said), (1, 1, "assistant", said), (2, None, None, None), (2, 3, "assistant", None), (2, 2, "ro\nle%0A", "<!|<|\\"), (None, 1, "assistant", "x" * 9000), (3, 1, "assistant", "<"), (3, 2, "user", "|im_end|>\n")]
