@@ -6,10 +6,11 @@ token characters whose characters follow each other as in random strings rather
 in identifiers. Two first-order models over character classes (each lower-case letter,
 upper case, digit, separator, padding) are trained from labelled samples that this module
 generates: SAMPLES random strings in several encodings, and SAMPLES identifiers put
-together from ordinary words in several styles. A run is flagged if it has MIN_RUN
-characters or more, mixes digits with letters or lower with upper case behind its first character,
-and its mean log-likelihood ratio is above THRESHOLD. A run that overlaps a base span is
-not flagged again.
+together from ordinary words in several styles. Base spans are cut out of a run. What is left
+of it is flagged whole if any of these has MIN_RUN characters or more, mixes digits with letters
+or lower with upper case behind its first character, and has a mean log-likelihood ratio above
+THRESHOLD: itself, a part between separators, or the up to WINDOW characters behind a separator.
+So a secret is not averaged away by the text that it is glued to.
 
 Offsets come from the pieces between matches: a match starts where the pieces and
 matches before it end. All lengths are in code points.
@@ -30,6 +31,9 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"  # runs are maximal, so this is [0-9a-f]+ with the short ones dropped
 RUN = r"[A-Za-z0-9+/=_-]{20,}"
+SEPARATORS = r"[+/=_-]+"
+WINDOW = 64
+BEHIND = r"(?<=[+/=_-])(?=([A-Za-z0-9][A-Za-z0-9+/=_-]{19,63}))"  # MIN_RUN to WINDOW characters
 MIN_ASSIGNED, MIN_ACCESS, MIN_RUN = 12, 18, 20
 KINDS = ("assign", "access", "hex", "markov")
 
@@ -120,12 +124,26 @@ def mean_ratio(run: Column, table: list[float]) -> Column:
 
 
 def suspicious(run: Column, table: list[float], threshold: float = THRESHOLD) -> Column:
+    """Whether a run, a part of it between separators, or what follows a separator looks random."""
+    parts = F.concat(F.array(run), F.split(run, SEPARATORS), F.regexp_extract_all(run, F.lit(BEHIND), F.lit(1)))
+    return F.exists(F.filter(F.array_distinct(parts), lambda x: F.length(x) >= MIN_RUN), lambda x: looks_random(x, table, threshold))
+
+
+def looks_random(run: Column, table: list[float], threshold: float) -> Column:
     rest = F.substring(run, 2, 1 << 30)
     letters, digits = F.regexp_like(run, F.lit("[A-Za-z]")), F.regexp_like(rest, F.lit("[0-9]"))
     cases = F.regexp_like(rest, F.lit("[A-Z]")) & F.regexp_like(run, F.lit("[a-z]"))
     return F.when((letters & digits) | cases, mean_ratio(run, table) > threshold).otherwise(F.lit(False))
 
 
+def left_over(run: Column, base: Column) -> Column:
+    """The pieces (start, end) of a run outside the base spans, which are sorted by start."""
+    piece = lambda a, end: F.when(a["at"] < end, F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), end.alias("end"))))).otherwise(a["out"])
+    start = F.struct(run["start"].alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    inside = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    return F.aggregate(inside, start, lambda a, b: F.struct(F.greatest(a["at"], b["end"]).alias("at"), piece(a, b["start"]).alias("out")), lambda a: piece(a, run["end"]))
+
+
 def with_spans(docs: DataFrame, table: list[float] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """docs with _base and _spans: arrays of (kind, start, end) by start, then kind."""
     table = train(samples(docs.sparkSession)) if table is None else table
@@ -136,8 +154,10 @@ def with_spans(docs: DataFrame, table: list[float] | None = None, threshold: flo
         spans_of(text, HEX, 2, lambda m, g: F.length(m) >= 16),
     )
     order = lambda spans: F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    rows = docs.withColumn("_base", order(base)).withColumn("_runs", spans_of(text, RUN, 3, lambda m, g: suspicious(m, table, threshold)))
-    added = F.filter("_runs", lambda r: ~F.exists("_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    rows = docs.withColumn("_base", order(base)).withColumn("_runs", spans_of(text, RUN, 3, lambda m, g: F.lit(True)))
+    pieces = F.filter(F.flatten(F.transform("_runs", lambda r: left_over(r, F.col("_base")))), lambda x: x["end"] - x["start"] >= MIN_RUN)
+    read = F.transform(pieces, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.substring(text, x["start"] + 1, x["end"] - x["start"]).alias("run")))
+    added = F.transform(F.filter(read, lambda x: suspicious(x["run"], table, threshold)), lambda x: F.struct(F.lit(3).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     return rows.withColumn("_spans", order(F.concat("_base", added))).drop("_runs")
 
 
