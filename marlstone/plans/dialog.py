@@ -203,8 +203,8 @@ def audio_name_parse(spark, d) -> DataFrame:
 
 
 def spoken_pairs(spark, d) -> DataFrame:
-    """Neighbouring turns as reference and transcript: their first 40 words."""
-    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", F.array_join(F.slice(T.word_list(F.col("text")), 1, 40), " ").alias("text"))
+    """Neighbouring turns as reference and transcript."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", F.array_join(T.word_list(F.col("text")), " ").alias("text"))
     after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("said"))
     pairs = turns.join(after, ["conv_id", "turn"])
     return pairs.withColumn("wer", evaluate.word_error_rate(T.spoken_normal(F.col("text")), T.spoken_normal(F.col("said"))))

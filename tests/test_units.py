@@ -1,6 +1,7 @@
 """Literal cases, sources, slots, and properties."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import models
 from marlstone.functions import text as T
 from marlstone.operators import evaluate, hybrid, reconcile, routing, safety
+from marlstone.plans import dialog
 from marlstone.sources import catalog, providers
 
 
@@ -70,6 +72,26 @@ def test_word_errors(spark):
     assert got == [("under fifteen dollars please", "under fifteen dollars please")]
 
 
+def test_word_errors_of_long_texts(spark, tmp_path):
+    rng = random.Random(1)
+
+    def table(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            above, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                above, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, above + (x != y))
+        return row[-1]
+
+    for _ in range(300):
+        a, b = ([rng.choice("abcdefg"[: rng.randrange(1, 8)]) for _ in range(rng.choice([0, 1, 3, 64, 90]))] for _ in range(2))
+        assert evaluate.edits(a, b) == table(a, b)
+    said = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)]
+    rows = [(1, 1, "user", " ".join(said)), (1, 2, "assistant", " ".join(said[:45] + ["other"] * 15))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert [r.wer for r in dialog.spoken_pairs(spark, str(tmp_path)).collect()] == [0.25]
+
+
 def test_catalog_round_trip(spark, tmp_path):
     head = "Uniq Id,Product Name,Brand Name,Asin,Category,List Price,Selling Price,About Product,Ingredients,Sku,Product Url,Stock,Size Quantity Variant,Product Description,Rating,Review Snippets"
     rows = ['u1,"Glass Spray, 16 oz",Acme,A1,Household Cleaning,$ 9.00,$ 8.00,Make sure this fits|Streak free|Plant based,nan,S1,http://x,In,16 oz,d,4.5,good || fine ||  || great || extra', ",Toy car,Zed,,Toys,,,,,,,,,,,", ",Wipes,,,Cleaning,$ 3.00,,,,,,,30 ct,,9,ok"]
