@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import hybrid
+from ..session import materialise
 from .common import query, table
 
 RAW_PRICE = "case p_partkey % 6 when 0 then '$ 1,' || lpad(cast(p_partkey % 1000 as varchar(10)), 3, '0') || '.50' when 1 then 'nan' when 2 then ' ' when 3 then 'USD ' || cast(p_size as varchar(10)) || '.25 each' when 4 then '-5.00' else 'about none' end"
@@ -148,8 +149,13 @@ def metadata_filter(spark, d) -> DataFrame:
 where contains(lower(p_name), 'bolt') and regexp_matches(p_type, '(?i)eco|promo') and p_retailprice < 950 order by 4 limit 50""")
 def eda_filtered_sort(spark, d) -> DataFrame:
     rows = table(spark, d, "part").filter(F.contains(F.lower("p_name"), F.lit("bolt")) & F.regexp_like("p_type", F.lit("(?i)eco|promo")) & (F.col("p_retailprice") < 950))
-    top = rows.orderBy(F.desc("p_retailprice"), "p_partkey").limit(50)
-    return top.select("p_partkey", "p_name", "p_retailprice").withColumn("n", F.row_number().over(Window.orderBy(F.desc("p_retailprice"), "p_partkey")).cast("long"))  # 50 rows
+    keys = [F.desc("p_retailprice"), F.col("p_partkey")]
+    dealt = rows.select("p_partkey", "p_name", "p_retailprice").repartitionByRange(*keys).sortWithinPartitions(*keys)
+    # numbered within range partitions, then shifted by what the partitions before hold
+    numbered = materialise(dealt.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "ranks")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    shift = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return numbered.join(F.broadcast(shift), "_part").select("p_partkey", "p_name", "p_retailprice", (F.col("_before") + F.col("_row") + 1).alias("n"))
 
 
 @query("select event_id, array_to_string(list_sort(list_filter(['k', 'provider'], lambda x: not list_contains(json_keys(props), x))), ',') as missing from events")

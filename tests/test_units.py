@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import models
 from marlstone.functions import text as T
 from marlstone.operators import evaluate, hybrid, reconcile, routing, safety
-from marlstone.plans import dialog
+from marlstone.plans import dialog, etl
 from marlstone.sources import catalog, providers
 
 
@@ -92,6 +92,14 @@ def test_word_errors_of_long_texts(spark, tmp_path):
     assert [r.wer for r in dialog.spoken_pairs(spark, str(tmp_path)).collect()] == [0.25]
 
 
+def test_filtered_sort_keeps_all_rows(spark, tmp_path):
+    rows = [(k, "Bolt" if k % 3 else "nut", "ECO" if k % 2 else "promo", 900.0 + k * 7 % 60) for k in range(400)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_retailprice double").repartition(3).write.parquet(str(tmp_path / "part.parquet"))
+    want = sorted((r for r in rows if r[1] == "Bolt" and r[3] < 950), key=lambda r: (-r[3], r[0]))
+    got = etl.eda_filtered_sort(spark, str(tmp_path)).orderBy("n").collect()
+    assert len(want) > 50 and [tuple(r) for r in got] == [(r[0], r[1], r[3], n) for n, r in enumerate(want, 1)]
+
+
 def test_catalog_round_trip(spark, tmp_path):
     head = "Uniq Id,Product Name,Brand Name,Asin,Category,List Price,Selling Price,About Product,Ingredients,Sku,Product Url,Stock,Size Quantity Variant,Product Description,Rating,Review Snippets"
     rows = ['u1,"Glass Spray, 16 oz",Acme,A1,Household Cleaning,$ 9.00,$ 8.00,Make sure this fits|Streak free|Plant based,nan,S1,http://x,In,16 oz,d,4.5,good || fine ||  || great || extra', ",Toy car,Zed,,Toys,,,,,,,,,,,", ",Wipes,,,Cleaning,$ 3.00,,,,,,,30 ct,,9,ok"]
