@@ -106,24 +106,25 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int = CAPACITY) ->
 def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """A row for each piece, with its rank among those of its length in its partition."""
     C.ship(docs.sparkSession)
-    end = end_id.to_bytes(4, "little")
 
     def cut(batches):
         part = TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
-        encode = encoder(tokenizer).encode
+        own = encoder(tokenizer)
+        types = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
         for batch in batches:
-            out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(text or "") + end
-                n = len(ids) // 4
-                first = n % capacity or capacity
-                for k, lo in enumerate([0, *range(first, n, capacity)]):
-                    size = first if k == 0 else capacity
-                    out.append((part, doc_id, k, lo, size, zlib.crc32(ids[4 * lo : 4 * (lo + size)]), seen[size]))
-                    seen[size] += 1
-            if out:
-                types = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            doc_ids = batch.column(0).to_pylist()
+            for row, ids, at in own.batches(batch.column(1), end_id):
+                raw, at = memoryview(ids).cast("B"), at.tolist()
+                out: list[tuple] = []
+                for k in range(len(at) - 1):
+                    n = at[k + 1] - at[k]
+                    lo, size = 0, n % capacity or capacity
+                    for piece in range(-(-n // capacity)):
+                        begin = 4 * (at[k] + lo)
+                        out.append((part, doc_ids[row + k], piece, lo, size, zlib.crc32(raw[begin : begin + 4 * size]), seen[size]))
+                        seen[size] += 1
+                        lo, size = lo + size, capacity
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["_part", "doc_id", "piece", "start", "length", "ids_crc32", "_rank"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)

@@ -5,9 +5,11 @@ import hashlib
 import json
 import random
 import re
+import shutil
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -304,6 +306,20 @@ def test_token_pieces():
     for _ in range(3000):
         text = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
         assert own.encode(text) == ids_of(text, 0)[:-1].tobytes(), repr(text)
+    texts = [None, "", "a <|endoftext|> b", *["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(2000)], *[" ".join(rng.choice(["the", "isn't", "won't,", "a1b2", "\nfoo", "é!"]) for _ in range(9)) for _ in range(300)]]
+    for step in (len(texts), 7):
+        for lo in range(0, len(texts), step):
+            for row, ids, at in own.batches(pa.array(texts[lo : lo + step], pa.string()), 9):
+                for k in range(len(at) - 1):
+                    assert ids[at[k] : at[k + 1]].tobytes() == ids_of(texts[lo + row + k], 9).tobytes(), repr(texts[lo + row + k])
+    assert own.encode("a <|endoftext|> b") == np.array([64, 220, 50256, 275], "<u4").tobytes()
+
+
+def test_other_vocabularies_go_to_the_library():
+    own = encoder("word_bpe_49k.json")
+    assert not own.known_kind and encoder("byte_bpe_50k.json").known_kind
+    for text in ("The Cat's 12 é", "a\n\nb", ""):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_token_store(spark, docs, none):
@@ -327,20 +343,58 @@ def test_token_store_detects_changes(spark, docs, tmp_path):
     chunks = spark.read.parquet(f"{folder}/chunks")
     assert chunks.count() == chunks.select("chunk").distinct().count()
     bad = chunks.withColumn("payload", F.concat(F.substring("payload", 3, 1 << 20), F.lit(b"\x01\x01")))
-    bad.write.parquet(f"{folder}/bad")
-    import shutil
-
-    shutil.rmtree(f"{folder}/chunks")
-    shutil.move(f"{folder}/bad", f"{folder}/chunks")
+    replace(f"{folder}/chunks", bad)
     with pytest.raises(Exception, match="bytes that its name says"):
         tokenstore.read_digests(spark, folder).collect()
 
 
+def replace(folder, df):
+    df.write.parquet(f"{folder}-new")
+    shutil.rmtree(folder)
+    shutil.move(f"{folder}-new", folder)
+
+
+def test_token_store_detects_losses(spark, docs, tmp_path):
+    folder = str(tmp_path / "store")
+    tokenstore.write_store(docs, folder)
+    assert tokenstore.verify_manifest(spark, folder)
+    n, recipes = docs.count(), spark.read.parquet(f"{folder}/recipes")
+    for change in ({"start": F.col("start") + 100}, {"doc_id": F.col("doc_id") + 1}, {"n_tokens": F.when(F.col("at") == n - 1, 7).otherwise(F.col("n_tokens")).cast("long")}, {"root": F.when(F.col("at") == 3, F.lit(b"x")).otherwise(F.col("root"))}):
+        shutil.copytree(f"{folder}/recipes", f"{folder}/kept")
+        replace(f"{folder}/recipes", recipes.withColumns(change))
+        assert not tokenstore.verify_manifest(spark, folder)
+        shutil.rmtree(f"{folder}/recipes")
+        shutil.move(f"{folder}/kept", f"{folder}/recipes")
+    replace(f"{folder}/chunks", spark.read.parquet(f"{folder}/chunks").orderBy("chunk").offset(1))
+    for read in (tokenstore.read_digests, tokenstore.read_ids):
+        with pytest.raises(Exception, match="lacks a chunk"):
+            read(spark, folder).collect()
+
+
+def test_manifest_is_a_tree(spark, docs, tmp_path):
+    folder = str(tmp_path / "store")
+    tokenstore.write_store(docs, folder)
+    nodes = tokenstore.manifest(spark, folder, fanout=3).collect()
+    recipes = sorted(spark.read.parquet(f"{folder}/recipes").collect(), key=lambda r: r["at"])
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    row = [sha(f"{k}:{r.doc_id}:{r.start}:{r.n_tokens}:{r.root.hex().upper()}") for k, r in enumerate(recipes)]
+    want, level = set(), 0
+    while level == 0 or len(row) > 1:
+        row, level = [sha(",".join(row[k : k + 3])) for k in range(0, len(row), 3)], level + 1
+        want |= {(level, k, d) for k, d in enumerate(row)}
+    assert {tuple(r) for r in nodes} == want
+
+
 def test_chunks_follow_content():
     rng = np.random.default_rng(0)
     a, b = rng.integers(0, 50000, 20000), rng.integers(0, 50000, 500)
-    cut = lambda x: {bytes(x[lo:hi].tobytes()) for lo, hi in zip([0, *tokenstore.boundaries(x)], tokenstore.boundaries(x), strict=False)}
+    cut = lambda x: {bytes(x[lo:hi].tobytes()) for lo, hi in zip([0, *tokenstore.boundaries(x)[0]], tokenstore.boundaries(x)[0], strict=False)}
     assert len(cut(a) & cut(np.concatenate([b, a]))) > 0.8 * len(cut(a))
+    streams = [rng.integers(0, 50000, k) for k in (1, 5, 127, 128, 129, 4096, 9000, 1)] + [np.full(10000, 7)]
+    at = np.cumsum([0, *map(len, streams)])
+    for own, ends, lo in zip(streams, tokenstore.boundaries(np.concatenate(streams), at), at, strict=False):
+        assert [e - lo for e in ends] == tokenstore.boundaries(own)[0] and ends[-1] == lo + len(own)
+        assert max(np.diff([lo, *ends])) <= tokenstore.MAX_CHUNK
 
 
 @pytest.mark.parametrize("k", range(60))
