@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 
 from . import common as C
 
-STORE = 600_000
+STORE = 500_000
 SLICE_BYTES = 4 << 20
 #: White space that Unicode knows besides space and line feed; texts with any go the plain way.
 ODD = "\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"

@@ -6,6 +6,7 @@ import json
 import random
 import re
 import shutil
+import time
 import zlib
 
 import numpy as np
@@ -269,15 +270,85 @@ def test_secrets(docs, none):
     assert secrets.scan(none).count() == 0
 
 
-def test_markov_held_out(spark):
+HELD_OUT_NAMES = ["Customer", "order", "Price", "History", "shipping", "Address", "warehouse", "quantum", "Bridge", "window", "yellow", "Kernel", "vertex", "Polygon", "thumb", "graphql", "webhook", "oauth", "cluster"]
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    return secrets.train(secrets.samples(spark))
+
+
+def brute_ratio(run, table):
+    at = [secrets.ALPHABET.index(c) for c in run]
+    return sum(table[a * len(secrets.ALPHABET) + b] for a, b in zip(at, at[1:], strict=False)) / max(1, len(at) - 1)
+
+
+def brute_markov(text, base, table):
+    """Spans of random-looking runs, by the definition: runs of what base spans leave, scored whole, by part and by window."""
+    covered = {k for a, b in base for k in range(a, b)}
+    out, k = [], 0
+    token = lambda k: k < len(text) and text[k] in secrets.ALPHABET and k not in covered
+    while k < len(text):
+        to = k
+        while token(to):
+            to += 1
+        run, marks = text[k:to], secrets.MARKS
+        parts = [run, *re.split(r"[+/=_-]+", run), *[run[j : j + 64] for j in range(1, len(run)) if run[j - 1] in marks and run[j] not in marks]]
+        if any(len(x) >= 20 and brute_ratio(x, table) > secrets.THRESHOLD for x in parts):
+            out.append((k, to))
+        k = max(to, k + 1)
+    return out
+
+
+def test_markov_spans(spark, sf, table):
+    rng = random.Random(8)
+    made = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    rows = [(i, t) for i, t in awkward()] + [(r.doc_id + 1000, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    for k in range(300):
+        parts = [rng.choice(["é😀 ", " ", "/", "=", "_", "-", "the", "token=", "AKIA", ". "]) if rng.random() < 0.6 else made(rng.choice([secrets.LOWER, secrets.ALPHABET, "0123456789abcdef", secrets.UPPER]), rng.randrange(40)) for _ in range(12)]
+        rows.append((2000 + k, "".join(parts)))
+    n = 0
+    for (i, t), r in zip(rows, sorted(secrets.scan(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")).collect(), key=lambda r: r.doc_id), strict=True):
+        spans = [s.split(":") for s in r.spans.split(",") if s]
+        base = [(int(a), int(b)) for k, a, b in spans if k != "markov"]
+        assert [(int(a), int(b)) for k, a, b in spans if k == "markov"] == brute_markov(t or "", base, table), (i, t, r.spans)
+        n += len(spans) - len(base)
+    assert n > 200
+
+
+def test_markov_held_out(spark, table):
     """Strings and names of other make than the samples."""
     rng = random.Random(5)
-    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    strings = ["".join(rng.choice(letters) for _ in range(32)) for _ in range(200)]
-    names = ["".join(rng.choice(["Customer", "order", "Price", "History", "shipping", "Address", "warehouse"]) for _ in range(4)) + str(rng.randrange(9)) for _ in range(200)]
-    df = spark.createDataFrame([(k, t) for k, t in enumerate(strings + names)], "doc_id long, text string")
-    got = {r.doc_id: "markov" in r.spans for r in secrets.scan(df).collect()}
-    assert sum(got[k] for k in range(200)) >= 190 and sum(got[k] for k in range(200, 400)) <= 10
+    made = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    both, hexed = secrets.UPPER + secrets.LOWER + secrets.DIGITS, "0123456789abcdef"
+    shapes = {
+        "base62": lambda: made(both, 32), "base64": lambda: made(both + "+/", 40), "lower": lambda: made(secrets.LOWER, 24), "upper": lambda: made(secrets.UPPER, 24),
+        "lower and digits": lambda: made(secrets.LOWER + secrets.DIGITS, 20), "base32": lambda: made(secrets.UPPER + "234567", 26), "uuid": lambda: "-".join(made(hexed, n) for n in (8, 4, 4, 4, 12)).upper(),
+    }
+    for shape, draw in shapes.items():
+        assert sum(bool(brute_markov(draw(), [], table)) for _ in range(400)) >= 360, shape
+    names = ["".join(rng.choice(HELD_OUT_NAMES).capitalize() for _ in range(4)) + str(rng.randrange(9)) for _ in range(500)] + ["_".join(rng.choice(HELD_OUT_NAMES).lower() for _ in range(4)) for _ in range(500)] + ["2024-05-17T10-33-12-report", "-" * 60, "=" * 30, "1219538112535716121953811253", "/usr/lib/python3/dist-packages/yaml"] * 10
+    assert sum(bool(brute_markov(t, [], table)) for t in names) <= 12
+
+
+def test_secrets_in_very_long_texts(spark):
+    """Twice the text takes about twice the time, not four times."""
+    rng, took = random.Random(3), []
+    for n in (15000, 60000):
+        text = "é ".join("token='" + "".join(rng.choice(secrets.ALPHABET[:62]) for _ in range(20)) + "'" for _ in range(n))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        secrets.scan(docs).collect()
+        began = time.time()
+        assert secrets.scan(docs).first().n_assign == n
+        assert secrets.masked(docs).first().text == "é ".join(["[SECRET]'"] * n)
+        took.append(time.time() - began)
+    assert took[1] < 3 * took[0] + 10, took
+
+
+def test_masking_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a token='abcdefABCDEF0123' b", 3, "x", 5), (2, None, None, None, 0)], "doc_id long, text string, _spans int, _own_text string, _base int")
+    got = sorted(secrets.masked(docs).collect())
+    assert secrets.masked(docs).dtypes == docs.dtypes and [tuple(r) for r in got] == [(1, "a [SECRET]' b", 3, "x", 5), (2, None, None, None, 0)]
 
 
 def test_markov_glued(spark):
