@@ -3,23 +3,26 @@
 Structure comes first. Scripts, styles, comments in the markup, menus, headers, footers,
 sidebars, forms, and whatever a class, id or role names as an advert, a notice, reader
 comments and the like are left out. If the page marks its article (an `article` or
-`main` element with text), the blocks in it are the text.
+`main` element with text), only the blocks in it stay.
 
-The blocks of other pages are uncertain, and page differencing decides on them: within
-each host, pages are ordered by URL path, each is paired with the neighbour that shares
-the longer part of the path, the two pages' lines are aligned by longest common
-subsequence, and shared lines, the host's template, are deleted. A partner with the very
-same lines is a copy of the page and says nothing about templates, so that nothing is
-deleted then. Differencing is not applied within a marked article, since pages of a
-host share lines there too (licences, quotations, whole copied articles) that belong to
-the text.
+Page differencing then decides on every page's blocks: within each host, pages are
+ordered by URL path, each is paired with the neighbour that shares the longer part of the
+path, and the two pages' lines are aligned by longest common subsequence. Shared lines,
+the host's template, are deleted. Two guards keep what is no template:
+
+- A partner with the very same lines is a copy and says nothing about templates.
+- In a marked article a shared line is deleted only if it is also on more than half of
+  the host's distinct pages, and on LEAST_PAGES of them at least: articles of a host share
+  licences, quotations and whole passages too, which belong to the text. If half of an
+  article's lines or more would go, its host holds copies of it, and none goes.
 
 Pairs are neighbours in a range-partitioned order, so a host of any size spreads over
-tasks, and only line hashes travel to the partner.
+tasks, and only line hashes travel to the partner. Lines on more than half of a host's
+pages are at most twice as many as a page has lines on average.
 
-Edge cases: a null html is empty and has the text ''; a null url is a host of its own;
-unclosed and cut-off markup is read as far as it goes; repeated rows are each reported;
-other columns are ignored; an empty table gives no rows.
+Edge cases: a null html is empty and has the text ''; pages without a readable url are one
+host; unclosed and cut-off markup is read as far as it goes; repeated rows are each
+reported; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -57,7 +60,8 @@ MARKUP = re.compile(
 )
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NAMED = re.compile(r"[a-z]+|[A-Z][a-z]*")
-PARSED = "uid long, page_id long, url string, host string, path string, text string, blocks array<string>"
+PARSED = "uid long, page_id long, url string, host string, path string, marked boolean, blocks array<string>"
+LEAST_PAGES = 5
 RESULT = "page_id long, url string, text string, n_chars long"
 
 
@@ -187,29 +191,18 @@ def longest_common(a: list, b: list) -> set[int]:
     return shared
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """The main text of each row of pages(page_id, url, html): see RESULT."""
-    C.ship(pages.sparkSession)
-
-    def parse(batches):
-        uid = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            rows = []
-            for page_id, url, source in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                blocks, sure = blocks_of(source or "")
-                host, path = host_and_path(url)
-                rows.append((uid, page_id, url, host, path, "\n".join(blocks) if sure or not blocks else None, None if sure or not blocks else blocks))
-                uid += 1
-            types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["uid", "page_id", "url", "host", "path", "text", "blocks"])
+def templates(lines: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """Of each host the lines on more than half of its distinct pages, and on least_pages at least: host, template."""
+    bodies = lines.groupBy("host", F.xxhash64("lines").alias("body")).agg(F.any_value("lines").alias("lines"))
+    held = bodies.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= least_pages)
+    on = bodies.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_pages)
+    return on.join(held, "host").filter("n * 2 > pages").groupBy("host").agg(F.collect_list("line").alias("template"))
 
-    parsed = materialise(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(parse, PARSED), "pages", compression="zstd")
-    sure = parsed.filter("text is not null").select("page_id", "url", "text")
 
-    uncertain = parsed.filter("text is null")
-    lines = ranged(uncertain.select("uid", "host", "path", F.transform("blocks", lambda b: F.xxhash64(b)).alias("lines")), ["host", "path", "uid"], "lines")
-    ordered = lines.join(shifts(lines, [], F.lit(1)), "_part").select("uid", "host", "path", "lines", (F.col("_row") + F.col("_before")).alias("at"))
+def partners(lines: DataFrame) -> DataFrame:
+    """Each row of lines(uid, host, path, lines, ...) that has a partner, with the partner's lines."""
+    rows = ranged(lines, ["host", "path", "uid"], "lines")
+    ordered = rows.join(shifts(rows, [], F.lit(1)), "_part").withColumn("at", F.col("_row") + F.col("_before")).drop("_part", "_row", "_before")
     near = ordered.select((F.col("at") + 1).alias("at"), F.struct("host", "path", "lines").alias("before"))
     far = ordered.select((F.col("at") - 1).alias("at"), F.struct("host", "path", "lines").alias("after"))
     both = ordered.join(near, "at", "left").join(far, "at", "left")
@@ -219,16 +212,43 @@ def extract(pages: DataFrame) -> DataFrame:
         depth = F.aggregate(same, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda a, x: F.struct((a["n"] + F.when(a["on"] & x, 1).otherwise(0)).alias("n"), (a["on"] & x).alias("on")), lambda a: a["n"])
         return F.when((F.col(f"{side}.host") == F.col("host")) & (F.col(f"{side}.lines") != F.col("lines")), depth)
 
-    paired = both.select("uid", F.when(closeness("before") >= F.coalesce(closeness("after"), F.lit(-1)), F.col("before.lines")).when(closeness("after").isNotNull(), F.col("after.lines")).alias("partner"), "lines")
-    differing = uncertain.join(paired, "uid").select("page_id", "url", "blocks", "lines", "partner")
+    partner = F.when(closeness("before") >= F.coalesce(closeness("after"), F.lit(-1)), F.col("before.lines")).when(closeness("after").isNotNull(), F.col("after.lines"))
+    return both.withColumn("partner", partner).filter("partner is not null").drop("at", "before", "after")
+
 
-    def delete(batches):
+def deletions(lines: DataFrame) -> DataFrame:
+    """Which lines of lines(uid, host, path, marked, lines) go: uid, gone (their places), for pages that lose any."""
+
+    def align(batches):
         for batch in batches:
-            texts = []
-            for blocks, own, partner in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
-                shared = longest_common(own, partner) if partner else ()
-                texts.append("\n".join(b for k, b in enumerate(blocks) if k not in shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
-
-    whole = sure.unionByName(differing.mapInArrow(delete, "page_id long, url string, text string"))
-    return whole.withColumn("n_chars", F.length("text").cast("long"))
+            shared = [sorted(longest_common(own, partner)) for own, partner in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(shared, pa.list_(pa.int32()))], names=["uid", "host", "marked", "lines", "shared"])
+
+    aligned = partners(lines).select("uid", "host", "marked", "lines", "partner").filter(F.arrays_overlap("lines", "partner")).mapInArrow(align, "uid long, host string, marked boolean, lines array<long>, shared array<int>")
+    common = F.filter("shared", lambda k: F.coalesce(F.array_contains(F.col("template"), F.get("lines", k)), F.lit(False)))
+    known = aligned.join(templates(lines), "host", "left").withColumn("gone", F.when(F.col("marked"), common).otherwise(F.col("shared")))
+    return known.filter((F.size("gone") > 0) & (~F.col("marked") | (F.size("gone") * 2 < F.size("lines")))).select("uid", "gone")
+
+
+def extract(pages: DataFrame) -> DataFrame:
+    """The main text of each row of pages(page_id, url, html): see RESULT."""
+    C.ship(pages.sparkSession)
+
+    def parse(batches):
+        uid = TaskContext.get().partitionId() << 33
+        types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string()))
+        for batch in batches:
+            rows = []
+            for page_id, url, source in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                blocks, marked = blocks_of(source or "")
+                rows.append((uid, page_id, url, *host_and_path(url), marked, blocks))
+                uid += 1
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["uid", "page_id", "url", "host", "path", "marked", "blocks"])
+
+    parsed = materialise(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(parse, PARSED), "pages", compression="zstd")
+    lines = parsed.filter(F.size("blocks") > 0).select("uid", "host", "path", "marked", F.transform("blocks", lambda b: F.xxhash64(b)).alias("lines"))
+    gone = materialise(deletions(lines), "gone")
+    left = F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b, k: ~F.array_contains("gone", k)))
+    text = F.array_join(left, "\n")
+    return parsed.join(gone, "uid", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -184,6 +184,57 @@ def test_pages(spark):
     assert pages.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+PAGES = "page_id long, url string, html string"
+
+
+def test_pages_only_differencing_tells(spark):
+    """An unmarked line in every article of a host goes; a licence in a few of them, and copies of one article, stay."""
+    rows = [(k, f"http://h.com/a/{k}", f"<article><h1>T{k}</h1><p>Share this story<p>text {k}<p>more {k}{'<p>A licence' if k in (3, 4) else ''}</article>") for k in range(9)]
+    rows += [(20 + k, f"http://c.com/a/1?v={k}", f"<article><h1>T</h1><p>same<p>old<p>text<p>v{k}</article>") for k in range(7)]
+    rows += [(40 + k, f"http://s.com/a/{k}", f"<article><p>Share<p>text {k}<p>z {k}</article>") for k in range(3)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    for k in range(9):
+        assert got[k] == f"T{k}\ntext {k}\nmore {k}" + ("\nA licence" if k in (3, 4) else "")
+    for k in range(7):
+        assert got[20 + k] == f"T\nsame\nold\ntext\nv{k}"
+    assert got[40] == "Share\ntext 0\nz 0"
+
+
+def brute_pages(rows):
+    """The query, page by page: structure, order by path, nearest neighbour, alignment, guards."""
+    parsed = [(*pages.host_and_path(url), k, *pages.blocks_of(source or "")) for k, (_, url, source) in enumerate(rows)]
+    order = sorted((p for p in parsed if p[3]), key=lambda p: (p[0].encode(), p[1].encode(), p[2]))
+    texts = {k: "" for _, _, k, blocks, _ in parsed}
+    for i, (host, path, k, own, marked) in enumerate(order):
+        best = None
+        for other in (order[i - 1] if i else None, order[i + 1] if i + 1 < len(order) else None):
+            if other and other[0] == host and other[3] != own:
+                x, y = path.split("/"), other[1].split("/")
+                depth = next((n for n in range(min(len(x), len(y))) if x[n] != y[n]), min(len(x), len(y)))
+                if best is None or depth > best[0]:
+                    best = (depth, other[3])
+        shared = pages.longest_common(own, best[1]) if best else set()
+        if marked:
+            bodies = {tuple(p[3]) for p in order if p[0] == host}
+            on = lambda line: sum(line in b for b in bodies)
+            shared = {j for j in shared if on(own[j]) * 2 > len(bodies) and on(own[j]) >= pages.LEAST_PAGES}
+            shared = shared if len(shared) * 2 < len(own) else set()
+        texts[k] = "\n".join(b for j, b in enumerate(own) if j not in shared)
+    return collections.Counter((rows[k][0], t, len(t)) for k, t in texts.items())
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pages_by_brute_force(spark, sf, seed):
+    rng = random.Random(seed)
+    rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()] if seed == 0 else []
+    for k in range(120):
+        host, body = rng.choice(["a.com", "a.com", "a.com", "b.org", "c.net"]), "".join(f"<p>{rng.choice(['x', 'y'])}{rng.randrange(12)}" for _ in range(rng.randrange(6)))
+        whole = f"<p>Top {host}<nav>n</nav>{body}<p>Mid {rng.randrange(3)}<p>End {host}"
+        rows.append((k, rng.choice([f"http://{host}/{rng.choice('pqr')}/{rng.randrange(40)}", f"http://{host}", None]), rng.choice([f"<article>{whole}</article>", whole, whole, None])))
+    got = pages.extract(spark.createDataFrame(rows, PAGES).coalesce(1))
+    assert collections.Counter((r.page_id, r.text, r.n_chars) for r in got.collect()) == brute_pages(rows)
+
+
 @pytest.mark.parametrize("k", range(30))
 def test_longest_common(k):
     rng = random.Random(k)
