@@ -25,13 +25,13 @@ components of all links. Steps:
    dealt over tasks in chunks, to each of which its open members are sent.
 
 The hash of a shingle has 64 bits, the fingerprint of a set 128. Classes are identified
-by their fingerprint; a component by the smallest doc_id in it.
+by their fingerprint; a component by the smallest doc_id in it. Rows are told apart by
+doc_id and the md5 of their text.
 
 Edge cases: null, empty and wordless texts have empty sets, are linked with nothing, and
 are kept; a text of fewer words than a shingle has one shingle, the whole text; repeated
-rows and rows that share a doc_id are all reported; a text that only rows
-with a null doc_id have is linked with nothing (other rows with its very shingles are its
-copies all the same), and a component_id is null where no row of it has a doc_id;
+rows and rows that share a doc_id are all reported; a component_id is null where no row of
+the component has a doc_id, and then all of its rows are kept;
 other columns are ignored; an empty table gives no rows.
 """
 
@@ -39,10 +39,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import drop_materialised, materialise
 from . import common as C
 
 SHINGLE = 4
@@ -50,7 +50,7 @@ SIMILAR_PERCENT = 80
 SUBKEYS = 12
 ROWS = 2
 CHUNK = 20_000
-SIGNED = "doc_id long, n_shingles long, class binary, subkeys array<long>"
+SIGNED = "doc_id long, text_key binary, n_shingles long, class binary, subkeys array<long>"
 
 
 def word_table() -> np.ndarray:
@@ -108,11 +108,15 @@ def fingerprints(sets: list[np.ndarray]) -> list[bytes]:
     return [row.tobytes() for row in np.stack([a, b], 1)]
 
 
+def text_key() -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+
+
 def signatures(docs: DataFrame, size: int, subkeys: int, rows: int) -> DataFrame:
     def sign(batches):
         for batch in batches:
-            ids = batch.column(0)
-            texts = C.as_texts(batch.column(1))
+            ids, text_keys = batch.column(0), batch.column(1)
+            texts = C.as_texts(batch.column(2))
             for lo, hi in C.slices(texts, 1 << 20):
                 sets = list(shingle_sets(texts.slice(lo, hi - lo), size))
                 full = [k for k, s in enumerate(sets) if len(s)]
@@ -130,11 +134,11 @@ def signatures(docs: DataFrame, size: int, subkeys: int, rows: int) -> DataFrame
                     for j, k in enumerate(full):
                         names[k], keys[k] = name[j], joined[j]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "class", "subkeys"],
+                    [ids.slice(lo, hi - lo), text_keys.slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    names=["doc_id", "text_key", "n_shingles", "class", "subkeys"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, SIGNED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text").mapInArrow(sign, SIGNED)
 
 
 def full_sets(wanted: DataFrame, docs: DataFrame, signed: DataFrame, size: int) -> DataFrame:
@@ -144,11 +148,12 @@ def full_sets(wanted: DataFrame, docs: DataFrame, signed: DataFrame, size: int)
         for batch in batches:
             names = batch.column(0).to_pylist()
             found = list(shingle_sets(C.as_texts(batch.column(1)), size))
-            rows = [(c, s.tobytes()) for c, s in zip(names, found, strict=True) if len(s) and fingerprints([s]) == [c]]  # rows that share a doc_id may have other texts
+            rows = [(c, s.tobytes()) for c, s in zip(names, found, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["class", "set"])
 
-    who = signed.filter("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id")).join(wanted, "class", "left_semi")
-    texts = who.join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id").select("class", "text")
+    who = signed.join(wanted, "class", "left_semi").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("w")).select("class", F.col("w.doc_id").alias("_id"), F.col("w.text_key").alias("_key"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), text_key().alias("_text"), "text")
+    texts = who.join(rows, who["_id"].eqNullSafe(rows["_doc"]) & (who["_key"] == rows["_text"])).select("class", "text")
     return materialise(texts.mapInArrow(sets, "class binary, set binary").dropDuplicates(["class"]), "sets")
 
 
@@ -233,12 +238,13 @@ def links_within(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([f[0] for f in found], pa.binary()), "b": pa.array([f[1] for f in found], pa.binary())})
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a, b): node, root (the smallest node in it).
 
     Alternating large-star and small-star steps: every node is tied to the smallest node
-    known in its neighbourhood, which takes a logarithmic number of rounds. Aggregates and
-    equi-joins only; a hub's edges are split like those of any join key."""
+    known in its neighbourhood, until nothing changes any more, which takes a logarithmic
+    number of rounds. Aggregates and equi-joins only; a hub's edges are split like those of
+    any join key. A round's table goes once the next one is written."""
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         if large:
@@ -253,22 +259,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     state = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
     now = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = state(now)
-    if before[0]:
-        for _ in range(rounds):
-            now = materialise(star(star(now, True), False), "edges")
-            after = state(now)
-            if after == before:
-                break
-            before = after
+    before, settled = state(now), False
+    while before[0] and not settled:
+        then, now = now, materialise(star(star(now, True), False), "edges")
+        after = state(now)
+        settled, before = after == before, after
+        drop_materialised(then)
     return now.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = SIMILAR_PERCENT, subkeys: int = SUBKEYS, rows: int = ROWS, chunk: int = CHUNK) -> DataFrame:
-    """Each row of docs(doc_id, text): doc_id, n_shingles, component_id, kept."""
+def grouped(docs: DataFrame, size: int = SHINGLE, percent: int = SIMILAR_PERCENT, subkeys: int = SUBKEYS, rows: int = ROWS, chunk: int = CHUNK) -> DataFrame:
+    """Each row of docs(doc_id, text): doc_id, text_key, n_shingles, and root, which rows of one group share (null: no shingles)."""
     C.ship(docs.sparkSession)
     signed = materialise(signatures(docs, size, subkeys, rows), "signatures")
-    classes = signed.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least_id"), F.min("subkeys").alias("subkeys"))
+    classes = signed.filter("class is not null").groupBy("class").agg(F.min("subkeys").alias("subkeys"))
     classes = materialise(classes, "classes")
 
     own = classes.select("class", F.posexplode("subkeys").alias("place", "subkey"))
@@ -297,15 +301,29 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = SIMILAR
     if not more.isEmpty():
         roots = materialise(components(links.unionByName(more)), "roots")
 
-    grouped = classes.select("class", "least_id").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    names = grouped.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = grouped.join(names, "root").select("class", "component_id")
-    lone = signed.filter("class is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    full = signed.filter("class is not null").select("doc_id", "n_shingles", "class").join(named, "class").select("doc_id", "n_shingles", "component_id")
+    named = classes.select("class").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    lone = signed.filter("class is null").select("doc_id", "text_key", "n_shingles", F.lit(None).cast("binary").alias("root"))
+    return signed.filter("class is not null").select("doc_id", "text_key", "n_shingles", "class").join(named, "class").select("doc_id", "text_key", "n_shingles", "root").unionByName(lone)
+
+
+def near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
+    """Each row of docs(doc_id, text): doc_id, n_shingles, component_id, kept."""
+    rows = materialise(grouped(docs, **parameters), "grouped")
+    least = rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    full = rows.filter("root is not null").join(least, "root").select("doc_id", "n_shingles", "component_id")
+    lone = rows.filter("root is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.unionByName(lone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def distinct_documents(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of docs but those whose text is a near-duplicate of one with a smaller doc_id."""
-    dropped = near_duplicates(docs, **parameters).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"] == F.col("_dropped"), "left_anti")
+    """One row of each group of near-duplicates, as it is, and all rows without shingles.
+
+    It is a row with the group's smallest doc_id (a null one comes last) and, where rows of
+    the group share that id, the text with the smallest md5; of rows that are equal in both
+    any one stays. A row of another group stays, whatever its doc_id."""
+    groups = grouped(docs, **parameters).filter("root is not null")
+    chosen = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("w")).select(F.col("w.doc_id").alias("_id"), F.col("w.text_key").alias("_key"))
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc"), text_key().alias("_text"), F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]").alias("_words"))
+    found = rows.filter("_words").join(chosen, rows["_doc"].eqNullSafe(chosen["_id"]) & (rows["_text"] == chosen["_key"]))
+    first = found.withColumn("_n", F.row_number().over(Window.partitionBy("_doc", "_text").orderBy(F.lit(0)))).filter("_n = 1")
+    return first.select("_row.*").unionByName(rows.filter(~F.col("_words")).select("_row.*"))

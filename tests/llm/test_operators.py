@@ -297,7 +297,32 @@ def test_near_duplicates_edges(spark, none):
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert as_set(got) == collections.Counter([(None, 2, 5, False), (5, 2, 5, True), (7, 2, 5, False), (None, 0, None, True), (9, 1, 9, True), (9, 2, 9, True)])
     kept = neardup.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted(r.text or "" for r in kept.filter("doc_id is not null").collect()) == ["a b c d e", "q", "r s t u v"]
+    assert sorted(r.text or "" for r in kept.collect()) == ["", "a b c d e", "q", "r s t u v"]
+
+
+def test_distinct_documents_loses_no_text(spark):
+    """Rows that share a doc_id, null ids, equal rows, texts without words, and clashing names."""
+    long = " ".join(f"u{k}" for k in range(40))
+    rows = [(5, "a b c d e"), (9, "A b c d e"), (9, "only here f g h"), (9, "only here f g h"), (3, long), (3, long + " x"), (None, "null id text p q"), (None, "null id text p q"), (None, long), (1, None), (1, ""), (1, "")]
+    docs = spark.createDataFrame([(*r, "d", 1, b"k") for r in rows], "doc_id long, text string, _dropped string, _row int, _key binary").repartition(5)
+    kept = neardup.distinct_documents(docs)
+    assert kept.dtypes == docs.dtypes
+    got = collections.Counter((r.doc_id, r.text) for r in kept.collect())
+    chosen = min((t for i, t in rows if i == 3), key=lambda t: hashlib.md5(t.encode()).digest())
+    assert got == collections.Counter([(5, "a b c d e"), (9, "only here f g h"), (3, chosen), (None, "null id text p q"), (1, None), (1, ""), (1, "")])
+
+
+def test_components_of_a_long_chain(spark):
+    """As many rounds as it takes, and the same roots as by a union of sets."""
+    n = 3000
+    edges = [(k, k + 1) for k in range(n) if k % 1000 != 999] + [(5000, 5000)]
+    random.Random(1).shuffle(edges)
+    name = lambda k: f"{k * 7919 % 100003:06d}".encode()
+    got = {r.node: r.root for r in neardup.components(spark.createDataFrame([(name(a), name(b)) for a, b in edges], "a binary, b binary")).collect()}
+    for part in range(3):
+        own = [name(k) for k in range(part * 1000, part * 1000 + 1000)]
+        assert {got[x] for x in own[1:] if x != min(own)} == {min(own)}
+    assert neardup.components(spark.createDataFrame([], "a binary, b binary")).count() == 0
 
 
 def test_secrets(docs, none):
