@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Number and size patterns, units in fluid ounces, speech limits.
 NUMBER = r"[-+]?\d[\d,]*\.?\d*"
-SIZE = r"(?i)(\d+(?:\.\d+)?)\s*(fl\.?\s*oz|fluid\s+ounce|ounce|oz|ml|milliliter|l\b|liter|lb|pound|g\b|gram)"
-OUNCES = {"oz": 1.0, "fl oz": 1.0, "fluid ounce": 1.0, "ounce": 1.0, "ml": 0.033814, "milliliter": 0.033814, "g": 0.033814, "gram": 0.033814, "l": 33.814, "liter": 33.814, "lb": 16.0, "pound": 16.0}
+SIZE = r"(?i)(\d+(?:\.\d+)?)\s*(fl\.?\s*oz|fluid ounce|ounce|oz|ml|milliliter|l\b|liter|lb|pound|g\b|gram)"
+OUNCES = {"oz": 1.0, "fl oz": 1.0, "fl. oz": 1.0, "fluid ounce": 1.0, "ounce": 1.0, "ml": 0.033814, "milliliter": 0.033814, "g": 0.033814, "gram": 0.033814, "l": 33.814, "liter": 33.814, "lb": 16.0, "pound": 16.0}
 MATERIALS = ["stainless steel", "glass", "wood", "tile", "grout", "fabric", "porcelain", "ceramic", "chrome", "multi-surface"]
 WORDS_PER_MINUTE, SPEECH_SECONDS = 150, 15.0
 ABSENT = ["", "nan", "none"]
@@ -23,6 +25,11 @@ SPOKEN_FORMS = [
 WORD_START = r"(^|[^\p{L}\p{N}_])"
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def present(raw: Column) -> Column:
     """Trimmed text; null for blanks and for the words that stand for a missing value."""
     text = F.trim(raw)
@@ -176,5 +183,23 @@ def missing_keys(raw: Column, required: list[str]) -> Column:
     return F.array_join(F.array_sort(F.array_except(F.array(*map(F.lit, required)), keys)), ",")
 
 
+def parsed_object(raw: Column, required: list[str]) -> Column:
+    """struct(parsed, error): a JSON object with all required keys, or what is wrong with it."""
+    value = F.try_parse_json(raw)
+    missing = missing_keys(raw, required)
+    error = (
+        F.when(value.isNull(), F.lit("not valid JSON")).when(~F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), F.lit("JSON is not an object"))
+        .when(missing != "", F.concat(F.lit("missing required keys: "), missing))
+    )
+    return F.struct(F.when(error.isNull(), value).alias("parsed"), error.alias("error"))
+
+
 def money(value: Column) -> Column:
     return F.format_string("$%.2f", value)
+
+
+def shortest(value: Column) -> Column:
+    """A number with up to six significant digits and no trailing zeros, as C's %g writes values of usual size."""
+    digits = F.greatest(F.lit(0), 5 - F.floor(F.log10(F.greatest(F.abs(value), F.lit(1e-4)))).cast("int"))
+    text = F.format_string("%.6f", F.round(value * F.pow(F.lit(10.0), digits)) / F.pow(F.lit(10.0), digits))
+    return F.regexp_replace(F.regexp_replace(text, r"0+$", ""), r"\.$", "")

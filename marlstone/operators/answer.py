@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions.text import SPEECH_SECONDS, money, speech_seconds, truncate_to_budget
 
@@ -11,6 +12,10 @@ NOTHING = "No matching product was found in the catalog, so there is no grounded
 CAUTION = "Caution: never mix these products. "
 
 
+def by_turn(*order: str) -> WindowSpec:
+    return Window.partitionBy("qid").orderBy(*order)
+
+
 def merge_citations(cited: DataFrame) -> DataFrame:
     """The first of equal citations (qid, doc_id, url), in the order of ord: cited(qid, source, doc_id, url, ord)."""
     same = Window.partitionBy("qid", "doc_id", "url").orderBy("ord")

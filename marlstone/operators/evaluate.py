@@ -23,6 +23,27 @@ def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, queries: DataFrame
     )
 
 
+def known_relevant(relevant: DataFrame, catalogue: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Judgements whose document the catalogue has: a slip in the gold set doesn't count against recall."""
+    return relevant.join(catalogue.select(key).distinct(), key, "left_semi").select(*relevant.columns)
+
+
+def honored(found: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """Whether each query's results keep its price and rating filters: found(qid, price, rating, filters).
+
+    A missing value fails a filter on it; other filters are not checked."""
+    f = F.col("filters")
+    kept = lambda asked, test: asked.isNull() | F.coalesce(test, F.lit(False))
+    ok = kept(f["price_max"], F.col("price") <= f["price_max"] + tolerance) & kept(f["price_min"], F.col("price") >= f["price_min"] - tolerance) & kept(f["min_rating"], F.col("rating") >= f["min_rating"] - tolerance)
+    return found.groupBy("qid").agg(F.bool_and(f.isNull() | ok).alias("honored"))
+
+
+def case_summary(cases: DataFrame) -> DataFrame:
+    """Of cases(messages array, wall_ms): how many, passed, failed, and the mean time."""
+    failed = F.count_if(F.size("messages") > 0)
+    return cases.agg(F.count(F.lit(1)).alias("n_cases"), (F.count(F.lit(1)) - failed).alias("n_passed"), failed.alias("n_failed"), F.coalesce(F.round(F.avg("wall_ms")), F.lit(0.0)).cast("long").alias("mean_wall_ms"))
+
+
 def mean_metrics(metrics: DataFrame) -> DataFrame:
     """Means; undefined recalls are left aside."""
     return metrics.agg(F.count(F.lit(1)).alias("n_queries"), *[F.round(F.avg(c), 4).alias(c) for c in ("recall", "precision", "rr", "ndcg")])
@@ -58,10 +79,13 @@ def word_error_rate(reference: Column, spoken: Column) -> Column:
     return F.pandas_udf(rate, "double")(reference, spoken)
 
 
-def invariants(speech_seconds: Column, action: Column, uncited: Column, steps: Column, flagged: Column, budget: float = 15.0) -> Column:
-    """Messages on what is wrong with an answered turn; none if all is well."""
+def invariants(speech_seconds: Column, action: Column, uncited: Column, steps: Column, flagged: Column, budget: float = 15.0, spoken: Column | None = None, audio: Column | None = None) -> Column:
+    """Messages on what is wrong with an answered turn; none if all is well.
+
+    spoken says whether audio was made, audio whether its file is there."""
     ok = action.isin("accept", "revise") | ((action == "reject") & flagged)
+    spoken, audio = F.lit(False) if spoken is None else spoken, F.lit(True) if audio is None else audio
     return F.array_compact(F.array(
         F.when(speech_seconds <= 0, "no speech"), F.when(speech_seconds > budget, "over budget"), F.when(~ok, "bad action"),
-        F.when(uncited > 0, "uncited row"), F.when(steps == 0, "no steps"),
+        F.when(uncited > 0, "uncited row"), F.when(steps == 0, "no steps"), F.when(spoken & (action != "accept"), "spoken before accept"), F.when(spoken & ~audio, "no audio file"),
     ))

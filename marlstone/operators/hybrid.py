@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from .lexical import best
 
-RRF_K, ALPHA, TOP_K = 60, 0.5, 5
+RRF_K, ALPHA, TOP_K, MOST = 60, 0.5, 5, 20
 FILTER_KEYS = ("price_max", "price_min", "min_rating", "brand", "material", "category_contains")
 
 
 def clamp_k(k: int | None) -> int:
-    return max(1, min(int(k), 20)) if k and k > 0 else TOP_K
+    return max(1, min(int(k), MOST)) if k and k > 0 else TOP_K
 
 
 def known_filters(filters: dict) -> dict:
@@ -46,19 +46,17 @@ def fuse(dense: DataFrame, lexical: DataFrame, alpha: float = ALPHA, k: int = RR
     return both.withColumn("fused", F.round(part(alpha, "vec_rank") + part(1 - alpha, "bm25_rank"), 8))
 
 
-def rerank(fused: DataFrame, scorer: Callable[[DataFrame], DataFrame], top: int = TOP_K) -> DataFrame:
-    """The best max(3 top, 10) by fused rank are put in the scorer's order; the rest follow in fused order.
+def rerank(fused: DataFrame, scorer: Callable[[DataFrame], DataFrame], top: int = TOP_K, pool_of: DataFrame | None = None) -> DataFrame:
+    """The best max(3k, 10) by fused rank are put in the scorer's order; the rest follow in fused order.
 
-    scorer adds a column `rerank` to rows (qid, doc_id, fused, ...)."""
-    pool = max(3 * top, 10)
+    scorer adds a column `rerank` to rows (qid, doc_id, fused, ...). k is top, or each query's
+    own by pool_of(qid, _k). Rows without a score, as where a model failed, keep their fused order behind the others."""
     ranked = best(fused, 1 << 30, "fused", "fused_rank")
-    scored = scorer(ranked.filter(F.col("fused_rank") <= pool)).select("qid", "doc_id", "rerank")
+    if pool_of is None:
+        pooled = ranked.withColumn("_pool", F.lit(max(3 * top, 10)))
+    else:
+        pooled = ranked.join(pool_of.select("qid", F.greatest(F.col("_k") * 3, F.lit(10)).alias("_pool")), "qid")
+    scored = scorer(pooled.filter(F.col("fused_rank") <= F.col("_pool")).drop("_pool")).select("qid", "doc_id", "rerank")
     joined = ranked.join(scored, ["qid", "doc_id"], "left")
     key = joined.withColumn("order_key", F.when(F.col("rerank").isNotNull(), F.col("rerank") + 1e6).otherwise(-F.col("fused_rank").cast("double")))
     return best(key, top, "order_key", "rank").drop("order_key")
-
-
-def grouped_results(results: DataFrame, queries: DataFrame) -> DataFrame:
-    """One record for each query: query, count, and the results in rank order."""
-    held = results.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", *[c for c in results.columns if c not in ("qid", "rank")]))).alias("results"))
-    return queries.join(held, "qid", "left").select("qid", F.col("text").alias("query"), F.coalesce(F.size("results"), F.lit(0)).alias("count"), "results")

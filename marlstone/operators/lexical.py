@@ -5,16 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import bound, tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 CANDIDATES = 25
+COUNTED = "array<struct<tok:string,tf:bigint>>"
+
+
+def counted(text: Column) -> Column:
+    """A text's distinct tokens with their counts: runs in its sorted tokens, all within the row."""
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return bound(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("tok"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("long").alias("tf"))))
+
+    return bound(F.array_sort(tokens(text)), lambda s: F.when(F.size(s) == 0, F.array().cast(COUNTED)).otherwise(runs(s)))
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """(tok, doc_id, tf, doc_len) of docs(doc_id, text). Counting within a row needs no shuffle of tokens."""
-    row = docs.select("doc_id", tokens(F.col("text")).alias("toks")).withColumn("doc_len", F.size("toks").cast("long"))
-    return row.select("doc_id", "doc_len", F.explode("toks").alias("tok")).groupBy("doc_id", "tok").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
+    """(tok, doc_id, tf, doc_len) of docs(doc_id, text); nothing is shuffled."""
+    row = docs.select("doc_id", counted(F.col("text")).alias("counted"))
+    length = F.aggregate("counted", F.lit(0).cast("long"), lambda a, x: a + x["tf"])
+    return row.select("doc_id", length.alias("doc_len"), F.inline("counted")).select("tok", "doc_id", "tf", "doc_len")
+
+
+def frequencies(posted: DataFrame) -> DataFrame:
+    """(tok, df, cf): documents with a token, and its occurrences. Counts are combined before they are shuffled."""
+    return posted.groupBy("tok").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
@@ -22,30 +39,36 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     return docs.select(F.size(tokens(F.col("text"))).alias("len")).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
 
 
-def term_stats(posted: DataFrame, stats: DataFrame) -> DataFrame:
-    """(tok, df, idf, raw mean): negative idf values become EPSILON times the mean idf."""
-    raw = posted.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats.select("n")))  # one row
+def term_stats(counts: DataFrame, stats: DataFrame) -> DataFrame:
+    """(tok, df, idf) of (tok, df): negative idf values become EPSILON times the mean idf."""
+    raw = counts.select("tok", "df").crossJoin(F.broadcast(stats.select("n")))  # one row
     raw = raw.select("tok", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw_idf"))
     mean = raw.agg(F.avg("raw_idf").alias("mean_idf"))
     return raw.crossJoin(F.broadcast(mean)).select("tok", "df", F.when(F.col("raw_idf") < 0, F.col("mean_idf") * EPSILON).otherwise(F.col("raw_idf")).alias("idf"))  # one row
 
 
-def bm25(queries: DataFrame, docs: DataFrame, predicate: Column | None = None, top: int = CANDIDATES, index: DataFrame | None = None) -> DataFrame:
-    """(qid, doc_id, score, rank): the best documents that pass predicate, for queries(qid, text).
+def scored(queries: DataFrame, index: dict[str, DataFrame]) -> DataFrame:
+    """(qid, doc_id, score) of all documents that share a token with a query(qid, text).
 
-    Statistics come from all documents; postings are cut to the queries' terms before they
-    are joined. Scores are rounded before ranking, so that ranks don't hang on the order of sums."""
-    posted = postings(docs) if index is None else index
-    stats = corpus_stats(docs)
-    terms = term_stats(posted, stats)
-    asked = queries.select("qid", F.explode(tokens(F.col("text"))).alias("tok")).groupBy("qid", "tok").agg(F.count(F.lit(1)).alias("qtf"))
-    used = posted.join(asked.select("tok").distinct(), "tok", "left_semi")
-    if predicate is not None:
-        used = used.join(docs.filter(predicate).select("doc_id"), "doc_id", "left_semi")
+    index has postings(tok, doc_id, tf, doc_len), terms(tok, idf) and stats(avgdl). The
+    query side is the small one: its tokens with their weights meet the postings in one join."""
+    asked = queries.select("qid", F.inline(counted(F.col("text")))).withColumnRenamed("tf", "qtf")
+    weighed = asked.join(index["terms"].select("tok", "idf"), "tok")
     norm = F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avgdl"))
-    weighed = used.join(terms, "tok").crossJoin(F.broadcast(stats.select("avgdl"))).select("tok", "doc_id", (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("w"))  # one row
-    scored = weighed.join(asked, "tok").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("qtf")), 4).alias("score"))
-    return best(scored.filter("score > 0"), top)
+    rows = index["postings"].join(weighed, "tok").crossJoin(F.broadcast(index["stats"].select("avgdl")))  # one row
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / norm * F.col("qtf")
+    return rows.groupBy("qid", "doc_id").agg(F.round(F.sum(part), 4).alias("score")).filter("score > 0")
+
+
+def bm25(queries: DataFrame, index: dict[str, DataFrame], passing: DataFrame | None = None, top: int = CANDIDATES) -> DataFrame:
+    """(qid, doc_id, score, rank): the best documents of each query, of those in passing(doc_id) or passing(qid, doc_id).
+
+    Statistics come from all documents, and filters act after scoring. Scores are rounded
+    before ranking, so that ranks don't hang on the order of sums."""
+    rows = scored(queries, index)
+    if passing is not None:
+        rows = rows.join(passing, passing.columns, "left_semi")
+    return best(rows, top)
 
 
 def best(scored: DataFrame, top: int, by: str = "score", out: str = "rank") -> DataFrame:

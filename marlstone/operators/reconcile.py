@@ -78,5 +78,17 @@ def discrepancy(private_price: Column, live_price: Column, availability: Column,
     return kind, F.when(price, F.format_string("price differs by %.0f%%", gap * 100)).when(away, F.concat(F.lit("listed as "), F.lower(F.trim(availability))))
 
 
+def reconcile(private: DataFrame, live: DataFrame, by: list[str], share: float = PRICE_SHARE, titles: bool = True) -> DataFrame:
+    """Each private row with its one live match, if any: adds listing, live_match(url, price, availability) and
+    discrepancy(type, detail). The private row's own facts stay as they are.
+
+    private(*by, item, sku, title, brand, price, ...), live(*by, listing, sku, title, snippet, url, price, availability)."""
+    one = assign(scored_pairs(private, live, by, titles), by).select(*by, "item", "listing")
+    facts = live.select(*by, "listing", F.struct("url", F.col("price").cast("double").alias("price"), F.col("availability").cast("string").alias("availability")).alias("live_match"))
+    rows = private.join(one, [*by, "item"], "left").join(facts, [*by, "listing"], "left")
+    kind, detail = discrepancy(F.col("price"), F.col("live_match.price"), F.col("live_match.availability"), share)
+    return rows.withColumn("discrepancy", F.when(kind.isNotNull(), F.struct(kind.alias("type"), detail.alias("detail"))))
+
+
 def unmatched(live: DataFrame, assigned: DataFrame, by: list[str]) -> DataFrame:
     return live.join(assigned.select(*by, "listing").distinct(), [*by, "listing"], "left_anti")

@@ -2,24 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def cache_hits(requests: DataFrame, keys: list[str], seconds: float) -> DataFrame:
-    """Hits and misses of a cache whose window only a miss opens: requests(*keys, ts).
+def cached(requests: DataFrame, keys: list[str], seconds: float, order: str = "ts") -> DataFrame:
+    """requests(*keys, ts, ...) with `hit`: whether a cache answers, whose window only a miss opens.
+
+    A key's arrivals pass through one Python generator in their order, batch by batch, so a
+    hot key's history is never held as a whole; keys are spread over tasks."""
+    width, schema = int(seconds * 1e6), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema) + ", hit boolean"
+    rows = requests.withColumn("_at", F.unix_micros("ts")).repartition(*keys).sortWithinPartitions(*keys, "_at", order)
+    n = len(requests.columns)
 
-    A key's arrivals are sorted and folded in one row; only timestamps are gathered."""
-    ts = F.unix_micros("ts")
-    arrivals = requests.groupBy(*keys).agg(F.sort_array(F.collect_list(ts)).alias("at"))
-    start = F.struct(F.lit(None).cast("long").alias("opened"), F.lit(0).cast("long").alias("hits"))
+    def fold(batches):
+        key, opened = None, 0
+        for batch in batches:
+            own = list(zip(*(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys), strict=True))
+            hits = []
+            for k, at in zip(own, batch.column(n).to_pylist(), strict=True):
+                hit = k == key and at < opened + width
+                if not hit:
+                    key, opened = k, at
+                hits.append(hit)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(hits, pa.bool_())], names=[*batch.schema.names[:n], "hit"])
 
-    def step(a: Column, t: Column) -> Column:
-        hit = F.coalesce(t < a["opened"] + int(seconds * 1e6), F.lit(False))
-        return F.struct(F.when(hit, a["opened"]).otherwise(t).alias("opened"), (a["hits"] + hit.cast("long")).alias("hits"))
+    return rows.mapInArrow(fold, schema)
 
-    hits = F.aggregate("at", start, step, lambda a: a["hits"])
-    return arrivals.select(*keys, hits.alias("hits"), (F.size("at") - hits).alias("misses"))
+
+def cache_hits(requests: DataFrame, keys: list[str], seconds: float) -> DataFrame:
+    """Hits and misses of each key of requests(*keys, ts)."""
+    return cached(requests.select(*keys, "ts"), keys, seconds).groupBy(*keys).agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
 
 
 def throttle(calls: DataFrame, gap_micros: int, keys: list[str]) -> DataFrame:

@@ -2,59 +2,132 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
-from .lexical import best
+from ..functions.text import bound
+from .lexical import best, counted
 
 DIM = 384
+QUERY_BLOCK = 1024  # queries that a pass over the vectors serves at once
+ROW_BLOCK = 2048
 
 
 def hash_bucket(token: Column, dim: int = DIM) -> Column:
     """The token's 128-bit MD5 number modulo dim, folded from four 32-bit parts."""
-    digest, step = F.md5(token.cast("binary")), (1 << 32) % dim
-    out = F.lit(0).cast("long")
-    for k in range(4):
-        out = F.pmod(out * step + F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long"), F.lit(dim))
-    return out.cast("long")
+    step = (1 << 32) % dim
+
+    def fold(digest: Column) -> Column:
+        out = F.lit(0).cast("long")
+        for k in range(4):
+            out = F.pmod(out * step + F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long"), F.lit(dim))
+        return out.cast("long")
+
+    return bound(F.md5(token.cast("binary")), fold)
 
 
 def hash_sign(token: Column) -> Column:
-    low = F.conv(F.substring(F.md5(token.cast("binary")), 31, 2), 16, 10).cast("long")
-    return F.when(F.floor(low / 128) % 2 == 1, 1).otherwise(-1).cast("long")
+    return F.when(F.substring(F.md5(token.cast("binary")), 31, 1) >= "8", 1).otherwise(-1).cast("long")
 
 
-def hash_embed(docs: DataFrame, dim: int = DIM) -> DataFrame:
-    """Sparse unit vectors (doc_id, bucket, weight) of docs(doc_id, text)."""
-    parts = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("tok")).groupBy("doc_id", "tok").agg(F.count(F.lit(1)).alias("n"))
-    sums = parts.groupBy("doc_id", hash_bucket(F.col("tok"), dim).alias("bucket")).agg(F.sum(F.col("n") * hash_sign(F.col("tok"))).alias("s")).filter("s <> 0")
-    norm = F.sqrt(F.sum(F.col("s") * F.col("s")).over(Window.partitionBy("doc_id")).cast("double"))
-    return sums.select("doc_id", "bucket", (F.col("s") / norm).alias("weight"))
+def hash_vector(text: Column, dim: int = DIM) -> Column:
+    """A text's sparse unit vector, array of (bucket, weight) by bucket, put together within the row; empty without tokens."""
 
+    def summed(rows: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(rows) - 1), lambda i: (i == 0) | (F.get(rows, i)["b"] != F.get(rows, i - 1)["b"]))
+        sums = bound(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(rows, i)["b"].alias("bucket"), F.aggregate(F.slice(rows, i + 1, F.coalesce(F.get(at, k + 1), F.size(rows)) - i), F.lit(0).cast("long"), lambda a, x: a + x["s"]).alias("s"))))
+        return F.filter(sums, lambda x: x["s"] != 0)
 
-def sparse_topk(queries: DataFrame, vectors: DataFrame, top: int) -> DataFrame:
-    """(qid, doc_id, score, rank) by cosine of sparse unit vectors; queries(qid, bucket, weight)."""
-    asked = queries.withColumnRenamed("weight", "q")
-    scored = vectors.join(asked, "bucket").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("q")), 4).alias("score"))
-    return best(scored, top)
+    def unit(sums: Column) -> Column:
+        norm = F.sqrt(F.aggregate(sums, F.lit(0).cast("long"), lambda a, x: a + x["s"] * x["s"]).cast("double"))
+        return bound(norm, lambda n: F.transform(sums, lambda x: F.struct(x["bucket"].alias("bucket"), (x["s"] / n).alias("weight"))))
 
+    signed = F.array_sort(F.transform(counted(text), lambda x: F.struct(hash_bucket(x["tok"], dim).alias("b"), (x["tf"] * hash_sign(x["tok"])).alias("s"))))
+    none = F.array().cast("array<struct<bucket:bigint,weight:double>>")
+    return bound(signed, lambda rows: F.when(F.size(rows) == 0, none).otherwise(bound(summed(rows), unit)))
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
+def hash_embed(docs: DataFrame, dim: int = DIM) -> DataFrame:
+    """Sparse unit vectors (doc_id, bucket, weight) of docs(doc_id, text)."""
+    return docs.select("doc_id", F.inline(hash_vector(F.col("text"), dim)))
 
-def l2_normal(v: Column) -> Column:
-    norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(x.cast("double")))
 
+def dense_vectors(docs: DataFrame, dim: int = DIM) -> DataFrame:
+    """(doc_id, vec array<double>) of the documents whose hash vector isn't empty."""
+    sparse = docs.select("doc_id", hash_vector(F.col("text"), dim).alias("_v")).filter(F.size("_v") > 0)
+    table = lambda v: F.map_from_entries(F.transform(v, lambda x: F.struct(x["bucket"], x["weight"])))
+    filled = bound(table(F.col("_v")), lambda m: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.coalesce(F.try_element_at(m, k.cast("long")), F.lit(0.0))))
+    return sparse.select("doc_id", filled.alias("vec"))
 
-def dense_topk(queries: list[tuple[int, list[float]]], vectors: DataFrame, predicate: Column | None = None, top: int = 5) -> DataFrame:
-    """(qid, doc_id, score, rank) by cosine over vectors(doc_id, vec), filtered before ranking.
 
-    The query vectors are a literal of the plan: each vector is read once, whatever their number."""
-    rows = vectors if predicate is None else vectors.filter(predicate)
-    asked = F.array(*[F.struct(F.lit(q).alias("qid"), F.lit([float(x) for x in v]).alias("q")) for q, v in queries])
-    pairs = rows.select("doc_id", "vec", F.explode(asked).alias("a")).select(F.col("a.qid").cast("long").alias("qid"), "doc_id", "vec", "a.q")
-    cosine = dot(F.col("vec"), F.col("q")) / (F.sqrt(dot(F.col("vec"), F.col("vec"))) * F.sqrt(dot(F.col("q"), F.col("q"))))
-    return best(pairs.select("qid", "doc_id", F.round(cosine, 4).alias("score")), top)
+def l2_normal(v: Column) -> Column:
+    """A vector at unit length; a zero vector stays as it is."""
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return bound(norm, lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x.cast("double"))))
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    if not len(column):
+        return np.zeros((0, 0))
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
+
+
+def rounded(x: np.ndarray) -> np.ndarray:
+    """Four decimals, halves away from zero."""
+    return np.sign(x) * np.floor(np.abs(x) * 1e4 + 0.5) / 1e4
+
+
+def cosine_topk(queries: DataFrame, vectors: DataFrame, top: int, overlap: bool = False, allowed=None, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(qid, doc_id, score, rank): the nearest of vectors(doc_id, vec) to each of queries(qid, vec), by cosine.
+
+    Exact, in one pass over the vectors for each QUERY_BLOCK queries: a block (some 3 MB)
+    goes to all tasks, each task multiplies its vectors with it in blocks of rows and
+    keeps its own top rows of each query, and the tasks' lists meet in one shuffle.
+    overlap leaves out pairs without a common non-zero component. allowed(rows, asked) is
+    a boolean matrix over a batch of vectors and the block's queries, which have the
+    columns `extra` too: filters act before ranking."""
+    spark = queries.sparkSession
+    n = queries.count()
+    blocks = max(1, -(-n // QUERY_BLOCK))
+    numbered = queries.withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
+    columns = [c for c in vectors.columns if c not in ("doc_id", "vec")]
+    whole_id = lambda df, c: F.col(c) if df.schema[c].dataType.simpleString() == "string" else F.col(c).cast("long")
+    rows = vectors.select(whole_id(vectors, "doc_id").alias("doc_id"), "vec", *columns)
+    numbered = numbered.withColumn("qid", whole_id(queries, "qid"))
+    kinds = {"qid": numbered.schema["qid"].dataType.simpleString(), "doc_id": rows.schema["doc_id"].dataType.simpleString()}
+    found = None
+    for b in range(blocks):
+        held = spark.sparkContext.broadcast(numbered.filter(F.col("_block") == b).select("qid", F.col("vec").cast("array<double>").alias("vec"), *extra).toArrow())
+
+        def near(batches, held=held):
+            asked = held.value.combine_chunks()
+            if not asked.num_rows:
+                return
+            qids, q = asked["qid"].combine_chunks(), matrix(asked["vec"].combine_chunks())
+            q_norm = np.sqrt((q * q).sum(1))
+            text = kinds["doc_id"] == "string"
+            kept_id = np.zeros((len(qids), 0), "U1" if text else np.int64)
+            kept = np.zeros((len(qids), 0))
+            for whole in batches:
+                for lo in range(0, whole.num_rows, ROW_BLOCK):
+                    batch = whole.slice(lo, ROW_BLOCK)
+                    v = matrix(batch.column(1))
+                    norm = np.outer(q_norm, np.sqrt((v * v).sum(1)))
+                    cosine = np.where(norm > 0, rounded(q @ v.T / np.where(norm > 0, norm, 1)), -np.inf)
+                    if overlap:
+                        cosine = np.where((q != 0).astype(np.float32) @ (v != 0).T.astype(np.float32) > 0, cosine, -np.inf)
+                    if allowed is not None:
+                        cosine = np.where(allowed(batch, asked), cosine, -np.inf)
+                    ids = np.array(batch.column(0).to_pylist(), str) if text else batch.column(0).to_numpy()
+                    ids = np.broadcast_to(ids, cosine.shape)
+                    kept, kept_id = np.hstack([kept, cosine]), np.hstack([kept_id, ids])
+                    order = np.lexsort((kept_id, -kept), axis=1)[:, :top]
+                    kept, kept_id = np.take_along_axis(kept, order, 1), np.take_along_axis(kept_id, order, 1)
+            who, place = np.nonzero(kept > -np.inf)
+            yield pa.RecordBatch.from_arrays([qids.take(pa.array(who)), pa.array(kept_id[who, place]), pa.array(kept[who, place])], names=["qid", "doc_id", "score"])
+
+        part = rows.mapInArrow(near, f"qid {kinds['qid']}, doc_id {kinds['doc_id']}, score double")
+        found = part if found is None else found.unionByName(part)
+    return best(found, top)

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import answer, evaluate, routing, safety, state
+from ..operators import answer, asr, evaluate, lexical, routing, safety, state, turn
 from .common import query, table
-from .retrieval import LEXICAL, RANKED, asked, docs
+from .retrieval import LEXICAL, RANKED, asked, docs, stored
 
 HOSTS = ["example.com", "tionsh.example.net", "thther.example.org"]
 _HOST = "regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^.*@', ''), ':[0-9]*$', ''), '^www\\.', '')"
@@ -65,9 +65,12 @@ def router_tasks(spark, d) -> DataFrame:
 
 
 @query(f"""select conv_id, turn, case when task = 'out_of_catalog' then 'web' when wants_live then 'private,web' else 'private' end as sources, task = 'out_of_catalog' or wants_live as call_web_search, 3::bigint as k,
-case when task = 'out_of_catalog' then 'title' else 'sku,brand,title' end as reconcile_on from ({ROUTED})""")
+case when task = 'out_of_catalog' then 'title' else 'sku,brand,title' end as reconcile_on, case when task <> 'out_of_catalog' then material end as material, case when task <> 'out_of_catalog' and turn % 3 = 1 then 20.0::double end as price_max,
+case when len({_WORDS}) > 0 then array_to_string({_WORDS}[1:7], ' ') else 'cleaner' end as query, case when task = 'out_of_catalog' then 'title,source' else 'price,rating,price_per_oz,ingredients' end as criteria from ({ROUTED})""")
 def planner_plan(spark, d) -> DataFrame:
-    return routing.plan(routed(spark, d)).select("conv_id", "turn", "sources", "call_web_search", "k", "reconcile_on")
+    """Plans of routed turns, some of which state an upper price."""
+    plans = routing.plan(routed(spark, d).withColumn("price_max", F.when(F.col("turn") % 3 == 1, F.lit(20.0))))
+    return plans.select("conv_id", "turn", "sources", "call_web_search", "k", "reconcile_on", F.col("filters.material").alias("material"), F.col("filters.price_max").alias("price_max"), "query", "criteria")
 
 
 CLASSES = {"code": ["the", "thon"], "academic": ["of", "inth", "to th"], "news": ["und", "der"], "company": ["la", "les"], "people": ["que", "que la"]}
@@ -202,44 +205,94 @@ def audio_name_parse(spark, d) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", asked_for.alias("query"), speaker.alias("speaker"))
 
 
-def spoken_pairs(spark, d) -> DataFrame:
-    """Neighbouring turns as reference and transcript."""
-    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", F.array_join(T.word_list(F.col("text")), " ").alias("text"))
-    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("said"))
-    pairs = turns.join(after, ["conv_id", "turn"])
-    return pairs.withColumn("wer", evaluate.word_error_rate(T.spoken_normal(F.col("text")), T.spoken_normal(F.col("said"))))
+def references(spark, d) -> DataFrame:
+    """What was to be said: the first turn of every conversation, read plainly; the second, in another voice."""
+    turns = table(spark, d, "conversations").filter("turn < 2")
+    return turns.select(F.when(F.col("turn") == 0, "prototype").otherwise("voicemod").alias("dataset"), F.concat(F.lit("query"), F.col("conv_id").cast("string")).alias("query"), F.col("text").alias("reference"))
+
+
+def transcripts(spark, d) -> DataFrame:
+    """What was heard: every turn, as a clip of its conversation's query in its role's voice; some were not understood at all."""
+    speaker = F.when(F.col("role") == "user", "original").otherwise(F.col("role"))
+    path = F.concat(F.lit("/clips/query"), F.col("conv_id").cast("string"), F.lit("_"), speaker, F.lit(".wav"))
+    return table(spark, d, "conversations").select("conv_id", "turn", path.alias("path"), F.when(F.col("turn") % 4 != 3, F.col("text")).alias("text"))
+
+
+_HEARD = """select c.conv_id, c.turn, case when c.role = 'user' then 'original' else c.role end as speaker, r.text as reference, case when c.turn % 4 <> 3 then c.text else r.text end as text, case when c.turn % 4 <> 3 then 'asr' when r.text is not null then 'fallback-reference' end as model
+from conversations c left join conversations r on r.conv_id = c.conv_id and r.turn = case when c.role = 'user' then 0 else 1 end"""
+
+
+def heard(spark, d) -> DataFrame:
+    return asr.with_fallback(asr.with_reference(transcripts(spark, d), references(spark, d)), allow=True)
+
+
+@query(f"select conv_id, turn, speaker, model, md5(reference) as reference, md5(text) as text from ({_HEARD})")
+def asr_reference_join(spark, d) -> DataFrame:
+    """Each transcript with the reference of the set its file name points to, and the stand-in where there is none."""
+    return heard(spark, d).select("conv_id", "turn", "speaker", "model", F.md5(F.col("reference").cast("binary")).alias("reference"), F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+def rated(spark, d) -> DataFrame:
+    return asr.with_error_rate(heard(spark, d).filter("reference is not null"))
 
 
 @query()
 def wer_by_group(spark, d) -> DataFrame:
-    return spoken_pairs(spark, d).groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("wer"), 6).alias("wer"))
+    return asr.mean_error_rate(rated(spark, d), "speaker")
+
+
+@query()
+def wer_overall(spark, d) -> DataFrame:
+    return asr.mean_error_rate(rated(spark, d))
 
 
 @query()
 def asr_errors(spark, d) -> DataFrame:
-    return spoken_pairs(spark, d).filter("role = 'user' and wer > 0.9").select("conv_id", "turn", F.round("wer", 6).alias("wer"))
+    """Transcripts of the other voices that differ much from their reference."""
+    return rated(spark, d).filter("dataset = 'voicemod' and wer > 0.9").select("conv_id", "turn", F.round("wer", 6).alias("wer"))
 
 
-_TERMS = "select item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')[1:5])) as term from benchmark"
-_FOUND = f"select item_id, term, doc_id, contains(low, term) as recognized from ({_TERMS}), (select doc_id, lower(text) as low from documents where doc_id % 40 = 3)"
+_FORMS = "trim(lower(coalesce({0}, '')))"
+for _old, _new in T.SPOKEN_FORMS:
+    _FORMS = f"replace({_FORMS}, '{_old}', '{_new}')"
+_NORMAL = f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_FORMS}, '[-–—]', ' ', 'g'), '[’'']', '', 'g'), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))".replace("{{", "{").replace("}}", "}")
+_N_ITEMS = "(select count(*) from benchmark)"
+_HITS = f"""select item_id as query, doc_id % 3 as voice, term, contains(said, {_NORMAL.replace('{0}', 'term')}) as recognized from (select doc_id, doc_id % {_N_ITEMS} as item_id, {_NORMAL.replace('{0}', 'text')} as said from documents)
+join (select item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) as term from benchmark) using (item_id)"""
 
 
 def term_hits(spark, d) -> DataFrame:
-    """Expected terms against every transcript of the set: documents stand in for transcripts."""
-    terms = table(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(F.slice(T.tokens(F.col("text")), 1, 5))).alias("term"))
-    held = terms.agg(F.collect_list(F.struct("item_id", "term")).alias("terms")).scalar()  # five terms to a query: a literal of the plan
-    said = docs(spark, d).filter("doc_id % 40 = 3").select("doc_id", F.lower("text").alias("low"))
-    return said.select("doc_id", "low", F.explode(held).alias("t")).select("t.item_id", "t.term", "doc_id", F.contains("low", F.col("t.term")).alias("recognized"))
+    """Every document stands in for a transcript of one query, and the words of that query are the terms it should hold."""
+    items = table(spark, d, "benchmark")
+    n = items.count()
+    terms = items.select(F.col("item_id").alias("query"), F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
+    said = docs(spark, d).select("doc_id", "text", (F.col("doc_id") % n).alias("query"), (F.col("doc_id") % 3).alias("voice"))
+    return asr.term_hits(said, terms)
 
 
-@query(f"select item_id, count(*) as n, round(avg(recognized::int), 6) as accuracy from ({_FOUND}) group by item_id")
+@query(f"select query, count(*) as n, round(avg(recognized::int), 6) as accuracy from ({_HITS}) group by query")
 def term_accuracy(spark, d) -> DataFrame:
-    return term_hits(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("recognized").cast("double")), 6).alias("accuracy"))
+    return asr.accuracy(term_hits(spark, d), "query")
+
+
+@query(f"select voice, count(*) as n, round(avg(recognized::int), 6) as accuracy from ({_HITS}) group by voice")
+def term_accuracy_by_voice(spark, d) -> DataFrame:
+    return asr.accuracy(term_hits(spark, d), "voice")
 
 
-@query(f"select term, count(*) as misses from ({_FOUND}) where not recognized group by term")
+@query(f"select count(*) as n, round(avg(recognized::int), 6) as accuracy from ({_HITS})")
+def term_accuracy_overall(spark, d) -> DataFrame:
+    return asr.accuracy(term_hits(spark, d))
+
+
+@query(f"select term, count(*) as misses from ({_HITS}) where not recognized group by term")
 def term_misses(spark, d) -> DataFrame:
-    return term_hits(spark, d).filter("not recognized").groupBy("term").agg(F.count(F.lit(1)).alias("misses"))
+    return asr.misses(term_hits(spark, d), "term")
+
+
+@query(f"select voice, count(*) as misses from ({_HITS}) where not recognized group by voice")
+def term_misses_by_voice(spark, d) -> DataFrame:
+    return asr.misses(term_hits(spark, d), "voice")
 
 
 ANSWERS = f"""{LEXICAL}, r as ({RANKED.format('bm', 5)}), top as (select qid, count(*) as n, arg_min(doc_id, rank) as doc_id from r group by qid),
@@ -247,25 +300,159 @@ a as (select item_id as qid, top.doc_id, 'document ' || top.doc_id as title, n_c
 _SPOKEN = "'The best match is ' || title || ' at $' || printf('%.2f', price) || '. It was compared with ' || others || ' others. Sources are on screen. Should it be cheaper, or better rated?'"
 
 
-@query(f"{ANSWERS} select qid, doc_id, case when title is null then '{answer.NOTHING}' else {_SPOKEN} end as speech, 'accept' as action from a")
+@query(f"""{ANSWERS}, f as (select *, qid % 3 = 0 as flagged, (qid % 4)::int as made_up, qid % 5 = 0 as blocked from a)
+select qid, doc_id, case when flagged then '{answer.CAUTION}' else '' end || case when title is null then '{answer.NOTHING}' else {_SPOKEN} end as speech, case when blocked then 'reject' when made_up = 1 then 'revise' else 'accept' end as action from f""")
 def answer_turn(spark, d) -> DataFrame:
-    """A turn for each query: search, answer, critic."""
-    from ..operators import lexical
-
-    found = lexical.bm25(asked(spark, d), docs(spark, d), top=5)
+    """Search, answer and critic of each query; some turns have hazards, made-up citations, or are blocked."""
+    found = lexical.bm25(asked(spark, d), stored(spark, d), top=5)
     top = found.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.min_by("doc_id", "rank").alias("doc_id"))
     rows = asked(spark, d).select("qid").join(top, "qid", "left").join(docs(spark, d).select("doc_id", (F.col("n_chars") / 100.0).alias("price")), "doc_id", "left")
     speech = answer.spoken_answer(F.concat(F.lit("document "), F.col("doc_id").cast("string")), F.col("price"), F.lit(None).cast("double"), F.coalesce("n", F.lit(0)) - 1)
-    none = F.lit(0)
-    return rows.select("qid", "doc_id", answer.cautioned(speech, F.array().cast("array<string>")).alias("speech"), answer.verdict(F.lit(False), none, none, none).alias("action"))
+    k = F.col("qid")
+    hazards = F.when(k % 3 == 0, F.array(F.lit("mixed"))).otherwise(F.array().cast("array<string>"))
+    action = answer.verdict(k % 5 == 0, F.when(k % 4 == 1, 1).otherwise(0), F.size(hazards), F.lit(0))
+    return rows.select("qid", "doc_id", answer.cautioned(speech, hazards).alias("speech"), action.alias("action"))
+
+
+_MESSAGES = f"""select conv_id, turn, length(text) as ms, concat_ws(',', case when n = 0 then 'no speech' end, case when n / 150.0::double * 60 > 15 then 'over budget' end, case when role = 'system' and turn % 2 = 1 then 'bad action' end, case when turn % 5 = 4 then 'uncited row' end,
+case when role = 'system' and turn % 3 = 0 then 'spoken before accept' end, case when turn % 6 = 3 then 'no audio file' end) as messages from (select *, {_N.format('text')} as n from conversations)"""
+
 
+def cases(spark, d) -> DataFrame:
+    action, k = F.when(F.col("role") == "system", "reject").otherwise("accept"), F.col("turn")
+    found = evaluate.invariants(T.speech_seconds(F.col("text")), action, F.when(k % 5 == 4, 1).otherwise(0), F.lit(1), k % 2 == 0, spoken=k % 3 == 0, audio=k % 6 != 3)
+    return table(spark, d, "conversations").select("conv_id", "turn", found.alias("messages"), F.length("text").alias("wall_ms"))
 
-@query(f"""select conv_id, turn, concat_ws(',', case when n = 0 then 'no speech' end, case when n / 150.0::double * 60 > 15 then 'over budget' end, case when role = 'system' and turn % 2 = 1 then 'bad action' end, case when turn % 5 = 4 then 'uncited row' end) as messages
-from (select *, {_N.format('text')} as n from conversations)""")
+
+@query(f"select conv_id, turn, messages from ({_MESSAGES})")
 def e2e_invariants(spark, d) -> DataFrame:
-    action = F.when(F.col("role") == "system", "reject").otherwise("accept")
-    found = evaluate.invariants(T.speech_seconds(F.col("text")), action, F.when(F.col("turn") % 5 == 4, 1).otherwise(0), F.lit(1), F.col("turn") % 2 == 0)
-    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(found, ",").alias("messages"))
+    return cases(spark, d).select("conv_id", "turn", F.array_join("messages", ",").alias("messages"))
+
+
+@query(f"select count(*) as n_cases, count(*) filter (where messages = '') as n_passed, count(*) filter (where messages <> '') as n_failed, round(avg(ms))::bigint as mean_wall_ms from ({_MESSAGES})")
+def e2e_summary(spark, d) -> DataFrame:
+    return evaluate.case_summary(cases(spark, d))
+
+
+@query("select conv_id as trace_id, '# Steps' || chr(10) || chr(10) || string_agg('## ' || turn || '. ' || upper(role[1]) || role[2:] || ' (' || length(text) || ' ms)', chr(10) || chr(10) order by turn) as markdown from conversations group by conv_id")
+def trace_markdown(spark, d) -> DataFrame:
+    return turn.markdown(steps(spark, d))
+
+
+@query("select event_id, fingerprint, coalesce(fingerprint <> lag(fingerprint) over (partition by user_id order by event_id), true) as changed from (select *, sha256(event_type) as fingerprint from events)")
+def input_changes(spark, d) -> DataFrame:
+    """Whether a user's input differs from the one before."""
+    return asr.changed(events(spark, d), "user_id", "event_id", F.col("event_type")).select("event_id", "fingerprint", "changed")
+
+
+# -- live search and provider state ----------------------------------------------------------
+
+_MODE = " ".join(f"when '{k}' then {_candidates(v)}" for k, v in routing.MODES.items())
+_NEAR, _CONFIGURED, _TRIED = "['brave']", "list_filter(['exa', 'tavily', 'brave', 'linkup', 'gemini'], lambda p: conv_id % 2 = 0 or p <> 'gemini')", "case when turn % 4 = 2 then ['tavily', 'exa'] else []::varchar[] end"
+_PICK = "coalesce(list_filter(case mode {modes} end, lambda p: not list_contains({out}, p) and list_contains(configured, p) and not list_contains({near}, p))[1], list_filter({last}, lambda p: not list_contains({out}, p) and list_contains(configured, p))[1], 'tavily')"
+_pick = lambda out: _PICK.format(modes=_MODE, out=out, near=_NEAR, last=_candidates(()))
+
+
+@query(f"""with r as (select conv_id, turn, ['{"', '".join(routing.MODES)}'][1 + (conv_id + turn) % {len(routing.MODES)}] as mode, {_CONFIGURED} as configured, {_TRIED} as excluded from conversations where role = 'user'),
+c as (select *, {_pick('excluded')} as provider, (conv_id * 7 + turn) % 50 as slot from r), p as (select *, {_pick('list_concat(excluded, [provider])')} as next from c),
+o as (select [{", ".join(f"'{x}'" for x in routing.LAST_RESORT)}][1 + page_id % 6] as provider, page_id % 50 as slot, page_id, case when page_id % 4 = 1 then 'answer ' || page_id else '' end as answer, url from pages),
+f as (select p.*, o.page_id, o.answer, o.url, row_number() over (partition by conv_id, turn order by o.page_id) as n from p join o on o.provider = p.provider and o.slot = p.slot qualify n <= 10),
+g as (select conv_id, turn, count(*) as n, arg_min(answer, page_id) filter (where answer <> '') as answer, string_agg(url, ' ' order by page_id) as urls from f group by all)
+select conv_id * 1000 + turn as request_id, mode, provider as provider_used, coalesce(n, 0) as count, answer, coalesce(urls, '') as urls, coalesce(n, 0) < 3 as can_escalate, case when coalesce(n, 0) < 3 then next end as escalate_to,
+case when mode = 'deep' then 300 when mode in ('code', 'company', 'people') then 20 when mode = 'academic' then 60 else 15 end as timeout, false as exhausted from p left join g using (conv_id, turn)""")
+def live_search(spark, d) -> DataFrame:
+    """Search composed: provider by mode, configuration, exclusions and quota; results, answer, escalation. Pages stand in for what providers have."""
+    k, modes = F.col("conv_id"), F.array(*map(F.lit, routing.MODES))
+    requests = table(spark, d, "conversations").filter("role = 'user'").select(
+        (k * 1000 + F.col("turn")).alias("request_id"), F.get(modes, ((k + F.col("turn")) % len(routing.MODES)).cast("int")).alias("mode"), ((k * 7 + F.col("turn")) % 50).alias("slot"),
+        F.filter(F.array(*map(F.lit, ["exa", "tavily", "brave", "linkup", "gemini"])), lambda p: (k % 2 == 0) | (p != "gemini")).alias("configured"), F.array(F.lit("brave")).alias("near"),
+        F.when(F.col("turn") % 4 == 2, F.array(F.lit("tavily"), F.lit("exa"))).otherwise(F.array().cast("array<string>")).alias("excluded"),
+    )
+    page = F.col("page_id")
+    pages = table(spark, d, "pages").select(F.get(F.array(*map(F.lit, routing.LAST_RESORT)), (page % 6).cast("int")).alias("provider"), (page % 50).alias("slot"), page.alias("ord"), F.lit("page").alias("title"), "url", F.lit("").alias("snippet"), F.lit(1.0).alias("score"), F.when(page % 4 == 1, F.concat(F.lit("answer "), page.cast("string"))).otherwise("").alias("answer"))
+    offers = requests.select("request_id", "slot").join(pages, "slot").drop("slot")
+    found = routing.live_search(requests.drop("slot"), offers)
+    return found.select("request_id", "mode", "provider_used", "count", "answer", F.array_join(F.transform("sources", lambda x: x["url"]), " ").alias("urls"), "can_escalate", "escalate_to", "timeout", "exhausted")
+
+
+@query(f"""select provider, coalesce(case when provider = 'click' then ever else in_month end, 0)::bigint as calls, call_limit, case when call_limit > 0 then coalesce(case when provider = 'click' then ever else in_month end, 0) >= 0.95::double * call_limit else false end as near
+from (values {", ".join(f"('{k}', {n or 'null'}::bigint)" for k, (n, _) in [*LIMITS.items(), ('idle', (10, 'monthly'))])}) l(provider, call_limit)
+left join (select event_type as provider, count(*) as ever, count(*) filter (where strftime(ts, '%Y-%m') = '2024-01') as in_month from events group by all) using (provider)""")
+def usage_backfill(spark, d) -> DataFrame:
+    """Every known provider's calls of the month, or ever; one that was never called has none."""
+    from ..sources.sinks import usage_now
+
+    used = usage_now(events(spark, d).withColumnRenamed("event_type", "provider"), F.lit("2024-01"), {**LIMITS, "idle": (10, "monthly")})
+    near = routing.near_limit_now(used).withColumn("near", F.lit(True))
+    return used.join(near, "provider", "left").select("provider", "calls", "call_limit", F.coalesce("near", F.lit(False)).alias("near"))
+
+
+@query(f"""with recursive o as (select event_id, user_id, event_type, epoch_us(ts) as t, row_number() over (partition by user_id, event_type order by ts, event_id) as n from events),
+f as (select user_id, event_type, n, event_id, t, t as opened, false as hit from o where n = 1 union all select o.user_id, o.event_type, o.n, o.event_id, o.t, case when o.t < f.opened + {TTL}::bigint * 1000000 then f.opened else o.t end, o.t < f.opened + {TTL}::bigint * 1000000
+from f join o on o.user_id = f.user_id and o.event_type = f.event_type and o.n = f.n + 1)
+select event_id as call_id, n * 60000000 + max(t - n * 60000000) over (partition by user_id order by t, event_id rows unbounded preceding) as start from (select event_id, user_id, t, row_number() over (partition by user_id order by t, event_id) as n from f where not hit)""")
+def throttle_misses(spark, d) -> DataFrame:
+    """Only calls that the cache can't answer wait for their turn."""
+    calls = state.cached(events(spark, d).select("user_id", "event_type", "event_id", "ts"), ["user_id", "event_type"], TTL, "event_id").filter(~F.col("hit"))
+    return state.throttle(calls.select("user_id", F.col("event_id").alias("call_id"), F.unix_micros("ts").alias("at")), 60_000_000, ["user_id"]).select("call_id", "start")
+
+
+# -- whole turns ----------------------------------------------------------------------------
+
+TURN_OUT, TURN_IN, TURN_LIVE = ["zz", "shea"], ["the", " la ", " de ", "und", "e"], ["tion"]
+HAZARD, INJECTION = {"mixed": [["onen", "ver", "de"], ["match"]]}, {"der": PATTERNS["der"]}
+
+
+def turn_route(turns: DataFrame) -> DataFrame:
+    """The router, with the constraints that a turn's number stands for."""
+    k = F.col("qid") % 5
+    return routing.route(turns, TURN_OUT, TURN_IN, ECO, TURN_LIVE, material="zzz").withColumns({"price_max": F.when(k == 2, F.lit(20.0)).when(k == 4, F.lit(0.001)), "brand": F.when(k == 1, F.lit("EN"))})
+
+
+def made_up(rows: DataFrame, attempt: int) -> DataFrame:
+    """An answerer that cites what was not found in every third turn, and mends half of those when asked again."""
+    out = turn.offline_answer(rows, attempt)
+    wrong = (F.col("qid") % 3 == 0) if attempt == 0 else (F.col("qid") % 6 == 3)
+    return out.withColumn("table_ids", F.when(wrong, F.concat("table_ids", F.array(F.lit("none")))).otherwise(F.col("table_ids")))
+
+
+def _turn_sql() -> str:
+    from .retrieval import META, fused_sql, hashed_sql, lexical_sql
+
+    low, words = "lower(text)", _WORDS.replace("trim(low)", "trim(text)")
+    any_of = lambda terms: "(" + " or ".join(f"contains({low}, '{t}')" for t in terms) + ")"
+    start = lambda terms, x: f"regexp_matches(lower({x}), '{_START}({'|'.join(terms)})')"
+    hazard = lambda x: "(" + " and ".join(start(g, x) for g in HAZARD["mixed"]) + ")"
+    planned = f"""select item_id as qid, text, {words} as words, regexp_matches(text, '(?is){INJECTION['der']}') as injected, {hazard('text')} as hazard, {any_of(TURN_OUT)} or not {any_of(TURN_IN)} as away, {any_of(TURN_LIVE)} as wants from benchmark"""
+    plan = f"""select qid, text, case when len(words) > 0 then array_to_string(words[1:7], ' ') else 'cleaner' end as query, case when injected or hazard then 'blocked' when away then 'out_of_catalog' else 'product_recommendation' end as task,
+case when injected then 'prompt_injection:der' else 'mixed' end as flag, wants, case when qid % 5 = 1 then 'en' end as brand, case when qid % 5 = 2 then 20.0::double when qid % 5 = 4 then 0.001::double end as price_max from ({planned})"""
+    ok = "(p.brand is null or coalesce(lower(meta.brand) = p.brand, false)) and (p.price_max is null or coalesce(price between 0 and p.price_max, false))"
+    searched = f"select qid, query as text from ({plan}) where task = 'product_recommendation'"
+    return f"""{lexical_sql(searched)}{hashed_sql(searched)}{META}, p as ({plan}), dense_f as (select dense.* from dense join p using (qid) join meta using (doc_id) where {ok}), bm_f as (select bm.* from bm join p using (qid) join meta using (doc_id) where {ok})
+{fused_sql('dense_f', 'bm_f', 'strict')}{fused_sql()}, every as (select qid, doc_id, fused, false as relaxed from strict union all select qid, doc_id, fused, true from fused where qid in (select qid from p where brand is not null or price_max is not null) and qid not in (select qid from strict)),
+top as (select *, row_number() over (partition by qid order by fused desc, doc_id) as rank from every qualify rank <= 3), g as (select qid, count(*) as n_private, bool_or(relaxed) as relaxed, arg_min(doc_id, rank) as doc_id, string_agg(category, ' ' order by rank) as ingredients from top join meta using (doc_id) group by qid),
+s as (select p.*, coalesce(n_private, 0) as n_private, coalesce(relaxed, false) as relaxed, task <> 'blocked' and (task = 'out_of_catalog' or wants) as live, g.doc_id, coalesce(g.ingredients, ' ') as ingredients, round(price, 2) as price, round(rating, 2) as rating from p left join g using (qid) left join meta using (doc_id)),
+b as (select *, case when live then 2 else 0 end as n_live, case when live then 1 else 0 end as n_blocked from s),
+w as (select *, case when task = 'blocked' then '' when n_private > 0 then 'The best match is document ' || doc_id || ' at $' || printf('%.2f', price) || coalesce(', rated ' || rating::varchar, '') || '. It was compared with ' || (n_private - 1) || ' others. Sources are on screen. Should it be cheaper, or better rated?'
+when n_live > 0 then 'The best match is offer 0 at $9.50. It was compared with 1 others. Sources are on screen. Should it be cheaper, or better rated?' else '{answer.NOTHING}' end as said from b),
+h as (select *, task <> 'blocked' and {hazard("text || ' ' || said || ' ' || ingredients")} as unsafe from w)
+select qid, task, case when task = 'blocked' then '' when task = 'out_of_catalog' then 'web' when wants then 'private,web' else 'private' end as sources, n_private, relaxed, n_live::bigint as n_live, n_blocked::bigint as n_blocked, case when n_private > 0 then n_live else 0 end::bigint as n_unmatched,
+case when task = 'blocked' then case when flag = 'mixed' then '{turn.BLOCKED[False]}' else '{turn.BLOCKED[True].replace("'", "''")}' end when unsafe then '{answer.CAUTION}' || said else said end as speech,
+case when task = 'blocked' then 'reject' when qid % 6 = 3 then 'revise' else 'accept' end as action, task = 'blocked' or unsafe as unsafe, task = 'blocked' or qid % 6 <> 3 as grounded, case when task <> 'blocked' and qid % 3 = 0 then 1 else 0 end as revisions,
+concat_ws('>', 'router', 'planner', case when task = 'product_recommendation' then 'private_search' end, case when live then 'live_search' end, case when task <> 'blocked' then 'reconcile' end, 'answer', case when task <> 'blocked' and qid % 3 = 0 then 'answer_again' end, case when task <> 'blocked' and qid % 6 <> 3 then 'speak' end) as steps from h"""
+
+
+@query(_turn_sql())
+def turn_end_to_end(spark, d) -> DataFrame:
+    """Whole turns: guard, route, plan, search with a relaxed retry, live results, reconciliation, answer, critic, second answer."""
+    offer = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("ord")
+    live = asked(spark, d).select("qid", offer).select(
+        "qid", "ord", F.concat(F.lit("offer "), F.col("ord").cast("string")).alias("title"), F.concat(F.lit("https://"), F.when(F.col("ord") == 1, "bad.test").otherwise("shop.example.com"), F.lit("/p")).alias("url"),
+        F.lit("x").alias("snippet"), (F.col("ord") + 9.5).alias("price"), F.lit("in stock").alias("availability"),
+    )
+    rows = turn.run(asked(spark, d), stored(spark, d), live, turn_route, made_up, HOSTS, HAZARD, INJECTION)
+    kept = ["qid", "task", "sources", "n_private", "relaxed", "n_live", "n_blocked", "n_unmatched", "speech", "action", "unsafe", "grounded", "revisions"]
+    return rows.select(*kept, F.array_join("steps", ">").alias("steps"))
 
 
 @query("select event_type as provider, strftime(ts, '%Y-%m') as month, count(*) as calls from events group by all")
@@ -283,3 +470,11 @@ def stream_ttl_cache(spark, d) -> DataFrame:
     from ..streaming.state import cached_requests
 
     return cached_requests(spark, d, TTL)
+
+
+@query("""select event_id as call_id, n * 60000000 + max(t - n * 60000000) over (partition by user_id order by t, event_id rows unbounded preceding) as start
+from (select event_id, user_id, epoch_us(ts) as t, row_number() over (partition by user_id order by ts, event_id) as n from events)""")
+def stream_throttle(spark, d) -> DataFrame:
+    from ..streaming.state import throttled
+
+    return throttled(spark, d, 60_000_000)

@@ -15,7 +15,7 @@ RAW_RATING = "case p_partkey % 4 when 0 then '4.6 out of 5' when 1 then '1,000'
 RAW_SIZE = "cast(p_size as varchar(10)) || case p_partkey % 5 when 0 then ' Fl. Oz' when 1 then '.5 ml' when 2 then 'lb' when 3 then ' ct' else ' floz' end"
 RAW_TITLE = "p_name || case when p_partkey % 3 = 0 then ' 12 oz bottle' else '' end"
 NUMBER = r"[-+]?\d[\d,]*\.?\d*"
-SIZE = r"(?i)(\d+(?:\.\d+)?)\s*(fl\.?\s*oz|fluid\s+ounce|ounce|oz|ml|milliliter|l\b|liter|lb|pound|g\b|gram)"
+SIZE = r"(?i)(\d+(?:\.\d+)?)\s*(fl\.?\s*oz|fluid ounce|ounce|oz|ml|milliliter|l\b|liter|lb|pound|g\b|gram)"
 PRESENT = "case when lower(trim({0})) not in ('', 'nan', 'none') then trim({0}) end"
 
 
@@ -57,12 +57,10 @@ def etl_split_features(spark, d) -> DataFrame:
     return parts.select("doc_id", F.size("f").cast("long").alias("n_features"), F.array_join("f", "; ").alias("features"))
 
 
-def category_slice(rows: DataFrame, category: str, keywords: list[str]) -> DataFrame:
-    """Rows whose category has any keyword; all rows if none has. One row tells which."""
-    from ..operators.routing import contains_any
+def category_slice(rows: DataFrame, column: str, keywords: list[str]) -> DataFrame:
+    from ..sources.catalog import catalog_slice
 
-    hit = contains_any(F.lower(category), keywords)
-    return rows.filter(hit | ~F.coalesce(rows.agg(F.bool_or(hit)).scalar(), F.lit(False)))
+    return catalog_slice(rows, keywords, column)
 
 
 @query("select p_partkey, p_type from part where lower(p_type) like '%promo%' or lower(p_type) like '%econ%'")
@@ -87,8 +85,9 @@ _SNIPPETS = "select conv_id, turn, unnest(s) as snippet, generate_subscripts(s,
 
 
 def snippets(spark, d, delimiter: str = r"\. ") -> DataFrame:
-    parts = F.filter(F.transform(F.split("text", delimiter), lambda x: F.trim(x)), lambda x: x != "")
-    return table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(parts).alias("pos", "snippet")).withColumn("pos", (F.col("pos") + 1).cast("long"))
+    from ..sources.catalog import exploded
+
+    return exploded(table(spark, d, "conversations").select("conv_id", "turn", "text"), "text", delimiter).select("conv_id", "turn", (F.col("ord") + 1).cast("long").alias("pos"), "snippet")
 
 
 @query(f"select conv_id, turn, snippet, pos from ({_SNIPPETS})")
@@ -116,8 +115,9 @@ def etl_embed_text(spark, d) -> DataFrame:
 
 @query("select o_orderkey, o_custkey::varchar || repeat('_dup', (row_number() over (partition by o_custkey order by o_orderkey) - 1)::int) as uid from orders")
 def etl_dedupe_ids(spark, d) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    return table(spark, d, "orders").withColumn("n", n).select("o_orderkey", F.concat(F.col("o_custkey").cast("string"), F.expr("repeat('_dup', n - 1)")).alias("uid"))
+    from ..sources.index import unique_ids
+
+    return unique_ids(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", ["o_orderkey"]).select("o_orderkey", F.col("store_id").alias("uid"))
 
 
 @query("select count(*) as n_docs, count(quality) as n_labelled, count(*) filter (where quality = 1) as n_good, count(*) filter (where text <> '') as n_text from documents left join labels using (doc_id)")
@@ -126,12 +126,12 @@ def etl_summary(spark, d) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n_docs"), F.count("quality").alias("n_labelled"), F.count_if(F.col("quality") == 1).alias("n_good"), F.count_if(F.col("text") != "").alias("n_text"))
 
 
-@query("""select count(*) as n, round(avg((quality is not null)::int), 6) as labelled, round(avg((text <> '')::int), 6) as with_text, round(avg((lang is not null)::int), 6) as with_lang
+@query("""select count(*) as n, round(avg((quality is not null)::int), 6) as labelled, round(avg((text <> '')::int), 6) as with_text, round(avg((lang is not null)::int), 6) as with_lang, round(avg((source <> '')::int), 6) as with_source, round(avg((n_chars > 0)::int), 6) as with_size
 from documents left join labels using (doc_id)""")
 def etl_coverage(spark, d) -> DataFrame:
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
     share = lambda c: F.round(F.avg(c.cast("double")), 6)
-    return rows.agg(F.count(F.lit(1)).alias("n"), share(F.col("quality").isNotNull()).alias("labelled"), share(F.col("text") != "").alias("with_text"), share(F.col("lang").isNotNull()).alias("with_lang"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), share(F.col("quality").isNotNull()).alias("labelled"), share(F.col("text") != "").alias("with_text"), share(F.col("lang").isNotNull()).alias("with_lang"), share(F.col("source") != "").alias("with_source"), share(F.col("n_chars") > 0).alias("with_size"))
 
 
 @query("select min(p_retailprice) as low, median(p_retailprice) as middle, max(p_retailprice) as high from part")
@@ -146,7 +146,7 @@ def metadata_filter(spark, d) -> DataFrame:
 
 
 @query("""select p_partkey, p_name, p_retailprice, row_number() over (order by p_retailprice desc, p_partkey) as n from part
-where contains(lower(p_name), 'bolt') and regexp_matches(p_type, '(?i)eco|promo') and p_retailprice < 950 order by 4 limit 50""")
+where contains(lower(p_name), 'bolt') and regexp_matches(p_type, '(?i)eco|promo') and p_retailprice < 950""")
 def eda_filtered_sort(spark, d) -> DataFrame:
     rows = table(spark, d, "part").filter(F.contains(F.lower("p_name"), F.lit("bolt")) & F.regexp_like("p_type", F.lit("(?i)eco|promo")) & (F.col("p_retailprice") < 950))
     keys = [F.desc("p_retailprice"), F.col("p_partkey")]
@@ -158,15 +158,21 @@ def eda_filtered_sort(spark, d) -> DataFrame:
     return numbered.join(F.broadcast(shift), "_part").select("p_partkey", "p_name", "p_retailprice", (F.col("_before") + F.col("_row") + 1).alias("n"))
 
 
-@query("select event_id, array_to_string(list_sort(list_filter(['k', 'provider'], lambda x: not list_contains(json_keys(props), x))), ',') as missing from events")
+_BROKEN = "case event_id % 5 when 0 then '[1, 2]' when 1 then '{\"k\": ' when 2 then '{\"k\": 1, \"provider\": null}' else props end"
+_MISSING = "array_to_string(list_sort(list_filter(['k', 'provider'], lambda x: not list_contains(json_keys(raw), x))), ',')"
+
+
+@query(f"""select event_id, case when not json_valid(raw) then 'not valid JSON' when json_type(raw) <> 'OBJECT' then 'JSON is not an object' when {_MISSING} <> '' then 'missing required keys: ' || {_MISSING} end as error,
+case when json_valid(raw) and json_type(raw) = 'OBJECT' and {_MISSING} = '' then json_extract_string(raw, '$.k') end as k from (select event_id, {_BROKEN} as raw from events)""")
 def json_contract_check(spark, d) -> DataFrame:
-    return table(spark, d, "events").select("event_id", T.missing_keys(F.col("props"), ["k", "provider"]).alias("missing"))
+    """An answer's JSON: an object with all required keys, or what is wrong with it."""
+    checked = table(spark, d, "events").select("event_id", T.parsed_object(F.expr(_BROKEN), ["k", "provider"]).alias("c"))
+    return checked.select("event_id", "c.error", F.try_variant_get("c.parsed", "$.k", "string").alias("k"))
 
 
-@query("select doc_id, substr(md5(text), 1, 12) as content_key, substr(sha256(text), 1, 12) as content_hash from documents")
+@query("select doc_id, substr(sha1(text), 1, 12) as content_key, lower(trim(text)) as cache_key from documents")
 def content_id(spark, d) -> DataFrame:
-    text = F.col("text").cast("binary")
-    return table(spark, d, "documents").select("doc_id", F.substring(F.md5(text), 1, 12).alias("content_key"), F.substring(F.sha2(text, 256), 1, 12).alias("content_hash"))
+    return table(spark, d, "documents").select("doc_id", T.content_id(F.col("text")).alias("content_key"), T.cache_key(F.col("text")).alias("cache_key"))
 
 
 @query("select doc_id, case when lower(trim(text)) in ('', 'nan', 'none') then '' else substr(trim(text), 1, 1500) end as ingredients from documents")
@@ -180,7 +186,7 @@ _LOW = "lower(phrase)"
 
 @query(f"""select p_partkey, coalesce({', '.join(f"case when regexp_matches({_LOW}, '(under|below|less than)[ ]+{w}') then {float(v)}::double end" for w, v in reversed(T.SPOKEN_NUMBERS.items()))},
 try_cast(nullif(regexp_extract({_LOW}, '(?:under|below|less than|<)\\s*\\$?\\s*(\\d+(?:\\.\\d+)?)', 1), '') as double), try_cast(nullif(regexp_extract({_LOW}, '\\$\\s*(\\d+(?:\\.\\d+)?)', 1), '') as double)) as price_max,
-contains({_LOW}, 'eco') as eco from (select p_partkey, {_PHRASE} as phrase from part)""")
+contains({_LOW}, 'eco') as eco, case when contains({_LOW}, 'steel') then 'steel' when contains({_LOW}, 'please') then 'please' end as material from (select p_partkey, {_PHRASE} as phrase from part)""")
 def price_phrase_router(spark, d) -> DataFrame:
     phrase = F.expr(_PHRASE)
-    return table(spark, d, "part").select("p_partkey", T.phrase_price(phrase).alias("price_max"), F.contains(F.lower(phrase), F.lit("eco")).alias("eco"))
+    return table(spark, d, "part").select("p_partkey", T.phrase_price(phrase).alias("price_max"), F.contains(F.lower(phrase), F.lit("eco")).alias("eco"), T.first_term(F.lower(phrase), ["steel", "please"]).alias("material"))

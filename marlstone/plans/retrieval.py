@@ -6,19 +6,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import evaluate, hybrid, lexical, reconcile, safety, vectors
+from ..operators import evaluate, hybrid, lexical, reconcile, safety, search, vectors
+from ..sources.index import handle
 from .common import query, table
 
 # -- SQL building blocks --------------------------------------------------------------
 
 TOKS = "select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as tok from documents"
-LEXICAL = f"""with toks as ({TOKS}), tf as (select doc_id, tok, count(*) as tf from toks group by all),
+ASKED = "select item_id as qid, text from benchmark"
+
+
+def lexical_sql(asked: str = ASKED) -> str:
+    return f"""with toks as ({TOKS}), tf as (select doc_id, tok, count(*) as tf from toks group by all),
 len as (select doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) as dl from documents), c as (select count(*) as n, avg(dl) as avgdl from len),
 raw as (select tok, count(*) as df, ln((select n from c) - count(*) + 0.5::double) - ln(count(*) + 0.5::double) as idf from tf group by tok),
 terms as (select tok, case when idf < 0 then 0.25::double * (select avg(idf) from raw) else idf end as idf from raw),
-q as (select item_id as qid, tok, count(*) as qtf from (select item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as tok from benchmark) group by all),
+q as (select qid, tok, count(*) as qtf from (select qid, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as tok from ({asked})) group by all),
 bm as (select q.qid, tf.doc_id, round(sum(q.qtf * terms.idf * tf.tf * 2.5::double / (tf.tf + 1.5::double * (0.25::double + 0.75::double * dl / (select avgdl from c)))), 4) as score
 from q join tf using (tok) join terms using (tok) join len using (doc_id) group by all having score > 0)"""
+
+
+LEXICAL = lexical_sql()
 RANKED = "select qid, doc_id, score, row_number() over (partition by qid order by score desc, doc_id) as rank from {0} qualify rank <= {1}"
 
 
@@ -31,11 +39,18 @@ def _hashed(source: str, key: str) -> str:
 from (select {key}, md5(tok) as h, count(*)::bigint as n from (select {key}, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as tok from {source}) group by all) group by all) where s <> 0"""
 
 
-HASHED = f""", hd as ({_hashed('documents', 'doc_id')}), hq as ({_hashed('benchmark', 'item_id')}),
-dense as (select item_id as qid, doc_id, round(sum(hd.w * hq.w), 4) as score from hd join hq using (bucket) group by all)"""
-FUSED = f""", v as ({RANKED.format('dense', 25)}), b as ({RANKED.format('bm', 25)}),
-fused as (select coalesce(v.qid, b.qid) as qid, coalesce(v.doc_id, b.doc_id) as doc_id, v.rank as vec_rank, b.rank as bm25_rank,
-round(coalesce(0.5::double / (60 + v.rank), 0) + coalesce(0.5::double / (60 + b.rank), 0), 8) as fused from v full join b on v.qid = b.qid and v.doc_id = b.doc_id)"""
+def hashed_sql(asked: str = ASKED) -> str:
+    return f""", hd as ({_hashed('documents', 'doc_id')}), hq as ({_hashed(f"({asked})", 'qid')}),
+dense as (select qid, doc_id, round(sum(hd.w * hq.w), 4) as score from hd join hq using (bucket) group by all)"""
+
+
+def fused_sql(dense: str = "dense", words: str = "bm", name: str = "fused") -> str:
+    return f""", v_{name} as ({RANKED.format(dense, 25)}), b_{name} as ({RANKED.format(words, 25)}),
+{name} as (select coalesce(v.qid, b.qid) as qid, coalesce(v.doc_id, b.doc_id) as doc_id, v.rank as vec_rank, b.rank as bm25_rank,
+round(coalesce(0.5::double / (60 + v.rank), 0) + coalesce(0.5::double / (60 + b.rank), 0), 8) as fused from v_{name} v full join b_{name} b on v.qid = b.qid and v.doc_id = b.doc_id)"""
+
+
+HASHED, FUSED = hashed_sql(), fused_sql()
 TOP5 = ", top as (select *, row_number() over (partition by qid order by fused desc, doc_id) as rank from fused qualify rank <= 5)"
 
 
@@ -47,19 +62,29 @@ def asked(spark, d) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
+def stored(spark, d) -> dict[str, DataFrame]:
+    """The stored index of the documents as a catalogue, built when it is first asked for."""
+    good = table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("rating"))
+    rows = docs(spark, d).join(good, "doc_id", "left")
+    return handle(rows.select(
+        "doc_id", "text", F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("title"), (F.col("n_chars") / 100.0).alias("price"), "rating",
+        F.col("lang").alias("brand"), F.col("source").alias("category"), F.col("source").alias("ingredients"), F.lit("").alias("sku"), F.lit(" ").alias("url"),
+    ))
+
+
 @query(f"select tok, count(distinct doc_id) as df, count(*) as cf from ({TOKS}) group by tok")
 def term_document_frequency(spark, d) -> DataFrame:
-    return lexical.postings(docs(spark, d)).groupBy("tok").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return lexical.frequencies(lexical.postings(docs(spark, d)))
 
 
 @query(f"{LEXICAL} {RANKED.format('bm', 5)}")
 def bm25_topk(spark, d) -> DataFrame:
-    return lexical.bm25(asked(spark, d), docs(spark, d), top=5)
+    return lexical.bm25(asked(spark, d), stored(spark, d), top=5)
 
 
 @query(f"{LEXICAL} {RANKED.format('''(select bm.* from bm join documents using (doc_id) where lang = 'en')''', 5)}")
 def bm25_topk_filtered(spark, d) -> DataFrame:
-    return lexical.bm25(asked(spark, d), docs(spark, d), F.col("lang") == "en", top=5)
+    return lexical.bm25(asked(spark, d), stored(spark, d), docs(spark, d).filter("lang = 'en'").select("doc_id"), top=5)
 
 
 @query(f"select doc_id, bucket, round(w, 6) as weight from ({_hashed('documents', 'doc_id')})")
@@ -69,13 +94,14 @@ def hash_embed(spark, d) -> DataFrame:
 
 def _dense_sql(where: str) -> str:
     return f"""select qid, doc_id, score, row_number() over (partition by qid order by score desc, doc_id) as rank from (select q.vec_id as qid, e.vec_id as doc_id,
-round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 4) as score from embeddings e, embeddings q where q.vec_id < 5 {where}) qualify rank <= 5"""
+round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 4) as score from embeddings e, embeddings q where q.vec_id % 100 = 0 {where}) qualify rank <= 5"""
 
 
 def _dense(spark, d, predicate=None) -> DataFrame:
     rows = table(spark, d, "embeddings")
-    queries = [(r["vec_id"], r["embedding"]) for r in rows.filter("vec_id < 5").select("vec_id", "embedding").collect()]  # the query set: five rows
-    return vectors.dense_topk(queries, rows.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"), "label"), predicate)
+    queries = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"))
+    held = rows if predicate is None else rows.filter(predicate)
+    return vectors.cosine_topk(queries, held.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")), 5)
 
 
 @query(_dense_sql(""))
@@ -89,8 +115,8 @@ def dense_topk_filtered(spark, d) -> DataFrame:
 
 
 def hash_dense(spark, d, top: int) -> DataFrame:
-    queries = vectors.hash_embed(asked(spark, d).withColumnRenamed("qid", "doc_id")).withColumnRenamed("doc_id", "qid")
-    return vectors.sparse_topk(queries, vectors.hash_embed(docs(spark, d)), top)
+    queries = vectors.dense_vectors(asked(spark, d).withColumnRenamed("qid", "doc_id")).withColumnRenamed("doc_id", "qid")
+    return vectors.cosine_topk(queries, stored(spark, d)["vectors"], top, overlap=True)
 
 
 @query(f"{LEXICAL}{HASHED} {RANKED.format('dense', 5)}")
@@ -99,7 +125,7 @@ def hash_dense_topk(spark, d) -> DataFrame:
 
 
 def fused(spark, d) -> DataFrame:
-    return hybrid.fuse(hash_dense(spark, d, lexical.CANDIDATES), lexical.bm25(asked(spark, d), docs(spark, d)))
+    return search.fused(asked(spark, d), stored(spark, d))
 
 
 def hybrid_top(spark, d, top: int = 5) -> DataFrame:
@@ -147,12 +173,14 @@ from benchmark left join s on s.qid = item_id left join h on h.qid = item_id"""
 def relevant(spark, d) -> DataFrame:
     """Relevance judgements: good documents, dealt to the queries by number."""
     good = table(spark, d, "labels").filter("quality = 1").select("doc_id", (F.col("doc_id") % 20).alias("slot"))
-    return asked(spark, d).select("qid", (F.col("qid") % 20).alias("slot")).join(good, "slot").select("qid", "doc_id")
+    judged = asked(spark, d).select("qid", (F.col("qid") % 20).alias("slot")).join(good, "slot").select("qid", "doc_id")
+    return judged.unionByName(asked(spark, d).select("qid", F.lit(-7).cast("long").alias("doc_id")))  # a slip in the gold set
 
 
 @query(METRICS)
 def eval_metrics(spark, d) -> DataFrame:
-    return evaluate.retrieval_metrics(lexical.bm25(asked(spark, d), docs(spark, d), top=5), relevant(spark, d), asked(spark, d), 5)
+    judged = evaluate.known_relevant(relevant(spark, d), docs(spark, d))
+    return evaluate.retrieval_metrics(lexical.bm25(asked(spark, d), stored(spark, d), top=5), judged, asked(spark, d), 5)
 
 
 @query(f"select count(*) as n_queries, round(avg(recall), 4) as recall, round(avg(precision), 4) as precision, round(avg(rr), 4) as rr, round(avg(ndcg), 4) as ndcg from ({METRICS})")
@@ -160,17 +188,71 @@ def eval_summary(spark, d) -> DataFrame:
     return evaluate.mean_metrics(eval_metrics(spark, d))
 
 
-@query(f"{LEXICAL}, r as ({RANKED.format('bm', 5)}) select qid, bool_and(n_chars <= 5000 + 1e-6) as honored from r join documents using (doc_id) group by qid")
+META = ", meta as (select doc_id, n_chars / 100.0::double as price, quality::double as rating, lang as brand, source as category from documents left join labels using (doc_id))"
+FLT = f"""{META}, flt as (select item_id as qid, case when item_id % 5 = 1 then 'en' end as brand, case when item_id % 5 = 1 then '1' end as cat, case when item_id % 5 = 2 then 20.0::double when item_id % 5 = 4 then 0.001::double end as price_max, case when item_id % 5 = 3 then 1.0::double end as min_rating from benchmark)"""
+_OK = """(flt.brand is null or coalesce(lower(meta.brand) = flt.brand, false)) and (cat is null or coalesce(contains(lower(category), cat), false)) and (price_max is null or coalesce(price between 0 and price_max, false)) and (min_rating is null or coalesce(rating >= min_rating, false))"""
+FILTERED = f"""{LEXICAL}{HASHED}{FLT}, dense_f as (select dense.* from dense join flt using (qid) join meta using (doc_id) where {_OK}), bm_f as (select bm.* from bm join flt using (qid) join meta using (doc_id) where {_OK}){fused_sql('dense_f', 'bm_f', 'strict')}"""
+
+
+def filtered(spark, d) -> DataFrame:
+    """The queries with filters as JSON; unknown keys and nulls among them."""
+    k = F.col("qid") % 5
+    raw = F.when(k == 1, '{"brand": "EN", "category_contains": "1", "colour": "red"}').when(k == 2, '{"price_max": 20, "brand": null}').when(k == 3, '{"min_rating": 1.0}').when(k == 4, '{"price_max": 0.001}').otherwise('{"colour": "red"}')
+    return asked(spark, d).withColumn("filters", search.filters_of(raw))
+
+
+@query(f"{FILTERED} select qid, row_number() over (partition by qid order by fused desc, doc_id) as rank, doc_id, round(fused, 6) as score from strict qualify rank <= 5")
+def search_filtered(spark, d) -> DataFrame:
+    return search.search(filtered(spark, d), stored(spark, d))
+
+
+@query(f"""{FILTERED}{FUSED}, every as (select qid, doc_id, fused, false as relaxed from strict union all select qid, doc_id, fused, true from fused where qid % 5 <> 0 and qid not in (select qid from strict))
+select qid, row_number() over (partition by qid order by fused desc, doc_id) as rank, doc_id, round(fused, 6) as score, relaxed from every qualify rank <= 5""")
+def search_relaxed(spark, d) -> DataFrame:
+    return search.relaxed(filtered(spark, d), stored(spark, d))
+
+
+@query(f"""{LEXICAL}{HASHED}{FUSED}{META} select qid, row_number() over (partition by qid order by fused desc, doc_id) as rank, doc_id::varchar as sku, 'document ' || doc_id as title, round(price, 2) as price, round(rating, 2) as rating,
+doc_id, nullif(brand, '') as brand, category as ingredients, null::varchar as url, null::double as price_per_oz, round(fused, 6) as score from fused join meta using (doc_id)
+qualify rank <= case when qid % 4 = 0 then 5 when qid % 4 = 1 then 20 when qid % 4 = 2 then 5 else 3 end""")
+def search_results(spark, d) -> DataFrame:
+    """Result records, with a k of the caller's that is clamped."""
+    k = F.col("qid") % 4
+    own = asked(spark, d).withColumn("k", F.when(k == 0, F.lit(0)).when(k == 1, F.lit(50)).when(k == 2, F.lit(-3)).otherwise(F.lit(3)))
+    rows = search.results(search.search(own, stored(spark, d)), stored(spark, d))
+    return rows.withColumn("url", F.nullif(F.trim("url"), F.lit("")))
+
+
+@query(f"""{LEXICAL}{HASHED}{FUSED} select item_id as qid, benchmark.text as query, count(doc_id)::int as count, coalesce(string_agg(doc_id, ',' order by rank), '') as ids from benchmark
+left join (select *, row_number() over (partition by qid order by fused desc, doc_id) as rank from fused qualify rank <= 5) r on r.qid = item_id group by all""")
+def search_responses(spark, d) -> DataFrame:
+    """One response a query. The reranker fails throughout, which leaves the fused order."""
+    failing = lambda rows: rows.withColumn("rerank", F.lit(None).cast("double"))
+    found = search.search(asked(spark, d), stored(spark, d), scorer=failing)
+    return search.responses(asked(spark, d), found).select("qid", "query", "count", F.array_join(F.transform("results", lambda r: r["doc_id"].cast("string")), ",").alias("ids"))
+
+
+@query(f"""{lexical_sql("select 0 as qid, 'the and of shea 12' as text")} select doc_id, score, row_number() over (order by score desc, doc_id)::int as rank from bm qualify rank <= 7""")
+def search_function(spark, d) -> DataFrame:
+    """The SQL table function over the stored index."""
+    search.register_functions(spark, stored(spark, d))
+    return spark.sql("select * from rag_search('the and of shea 12', 7)")
+
+
+@query(f"""{LEXICAL}{FLT}, r as ({RANKED.format('bm', 5)}) select qid, bool_and((price_max is null or price <= price_max + 1e-6) and (min_rating is null or coalesce(rating >= min_rating - 1e-6, false))) as honored
+from r join meta using (doc_id) join flt using (qid) group by qid""")
 def filter_honor(spark, d) -> DataFrame:
-    top = lexical.bm25(asked(spark, d), docs(spark, d), top=5)
-    return top.join(docs(spark, d).select("doc_id", "n_chars"), "doc_id").groupBy("qid").agg(F.bool_and(F.coalesce(F.col("n_chars") <= 5000 + 1e-6, F.lit(False))).alias("honored"))
+    """Whether unfiltered results happen to keep the filters."""
+    top = lexical.bm25(asked(spark, d), stored(spark, d), top=5)
+    facts = search.metadata_of(stored(spark, d)).select("doc_id", "price", "rating")
+    return evaluate.honored(top.join(facts, "doc_id").join(filtered(spark, d).select("qid", "filters"), "qid"))
 
 
 CITED = f"{LEXICAL}, r as ({RANKED.format('bm', 5)}), cited as (select qid, doc_id from r where rank <= 3 union all select qid, doc_id + 1 from r where rank = 1)"
 
 
 def cited(spark, d) -> tuple[DataFrame, DataFrame]:
-    top = lexical.bm25(asked(spark, d), docs(spark, d), top=5)
+    top = lexical.bm25(asked(spark, d), stored(spark, d), top=5)
     return top, top.filter("rank <= 3").select("qid", "doc_id").unionByName(top.filter("rank = 1").select("qid", (F.col("doc_id") + 1).alias("doc_id")))
 
 
@@ -186,10 +268,10 @@ def grounding_floor(spark, d) -> DataFrame:
     return safety.ungrounded(made, top)
 
 
-@query(f"{CITED} select qid, round(sum(((qid, doc_id) in (select qid, doc_id from r))::int) / count(*)::double, 6) as groundedness from cited group by qid")
+@query(f"""{CITED} select item_id as qid, coalesce(g, 0) as groundedness from benchmark left join (select qid, round(sum(((qid, doc_id) in (select qid, doc_id from r))::int) / count(*)::double, 6) as g from cited where qid % 4 > 0 group by qid) x on x.qid = item_id""")
 def groundedness(spark, d) -> DataFrame:
     top, made = cited(spark, d)
-    return safety.groundedness(made, top)
+    return safety.groundedness(made.filter("qid % 4 > 0"), top, asked(spark, d))
 
 
 @query(f"""{CITED}, live as (select qid, 'live' as source, case when rank = 1 then doc_id end as doc_id, 'u' || doc_id as url, 100 + rank as ord from r where rank in (1, 4, 5)),
@@ -198,29 +280,29 @@ select qid, source, doc_id, url, row_number() over (partition by qid order by or
 def citations_merge(spark, d) -> DataFrame:
     from ..operators.answer import merge_citations
 
-    top = lexical.bm25(asked(spark, d), docs(spark, d), top=5)
+    top = lexical.bm25(asked(spark, d), stored(spark, d), top=5)
     none = F.lit(None).cast("string")
     own = top.filter("rank <= 3").select("qid", F.lit("private").alias("source"), "doc_id", none.alias("url"), F.col("rank").alias("ord"))
     live = top.filter("rank in (1, 4, 5)").select("qid", F.lit("live").alias("source"), F.when(F.col("rank") == 1, F.col("doc_id")).alias("doc_id"), F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"), (F.col("rank") + 100).alias("ord"))
     return merge_citations(own.unionByName(live).unionByName(live.withColumn("ord", F.col("ord") + 10)))
 
 
-# -- reconciliation: part against listings derived from it ---------------------------------
+# -- reconciliation: part against listings derived from it; a group is 20 rows, as one query's results ----
 
-LIVE = """live as (select p_brand as grp, p_partkey as listing, case when p_partkey % 5 = 0 then 'S' || p_partkey else '' end as sku, case when p_partkey % 7 < 3 then p_brand || ' ' || p_name else p_name || ' new' end as title,
-'' as snippet, p_retailprice * (1 + 0.05::double * (p_partkey % 5)) as price, case when p_partkey % 7 = 0 then ' Out of Stock ' else 'in stock' end as availability from part where p_partkey % 3 <> 0 and p_partkey < 400)"""
-PAIRS = f"""with priv as (select p_brand as grp, p_partkey as item, 'S' || p_partkey as sku, p_name as title, p_brand as brand, p_retailprice as price from part where p_partkey < 400), {LIVE},
+LIVE = """live as (select p_partkey // 20 as grp, p_partkey as listing, case when p_partkey % 5 = 0 then 'S' || p_partkey else '' end as sku, case when p_partkey % 7 < 3 then p_brand || ' ' || p_name else p_name || ' new' end as title,
+'' as snippet, p_retailprice * (1 + 0.05::double * (p_partkey % 5)) as price, case when p_partkey % 7 = 0 then ' Out of Stock ' else 'in stock' end as availability from part where p_partkey % 3 <> 0)"""
+PAIRS = f"""with priv as (select p_partkey // 20 as grp, p_partkey as item, 'S' || p_partkey as sku, p_name as title, p_brand as brand, p_retailprice as price from part), {LIVE},
 pairs as (select grp, item, listing, case when priv.sku = live.sku then 3 when contains(lower(live.title), lower(brand)) then 2 end::bigint as tier, 1.0::double as score from priv join live using (grp))"""
 
 
 def private(spark, d) -> DataFrame:
-    return table(spark, d, "part").filter("p_partkey < 400").select(F.col("p_brand").alias("grp"), F.col("p_partkey").alias("item"), F.concat(F.lit("S"), F.col("p_partkey").cast("string")).alias("sku"), F.col("p_name").alias("title"), F.col("p_brand").alias("brand"), F.col("p_retailprice").alias("price"))
+    return table(spark, d, "part").select(F.floor(F.col("p_partkey") / 20).alias("grp"), F.col("p_partkey").alias("item"), F.concat(F.lit("S"), F.col("p_partkey").cast("string")).alias("sku"), F.col("p_name").alias("title"), F.col("p_brand").alias("brand"), F.col("p_retailprice").alias("price"))
 
 
 def live(spark, d) -> DataFrame:
     k = F.col("p_partkey")
-    return table(spark, d, "part").filter("p_partkey % 3 <> 0 and p_partkey < 400").select(
-        F.col("p_brand").alias("grp"), k.alias("listing"), F.when(k % 5 == 0, F.concat(F.lit("S"), k.cast("string"))).otherwise("").alias("sku"),
+    return table(spark, d, "part").filter("p_partkey % 3 <> 0").select(
+        F.floor(k / 20).alias("grp"), k.alias("listing"), F.when(k % 5 == 0, F.concat(F.lit("S"), k.cast("string"))).otherwise("").alias("sku"),
         F.when(k % 7 < 3, F.concat_ws(" ", "p_brand", "p_name")).otherwise(F.concat("p_name", F.lit(" new"))).alias("title"), F.lit("").alias("snippet"),
         (F.col("p_retailprice") * (1 + (k % 5) * 0.05)).alias("price"), F.when(k % 7 == 0, " Out of Stock ").otherwise("in stock").alias("availability"),
     )
@@ -267,44 +349,76 @@ def reconcile_discrepancy(spark, d) -> DataFrame:
     return _gaps(spark, d)
 
 
-@query(f"""select (select count(*) from ({_GAPS})) as matched, (select count(kind) from ({_GAPS})) as discrepancies, (select count(*) from part where p_partkey % 3 <> 0 and p_partkey < 400) - (select count(*) from ({_GAPS})) as unmatched""")
+@query(f"""select (select count(*) from ({_GAPS})) as matched, (select count(kind) from ({_GAPS})) as discrepancies, (select count(*) from part where p_partkey % 3 <> 0) - (select count(*) from ({_GAPS})) as unmatched""")
 def reconcile_counters(spark, d) -> DataFrame:
     n = live(spark, d).agg(F.count(F.lit(1))).scalar()
     return _gaps(spark, d).agg(F.count(F.lit(1)).alias("matched"), F.count("kind").alias("discrepancies"), (n - F.count(F.lit(1))).alias("unmatched"))
 
 
-@query(f"""{PAIRS} select p.p_partkey as item, p.p_name as title, live_price, '$' || printf('%.2f', p.p_retailprice) as shown from part p left join (select item, round(live.price, 2) as live_price from pairs join live using (grp, listing) where tier = 3) g on g.item = p.p_partkey where p.p_partkey < 400""")
+@query(f"""{PAIRS} select p.p_partkey as item, p.p_name as title, live_price, '$' || printf('%.2f', p.p_retailprice) as shown from part p left join (select item, round(live.price, 2) as live_price from pairs join live using (grp, listing) where tier = 3) g on g.item = p.p_partkey""")
 def display_join(spark, d) -> DataFrame:
     gaps = _gaps(spark, d).select("item", "live_price").dropDuplicates(["item"])
     return private(spark, d).join(gaps, "item", "left").select("item", "title", "live_price", T.money(F.col("price")).alias("shown"))
 
 
-@query(f"""with {LIVE} select grp, null::bigint as doc_id, title, price, listing as live_match from live where grp not in (select p_brand from part where p_partkey < 100)
-union all select p_brand, p_partkey, p_name, p_retailprice, null from part where p_partkey < 100""")
+@query(f"""with {LIVE} select grp, null::bigint as doc_id, title, price, listing as live_match from live where grp % 2 = 1
+union all select p_partkey // 20, p_partkey, p_name, p_retailprice, null from part where (p_partkey // 20) % 2 = 0""")
 def web_only_promotion(spark, d) -> DataFrame:
-    """Live rows stand in where a group has no private rows."""
-    own = private(spark, d).filter("item < 100")
+    """Live rows stand in where a group has no private rows: here every other group."""
+    own = private(spark, d).filter("grp % 2 = 0")
     promoted = live(spark, d).join(own.select("grp").distinct(), "grp", "left_anti").select("grp", F.lit(None).cast("long").alias("doc_id"), "title", "price", F.col("listing").alias("live_match"))
     return promoted.unionByName(own.select("grp", F.col("item").alias("doc_id"), "title", "price", F.lit(None).cast("long").alias("live_match")))
 
 
+GREEDY = f"""with recursive {PAIRS[5:]}, known as (select * from pairs where tier is not null),
+chosen as (select grp, []::bigint[] as items, []::bigint[] as listings, null::bigint as item, null::bigint as listing, 0 as n from (select distinct grp from known)
+union all select c.grp, list_append(c.items, k.item), list_append(c.listings, k.listing), k.item, k.listing, c.n + 1 from chosen c join known k on k.grp = c.grp and not list_contains(c.items, k.item) and not list_contains(c.listings, k.listing)
+qualify row_number() over (partition by c.grp order by k.tier desc, k.score desc, k.item, k.listing) = 1)"""
+
+
+@query(f"{GREEDY} select grp, item, listing, tier from chosen join known using (grp, item, listing)")
+def reconcile_assign_known(spark, d) -> DataFrame:
+    """One to one by sku and brand, over the whole table."""
+    return reconcile.assign(reconcile.scored_pairs(private(spark, d), live(spark, d), ["grp"], titles=False), ["grp"]).select("grp", "item", "listing", "tier")
+
+
+@query(f"""{GREEDY}, m as (select grp, item, listing, live.price as live_price, availability from chosen join live using (grp, listing))
+select priv.grp, priv.item, listing, case when abs(live_price - priv.price) / priv.price > 0.1::double then 'price' when lower(trim(availability)) = 'out of stock' then 'availability' end as kind from priv left join m on m.grp = priv.grp and m.item = priv.item""")
+def reconcile_chain(spark, d) -> DataFrame:
+    """Pairs, assignment and discrepancies in one operation, over the whole table."""
+    rows = reconcile.reconcile(private(spark, d), live(spark, d).withColumn("url", F.lit(None).cast("string")), ["grp"], titles=False)
+    return rows.select("grp", "item", "listing", F.col("discrepancy.type").alias("kind"))
+
+
+@query(f"{GREEDY} select grp, listing from live where (grp, listing) not in (select grp, listing from chosen where listing is not null)")
+def reconcile_chain_unmatched(spark, d) -> DataFrame:
+    return reconcile.unmatched(live(spark, d), reconcile_assign_known(spark, d), ["grp"]).select("grp", "listing")
+
+
 # -- live results ---------------------------------------------------------------------------
 
-_RESULT = "select page_id as ord, url, 'page ' || (page_id % 40) as title, substr(html, 1, 100 + (page_id % 7)::int) as snippet, ((page_id * 7) % 11)::double as score from pages"
+_RESULT = "select page_id as ord, url, 'page ' || (page_id % 40) as title, html as snippet, ((page_id * 7) % 11)::double as score from pages"
+_TWICE = f"select * from ({_RESULT}) union all select ord + 1000000, regexp_replace(url, '[?#].*$', '') || '/', title, snippet || ' again', score from ({_RESULT}) where ord % 3 = 0 union all select ord + 2000000, null, title, '', score from ({_RESULT}) where ord % 50 = 0"
 
 
 def results(spark, d) -> DataFrame:
     k = F.col("page_id")
-    return table(spark, d, "pages").select(k.alias("ord"), "url", F.concat(F.lit("page "), (k % 40).cast("string")).alias("title"), F.expr("substr(html, 1, 100 + page_id % 7)").alias("snippet"), ((k * 7) % 11).cast("double").alias("score"))
+    return table(spark, d, "pages").select(k.alias("ord"), "url", F.concat(F.lit("page "), (k % 40).cast("string")).alias("title"), F.col("html").alias("snippet"), ((k * 7) % 11).cast("double").alias("score"))
 
 
-@query(f"select ord, key, score, length(snippet)::bigint as n from (select *, coalesce(nullif(rtrim(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '/'), ''), title) as key from ({_RESULT})) qualify row_number() over (partition by key order by score desc, length(snippet) desc, ord) = 1")
+@query(f"""select ord, key, score, length(snippet)::bigint as n, row_number() over (order by score desc, ord) as place from (select *, coalesce(nullif(rtrim(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^?#]*)', 1), '/'), ''), title) as key from ({_TWICE})
+qualify row_number() over (partition by key order by score desc, length(snippet) desc, ord) = 1)""")
 def live_dedup(spark, d) -> DataFrame:
+    """Two rounds of results: the second has some of the first's pages again, under other forms of their urls, and some without one."""
     from ..operators.routing import dedup_results
-
-    place = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)  # by host, so that the stand-in has duplicates
-    kept = dedup_results(results(spark, d), F.coalesce(F.nullif(F.rtrim(place, F.lit("/")), F.lit("")), F.col("title")))
-    return kept.select("ord", "key", "score", F.length("snippet").cast("long").alias("n"))
+    from ..ordering import ranged, shifts
+
+    one = results(spark, d)
+    again = one.filter("ord % 3 = 0").select((F.col("ord") + 1000000).alias("ord"), F.concat(F.regexp_replace("url", "[?#].*$", ""), F.lit("/")).alias("url"), "title", F.concat("snippet", F.lit(" again")).alias("snippet"), "score")
+    bare = one.filter("ord % 50 = 0").select((F.col("ord") + 2000000).alias("ord"), F.lit(None).cast("string").alias("url"), "title", F.lit("").alias("snippet"), "score")
+    kept = dedup_results(one.unionByName(again).unionByName(bare), T.result_key(F.col("url"), F.col("title")))
+    rows = ranged(kept.select("ord", "key", "score", F.length("snippet").cast("long").alias("n"), (-F.col("score")).alias("_by")), ["_by", "ord"], "results")
+    return rows.join(shifts(rows, [], F.lit(1)), "_part").select("ord", "key", "score", "n", (F.col("_before") + F.col("_row") + 1).alias("place"))
 
 
 @query(f"select title, url, substr(snippet, 1, 50) as snippet, null::double as price, null::varchar as availability, row_number() over (order by ord) as place from ({_RESULT}) qualify place <= 20")

@@ -27,10 +27,13 @@ def local_session(cores: int = 8, memory: str = "8g", name: str = "marlstone") -
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, named by spark.checkpoint.dir.
 
-    Only where the session names none (a local test) is a temporary folder set.
+    Only where a session on this machine alone names none (a test) is a temporary folder
+    set; on a cluster its executors couldn't see it, so that the setting is missed there.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="marlstone-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.routing import contains_any
+from ..session import materialise
 
-CATEGORIES = "clean household cleaning deterg dish laundry polish wipe disinfect bath".split()
+CATEGORIES = ["clean", "household", "cleaning", "deterg", "dish", "laundry", "polish", "wipe", "disinfect", "bath"]
 PRODUCTS = "doc_id string, sku string, asin string, title string, brand string, category string, price double, list_price double, rating double, features array<string>, ingredients string, size_oz double, price_per_oz double, url string, stock string"
 REVIEWS = "product_id string, stars double, snippet string, ord long"
 GOLD = "id string, query string, filters struct<price_max:double,price_min:double,min_rating:double,brand:string,material:string,category_contains:string>, relevant_skus array<string>, notes string"
 
 
 def raw_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with all columns as text, blanks as '', and header names trimmed."""
+    """A CSV file with all columns as text, blanks as '', and header names trimmed; `_ord` follows the file."""
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     rows = rows.toDF(*[c.strip() for c in rows.columns])
     return rows.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in rows.columns]).withColumn("_ord", F.monotonically_increasing_id())
@@ -32,10 +33,20 @@ def catalog_slice(raw: DataFrame, keywords: list[str] = CATEGORIES, column: str
 
 
 def with_ids(raw: DataFrame) -> DataFrame:
-    """One id for products and reviews: the unique id, else the ASIN, else the row's number in the slice."""
-    number = F.lpad((F.row_number().over(Window.orderBy("_ord")) - 1).cast("string"), 5, "0")  # one catalogue file
-    asin = F.coalesce(F.nullif(F.trim("Asin"), F.lit("")), F.concat(F.lit("ROW"), number))
-    return raw.withColumn("_asin", asin).withColumn("_id", F.coalesce(F.nullif(F.trim("Uniq Id"), F.lit("")), F.col("_asin")))
+    """One id for products and reviews: the unique id, else the ASIN, else the row's number in the slice.
+
+    Rows are numbered within their partitions, written once, and shifted by what the
+    partitions before hold, so that both tables read the same numbers."""
+    if "_id" in raw.columns:
+        return raw
+    part = F.shiftright("_ord", 33)  # where the reader had the row
+    rows = materialise(raw.withColumn("_part", part), "catalog")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    shift = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    number = F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy("_ord")) - 1
+    numbered = rows.join(F.broadcast(shift), "_part").withColumn("_number", F.lpad(number.cast("string"), 5, "0")).drop("_part", "_before")
+    asin = F.coalesce(F.nullif(F.trim("Asin"), F.lit("")), F.concat(F.lit("ROW"), "_number"))
+    return numbered.withColumn("_asin", asin).withColumn("_id", F.coalesce(F.nullif(F.trim("Uniq Id"), F.lit("")), F.col("_asin")))
 
 
 def _column(raw: DataFrame, name: str):
@@ -58,15 +69,21 @@ def reviews(raw: DataFrame) -> DataFrame:
     """One row for each snippet; a typed empty frame if the catalogue has none."""
     if "Review Snippets" not in raw.columns:
         return raw.sparkSession.createDataFrame([], REVIEWS)
-    parts = F.filter(F.transform(F.split("Review Snippets", r"\|\|"), lambda x: F.trim(x)), lambda x: x != "")
-    rows = with_ids(raw).select(F.col("_id").alias("product_id"), T.parse_rating(_column(raw, "Rating")).alias("stars"), F.posexplode(parts).alias("ord", "snippet"))
-    return rows.select("product_id", "stars", "snippet", F.col("ord").cast("long").alias("ord"))
+    rows = with_ids(raw)
+    own = rows.select(F.col("_id").alias("product_id"), T.parse_rating(_column(rows, "Rating")).alias("stars"), "Review Snippets")
+    return exploded(own, "Review Snippets", r"\|\|").select("product_id", "stars", "snippet", "ord")
+
+
+def exploded(rows: DataFrame, column: str, delimiter: str) -> DataFrame:
+    """rows with a row for each part of a text column that isn't blank: snippet, and ord from 0."""
+    parts = F.filter(F.transform(F.split(column, delimiter), lambda x: F.trim(x)), lambda x: x != "")
+    return rows.select("*", F.posexplode(parts).alias("ord", "snippet")).withColumn("ord", F.col("ord").cast("long")).drop(column)
 
 
 def ingest(spark: SparkSession, path: str, out: str) -> DataFrame:
     """Write both tables and return the summary of what was read."""
     raw = raw_catalog(spark, path)
-    sliced = catalog_slice(raw)
+    sliced = with_ids(catalog_slice(raw))
     products(sliced).write.mode("overwrite").parquet(f"{out}/products")
     reviews(sliced).write.mode("overwrite").parquet(f"{out}/reviews")
     p, r = load(spark, out)
@@ -92,26 +109,6 @@ def index_documents(found: DataFrame, reviewed: DataFrame) -> DataFrame:
     return rows.withColumn("material", T.material_tag(F.col("title"), F.col("category"))).withColumn("text", text).drop("snippets")
 
 
-def write_index(documents: DataFrame, folder: str, signature: str) -> None:
-    """The index's tables and its one-row manifest."""
-    from ..operators.lexical import postings
-    from ..operators.vectors import hash_embed
-
-    documents.write.mode("overwrite").parquet(f"{folder}/documents")
-    stored = documents.sparkSession.read.parquet(f"{folder}/documents")
-    postings(stored).repartitionByRange("tok").sortWithinPartitions("tok").write.mode("overwrite").parquet(f"{folder}/postings")
-    hash_embed(stored).write.mode("overwrite").parquet(f"{folder}/vectors")
-    stored.agg(F.count(F.lit(1)).alias("n_vectors")).withColumn("signature", F.lit(signature)).write.mode("overwrite").json(f"{folder}/manifest")
-
-
-def open_index(spark: SparkSession, folder: str, signature: str) -> dict[str, DataFrame]:
-    """The index's tables, if it was built in the wanted embedding space."""
-    built = spark.read.schema("n_vectors long, signature string").json(f"{folder}/manifest").first()
-    if built["signature"] != signature:
-        raise ValueError(f"the index was built for {built['signature']}, not for {signature}; build it anew")
-    return {name: spark.read.parquet(f"{folder}/{name}") for name in ("documents", "postings", "vectors")}
-
-
 def gold_queries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(GOLD).json(path).filter("id is not null")
 
@@ -127,4 +124,9 @@ def audio_clips(spark: SparkSession, folder: str) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     clips = files.filter(F.regexp_like(F.lower(name), F.lit(r"^query.*\.(wav|mp3|m4a|flac|ogg|webm)$")))
     query, speaker = T.audio_name(name)
-    return clips.select("path", "length", query.alias("query"), speaker.alias("speaker"))
+    return clips.select("path", "length", query.alias("query"), speaker.alias("speaker")).orderBy("path")
+
+
+def prompt(spark: SparkSession, path: str) -> str:
+    """A prompt file's whole text, read anew on each call; blanks at its ends go."""
+    return spark.read.text(path, wholetext=True).first()[0].strip()

@@ -2,6 +2,10 @@
 
     register(spark, "mine", lambda query, k: [{"title": ..., "url": ..., "snippet": ..., "score": ...}])
     spark.read.format("search-mine").option("query", "...").load()
+
+Options: query (one partition for each line), k, mode (search, news, deep, extract, crawl, map,
+grounded: passed on, and setting how long snippets are), domains (comma-separated: passed
+on), dedup (true: of results with one url the first). For extract, a line is a url.
 """
 
 from __future__ import annotations
@@ -9,11 +13,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "title string, url string, snippet string, score double, provider string"
-SNIPPET = 500
+from ..functions.text import host_of
+
+SCHEMA = "title string, url string, snippet string, score double, provider string, query string, answer string"
+#: Of each mode: the longest snippet and the most results. Extraction gives longer texts than search.
+SNIPPETS = {"search": 500, "news": 500, "deep": 500, "extract": 800, "crawl": 800, "map": 0, "grounded": 200}
+MOST = {"news": 10, "crawl": 100}
 
 
 class SearchReader(DataSourceReader):
@@ -24,12 +33,26 @@ class SearchReader(DataSourceReader):
         return [InputPartition(q) for q in self.options["query"].split("\n")]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
+        """A call's results, whatever keys they lack. A call that fails has none."""
         search = cloudpickle.loads(self.search)
-        for r in search(partition.value, int(self.options.get("k", "5"))):
-            yield r.get("title"), r.get("url"), (r.get("snippet") or "")[:SNIPPET], r.get("score"), self.options["provider"]
+        mode, k = self.options.get("mode", "search"), int(self.options.get("k", "5"))
+        extra = {"mode": mode} if self.options.get("mode") else {}
+        if self.options.get("domains"):
+            extra["domains"] = self.options["domains"].split(",")
+        try:
+            found = list(search(partition.value, k, **extra))
+        except Exception:  # any failure of an outside service
+            return
+        seen: set = set()
+        for r in found[: min(k, MOST.get(mode, k))]:
+            url = r.get("url")
+            if url is not None and url in seen and self.options.get("dedup", "true") == "true":
+                continue
+            seen.add(url)
+            yield r.get("title"), url, (r.get("snippet") or "")[: SNIPPETS.get(mode, 500)], r.get("score"), self.options["provider"], partition.value, r.get("answer")
 
 
-def register(spark: SparkSession, name: str, search: Callable[[str, int], list[dict]]) -> None:
+def register(spark: SparkSession, name: str, search: Callable[..., list[dict]]) -> None:
     """Make search available as spark.read.format("search-<name>"); one partition for each line of the option query."""
     packed = cloudpickle.dumps(search)
 
@@ -45,3 +68,17 @@ def register(spark: SparkSession, name: str, search: Callable[[str, int], list[d
             return SearchReader(packed, {**self.options, "provider": name})
 
     spark.dataSource.register(Search)
+
+
+def page_results(pages: DataFrame, extracted: Column, most: int = MOST["crawl"]) -> DataFrame:
+    """Crawled pages(url, ...) in the shape of search results, the extracted text as snippet; at most `most` of a host, in order of url."""
+    host = host_of(F.col("url"))
+    n = F.row_number().over(Window.partitionBy("_host").orderBy("url"))
+    rows = pages.withColumns({"_host": host, "snippet": F.substring(extracted, 1, SNIPPETS["crawl"])}).withColumn("_n", n).filter(F.col("_n") <= most)
+    return rows.select(F.col("_host").alias("title"), "url", "snippet", F.lit(None).cast("double").alias("score"), F.lit("crawl").alias("provider"))
+
+
+def plain_text(html: Column) -> Column:
+    """A page's words: without scripts, styles and markup, white space as one blank."""
+    bare = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
+    return F.trim(F.regexp_replace(bare, r"\s+", " "))

@@ -38,10 +38,12 @@ def to_end(stream: DataFrame, mode: str, name: str) -> DataFrame:
 
 
 def monthly_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls by provider and month."""
+    """Calls by provider and month: counted by day, so that the watermark closes days and their state
+    goes, and summed into months from the days' latest counts."""
     calls = event_stream(spark, sf_dir).withWatermark("ts", "40 days")
-    counts = calls.groupBy(F.col("event_type").alias("provider"), F.date_format("ts", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("calls"))
-    return to_end(counts, "complete", "usage")
+    days = calls.groupBy(F.col("event_type").alias("provider"), F.window("ts", "1 day").alias("day")).agg(F.count(F.lit(1)).alias("calls"))
+    latest = to_end(days, "update", "usage").groupBy("provider", "day").agg(F.max("calls").alias("calls"))
+    return latest.groupBy("provider", F.date_format("day.start", "yyyy-MM").alias("month")).agg(F.sum("calls").alias("calls"))
 
 
 def cached_requests(spark: SparkSession, sf_dir: str, seconds: float) -> DataFrame:
@@ -62,3 +64,22 @@ def cached_requests(spark: SparkSession, sf_dir: str, seconds: float) -> DataFra
     out = calls.groupBy("user_id", "event_type").applyInPandasWithState(fold, "user_id long, event_type string, hits long, misses long", "opened long, hits long, misses long", "update", GroupStateTimeout.NoTimeout)
     latest = to_end(out, "update", "cache")
     return latest.groupBy("user_id", "event_type").agg(F.max(F.struct(F.col("hits") + F.col("misses"), "hits", "misses")).alias("m")).select("user_id", "event_type", "m.hits", "m.misses")
+
+
+def throttled(spark: SparkSession, sf_dir: str, gap_micros: int) -> DataFrame:
+    """When each user's calls start, gap_micros apart at least: the earliest start of the next call is a user's state."""
+
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        free = held.get[0] if held.exists else None
+        rows = pd.concat(list(frames)).sort_values(["at", "call_id"])
+        starts = []
+        for t in rows["at"]:
+            at = int(t) if free is None else max(int(t), free)
+            starts.append(at)
+            free = at + gap_micros
+        held.update((free,))
+        yield pd.DataFrame({"call_id": rows["call_id"].to_numpy(), "start": starts})
+
+    calls = event_stream(spark, sf_dir).select("user_id", F.col("event_id").alias("call_id"), F.unix_micros("ts").alias("at"))
+    out = calls.groupBy("user_id").applyInPandasWithState(fold, "call_id long, start long", "free long", "append", GroupStateTimeout.NoTimeout)
+    return to_end(out, "append", "throttle")
