@@ -31,10 +31,12 @@ def with_error_rate(pairs: DataFrame) -> DataFrame:
 
 
 def term_hits(transcripts: DataFrame, terms: DataFrame) -> DataFrame:
-    """Each transcript's expected terms, and whether its text has them: transcripts(query, text, ...), terms(query, term)."""
-    own = transcripts.withColumn("_said", T.spoken_normal(F.col("text")))
-    meant = terms.select("query", "term", T.spoken_normal(F.col("term")).alias("_term"))
-    return own.join(meant, "query").withColumn("recognized", F.contains("_said", F.col("_term"))).drop("_said", "_term")
+    """Each transcript's expected terms, and whether its text has them: transcripts(query, text, ...), terms(query, term).
+
+    A query's terms come as one array, so that a transcript is normalised once."""
+    meant = terms.select("query", F.struct("term", T.spoken_normal(F.col("term")).alias("form")).alias("t")).groupBy("query").agg(F.collect_list("t").alias("_terms"))
+    found = T.bound(T.spoken_normal(F.col("text")), lambda said: F.transform("_terms", lambda t: F.struct(t["term"].alias("term"), F.contains(said, t["form"]).alias("recognized"))))
+    return transcripts.join(meant, "query").select(*transcripts.columns, F.inline(found))
 
 
 def accuracy(hits: DataFrame, *by: str) -> DataFrame:

@@ -34,7 +34,7 @@ def to_end(stream: DataFrame, mode: str, name: str) -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{folder}/out" if mode == "complete" else f"{folder}/out/batch={number}")
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out").select(*stream.columns)
 
 
 def monthly_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
