@@ -63,9 +63,42 @@ def test_repeats(docs, none):
         want[(i, len(b), int(gone.sum()), int((edges == 1).sum()), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest())] += 1
     assert as_set(repeats.remove_repeats(docs, span=span, gram=9, block_bytes=2000)) == want
     assert as_set(repeats.remove_repeats(docs, span=span, gram=29, block_bytes=1 << 20)) == want
+    for many in (0, 1, 2):  # strings by name instead of the dictionary's bytes
+        assert as_set(repeats.remove_repeats(docs, span=span, gram=9, block_bytes=2000, many=many)) == want
     assert repeats.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("k", range(12))
+def test_suffix_order(k):
+    rng = random.Random(k)
+    text = "".join(rng.choice("ab" if k % 2 else "abcdefgh") for _ in range(600)).encode()
+    span = rng.choice([8, 15, 16, 30, 100, 200])
+    starts = np.array(sorted(rng.sample(range(600 - span + 1), 200)))
+    order, same = repeats.suffix_order(np.frombuffer(text, np.uint8), starts, span)
+    got = [text[s : s + span] for s in starts[order]]
+    assert got == sorted(got) and same.tolist() == [False] + [a == b for a, b in zip(got, got[1:], strict=False)]
+
+
+def test_repeats_of_near_copies_in_slices(spark, monkeypatch):
+    """Many near copies, rows that share an id, and texts longer than a slice."""
+    monkeypatch.setattr(repeats, "SLICE_BYTES", 3000)
+    rng = random.Random(11)
+    base = "".join(rng.choice("abcdefghij klmn") for _ in range(2500))
+    texts = [base[: rng.randrange(2500)] + "".join(rng.choice("xyz ") for _ in range(rng.randrange(40))) + base[rng.randrange(2500) :] for _ in range(40)] + [base * 3, "", base]
+    rows = [(k % 7 if k % 5 else None, t) for k, t in enumerate(texts)]
+    seen = collections.Counter(t[k : k + 64] for t in texts for k in range(len(t) - 63))
+    want = collections.Counter()
+    for i, t in rows:
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - 63):
+            if seen[t[k : k + 64]] > 1:
+                gone[k : k + 64] = True
+        want[i, len(t), int(gone.sum())] += 1
+    for many in (repeats.MANY, 3):
+        got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), span=64, gram=16, block_bytes=9000, many=many)
+        assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed) for r in got.collect()) == want
+
+
 def words2(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
