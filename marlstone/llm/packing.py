@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from . import common as C
-from .ordering import shifts
+from ..ordering import shifts
 from .tokens import encoder
 
 CAPACITY = 2048
