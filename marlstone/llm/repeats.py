@@ -92,7 +92,7 @@ class Parsed:
         first = inner & np.concatenate([[True], change | ~inner[:-1]])
         last = inner & np.concatenate([change | ~inner[1:], [True]])
         self.lo, self.hi = np.flatnonzero(first), np.flatnonzero(last)
-        self.anchors = grams[anchor[self.lo]]
+        self.anchors = C.mix(grams[anchor[self.lo]] ^ C.BASES[1])  # minima are small numbers, and buckets go by the upper bits
         self.other = C.prefix_hash(data, 1)
         ends = self.hi + span
         self.names = np.stack([C.span_hash(self.prefix, self.lo, ends), C.span_hash(self.other, self.lo, ends, 1)], 1)
