@@ -6,10 +6,14 @@ GUARANTEE - GRAM + 1 grams, so that a shared run of GUARANTEE words always share
 kept fingerprint. Document fingerprints are looked up among the benchmark's, and each
 hit is extended: the item windows that hold the hit are looked for around it.
 
-Items are held by the executors as sorted hash arrays. Their text is read in blocks of
-at most BLOCK_BYTES, each block broadcast by itself; with one block (any usual
-benchmark) a single pass over the documents gives the result, with more the blocks'
-hits are united by document.
+Benchmark and documents meet as tables. The benchmark gives two: its kept fingerprints, and
+its windows by 128-bit hash with their items. A filter over both (a bit for each hash, of at
+most FILTER_BYTES however large the benchmark is) goes to all tasks; it lets all true hits
+through, and false ones at a rate that grows as it fills. In one pass over the texts each
+document keeps the fingerprints that pass, extends them to the windows around, and writes
+those windows that pass too. Windows are then joined by hash, which decides. The way is the
+same for a benchmark of any size; a window that a large share of the documents have is a hot
+key of that join, which adaptive execution splits.
 
 Edge cases: a null or wordless text has no words and no hits; a null or wordless item
 matches nothing; items with a null id match nothing; an item id that occurs in several
@@ -18,20 +22,19 @@ rows counts once; repeated document rows are each reported; other columns are ig
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from . import common as C
 
 WINDOW = 10
 GRAM = 5
-BLOCK_BYTES = 16 << 20
-HITS = "row_key long, doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>"
+FILTER_BYTES = 16 << 20
+FOUND = "row_key long, n_words long, windows array<struct<n:int,a:bigint,b:bigint,start:int>>"
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
@@ -42,10 +45,10 @@ def word_table() -> np.ndarray:
     return table
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     data = C.lower_table()[data]
     starts, ends, at = C.word_spans(data, offsets, word_table())
-    return C.span_hash(C.prefix_hash(data), starts, ends), at
+    return C.span_hash(C.prefix_hash(data, which), starts, ends, which), at
 
 
 def winnow(grams: np.ndarray, width: int) -> np.ndarray:
@@ -59,173 +62,160 @@ def winnow(grams: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(best == grams)
 
 
-class Index:
-    """Fingerprints and windows of a block of benchmark items."""
+def at_places(words: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n words from each place on, as gram_hash has them."""
+    out = words[places] * C.BASES[0]
+    for k in range(1, n):
+        out = (out + words[places + k]) * C.BASES[0]
+    return C.mix(out + C.U64(n))
 
-    def __init__(self, rows: list[tuple[str, str]], window: int = WINDOW, gram: int = GRAM):
-        self.window, self.gram = window, gram
-        by_length: dict[int, list[tuple[np.ndarray, int]]] = {}
-        prints = []
-        self.ids = np.array([str(i) for i, _ in rows], dtype=object)
-        for k, (_, text) in enumerate(rows):
-            words, _ = word_hashes(*C.text_bytes(C.as_texts(pa.array([text]))))
-            n = min(len(words), window)
-            if n:
-                by_length.setdefault(n, []).append((np.unique(C.gram_hash(words, n)), k))
-            if n == window:
-                grams = C.gram_hash(words, gram)
-                prints.append(grams[winnow(grams, window - gram + 1)])
-        self.prints = np.unique(np.concatenate(prints)) if prints else np.zeros(0, C.U64)
-        self.windows = {}
-        for n, found in by_length.items():
-            keys = np.concatenate([k for k, _ in found])
-            who = np.concatenate([np.full(len(k), i) for k, i in found])
-            order = np.argsort(keys, kind="stable")
-            unique, at = np.unique(keys[order], return_index=True)
-            self.windows[n] = (unique, np.append(at, len(keys)), who[order])
-
-    def hits(self, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For texts whose words stand in a row: where windows of items start, their
-        length, and their number in the index."""
-        out_at, out_n, out_who = [], [], []
-        doc_end = np.repeat(at[1:], np.diff(at))
-        for n, (keys, spans, who) in self.windows.items():
-            if len(words) < n:
-                continue
-            if n == self.window:
-                grams = C.gram_hash(words, self.gram)
-                kept = winnow(grams, n - self.gram + 1)
-                kept = kept[in_sorted(grams[kept], self.prints)]
-                near = np.unique((kept[:, None] - np.arange(n - self.gram + 1)[None, :]).ravel())
-                near = near[(near >= 0) & (near <= len(words) - n)]
-                windows = words[near] * C.BASES[0]
-                for k in range(1, n):
-                    windows = (windows + words[near + k]) * C.BASES[0]
-                windows = C.mix(windows + C.U64(n))
-            else:  # shorter items: each run of n words is a fingerprint
-                windows = C.gram_hash(words, n)
-                near = np.arange(len(windows))
-            ok = in_sorted(windows, keys) & (near + n <= doc_end[near])
-            near, windows = near[ok], windows[ok]
-            k = np.searchsorted(keys, windows)
-            count = spans[k + 1] - spans[k]
-            out_at.append(np.repeat(near, count))
-            out_n.append(np.full(int(count.sum()), n))
-            inside = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-            out_who.append(who[np.repeat(spans[k], count) + inside])
-        if not out_at:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(out_at), np.concatenate(out_n), np.concatenate(out_who)
-
-
-def in_sorted(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    if not len(keys) or not len(x):
-        return np.zeros(len(x), bool)
-    return keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x
-
-
-def covered(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
-    depth = np.zeros(n + 1, np.int64)
-    np.add.at(depth, starts, 1)
-    np.add.at(depth, starts + lengths, -1)
-    return np.cumsum(depth[:-1]) > 0
-
-
-def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
-    return edge[::2], edge[1::2]
-
-
-def scan(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each text: number of words, runs of hit words (starts, ends), item numbers."""
-    for lo, hi in C.slices(texts):
-        words, at = word_hashes(*C.text_bytes(texts.slice(lo, hi - lo)))
-        where, length, who = index.hits(words, at)
-        mask = covered(where, length, len(words))
-        doc = np.searchsorted(at, where, "right") - 1
-        pairs = np.unique(np.stack([doc, who], 1), axis=0) if len(doc) else np.zeros((0, 2), np.int64)
-        cut = np.searchsorted(pairs[:, 0], np.arange(hi - lo + 1))
-        for k in range(hi - lo):
-            if cut[k] == cut[k + 1]:
-                yield int(at[k + 1] - at[k]), 0, *([np.zeros(0, np.int64)] * 3)
-            else:
-                s, e = runs(mask[at[k] : at[k + 1]])
-                yield int(at[k + 1] - at[k]), int((e - s).sum()), s, e, pairs[cut[k] : cut[k + 1], 1]
 
+class Bits:
+    """The filter: a bit for each hash, in a power of two of bits."""
 
-def digest(items) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+        self.mask = C.U64(8 * len(bits) - 1)
 
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes & self.mask
+        return (self.bits[at >> C.U64(3)] >> (at & C.U64(7)).astype(np.uint8)) & np.uint8(1) > 0
+
+
+def windows_of(benchmark: DataFrame, window: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """The benchmark's windows (n, a, b, item) and kept fingerprints (hash), each once."""
+    C.ship(benchmark.sparkSession)
+
+    def cut(batches):
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data, offsets = C.text_bytes(C.as_texts(pa.array([text])))
+                (one, _), (two, _) = word_hashes(data, offsets), word_hashes(data, offsets, 1)
+                n = min(len(one), window)
+                if not n:
+                    continue
+                a, b = C.gram_hash(one, n), C.gram_hash(two, n)
+                grams = C.gram_hash(one, gram) if n == window else np.zeros(0, C.U64)
+                kept = grams[winnow(grams, window - gram + 1)]
+                rows = len(a) + len(kept)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([n] * len(a) + [0] * len(kept), pa.int32()), pa.array(np.concatenate([a, kept]).view(np.int64)), pa.array(np.concatenate([b, kept]).view(np.int64)), pa.array([item] * rows, pa.string())],
+                    names=["n", "a", "b", "item"],
+                )
 
-def blocks_of(benchmark: DataFrame, window: int, gram: int, block_bytes: int):
-    """Broadcast indexes of the items, each made of about block_bytes of text at most."""
-    spark = benchmark.sparkSession
-    C.ship(spark)
     items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(size) // block_bytes))
-    for b in range(blocks):
-        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        yield spark.sparkContext.broadcast(Index([tuple(r) for r in own.collect()], window, gram))
+    rows = materialise(items.mapInArrow(cut, "n int, a bigint, b bigint, item string"), "windows")
+    return rows.filter("n > 0").distinct(), rows.filter("n = 0").select(F.col("a").alias("hash")).distinct()
+
+
+def filters(windows: DataFrame, prints: DataFrame, most_bytes: int = FILTER_BYTES):
+    """A broadcast of the lengths of windows there are and the filter over all hashes. Tasks set their
+    bits; only the bits come to the driver."""
+    hashes = windows.select(F.col("a").alias("hash")).unionByName(prints)
+    n = hashes.count()
+    size = min(most_bytes, 1 << max(10, (2 * n).bit_length()))  # some 16 bits for each hash
+    part = min(size, 1 << 16)
 
+    def bits(batches):
+        own = np.zeros(size, np.uint8)
+        for batch in batches:
+            at = batch.column(0).to_numpy().view(C.U64) & C.U64(8 * size - 1)
+            np.bitwise_or.at(own, (at >> C.U64(3)).astype(np.int64), np.uint8(1) << (at & C.U64(7)).astype(np.uint8))
+        parts = [k for k in range(0, size, part) if own[k : k + part].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k // part for k in parts], pa.int32()), pa.array([own[k : k + part].tobytes() for k in parts], pa.binary())], names=["part", "bits"])
+
+    def united(table: pa.Table) -> pa.Table:
+        out = np.zeros(part, np.uint8)
+        for x in table["bits"].to_pylist():
+            out |= np.frombuffer(x, np.uint8)
+        return pa.table({"part": table["part"].slice(0, 1), "bits": pa.array([out.tobytes()], pa.binary())})
+
+    whole = np.zeros(size, np.uint8)
+    for r in hashes.mapInArrow(bits, "part int, bits binary").groupBy("part").applyInArrow(united, "part int, bits binary").collect():
+        whole[r["part"] * part : (r["part"] + 1) * part] = np.frombuffer(r["bits"], np.uint8)
+    lengths = sorted(r[0] for r in windows.select("n").distinct().collect())  # as many as a window has words at most
+    return windows.sparkSession.sparkContext.broadcast((lengths, whole))
+
+
+def candidates(texts: pa.Array, lengths: list[int], bits: Bits, window: int, gram: int):
+    """For each text its number of words, and its windows that pass the filter: (n, a, b, start)."""
+    for lo, hi in C.slices(texts):
+        data, offsets = C.text_bytes(texts.slice(lo, hi - lo))
+        words, at = word_hashes(data, offsets)
+        doc_end, found = np.repeat(at[1:], np.diff(at)), []
+        for n in lengths:
+            if len(words) < n:
+                continue
+            if n == window:
+                grams = C.gram_hash(words, gram)
+                kept = winnow(grams, n - gram + 1)
+                kept = kept[bits.has(grams[kept])]
+                near = np.unique((kept[:, None] - np.arange(n - gram + 1)[None, :]).ravel())
+                near = near[(near >= 0) & (near <= len(words) - n)]
+                hashes = at_places(words, near, n)
+            else:  # of a shorter item each run of n words is a fingerprint
+                hashes = C.gram_hash(words, n)
+                near = np.arange(len(hashes))
+            ok = bits.has(hashes) & (near + n <= doc_end[near])
+            if ok.any():
+                found.append((n, near[ok], hashes[ok]))
+        out: list[list] = [[] for _ in range(hi - lo)]
+        if found:
+            other, _ = word_hashes(data, offsets, 1)
+            for n, near, hashes in found:
+                doc = np.searchsorted(at, near, "right") - 1
+                for d, a, b, start in zip(doc.tolist(), hashes.view(np.int64).tolist(), at_places(other, near, n).view(np.int64).tolist(), (near - at[doc]).tolist(), strict=True):
+                    out[d].append({"n": n, "a": a, "b": b, "start": start})
+        for k in range(hi - lo):
+            yield int(at[k + 1] - at[k]), out[k]
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs in which no item window occurs, as they are. Blocks of items filter one after the other."""
-    at = docs.columns.index("text")
-    for index in blocks_of(benchmark, window, gram, block_bytes):
 
-        def keep(batches, index=index):
-            for batch in batches:
-                yield batch.filter(pa.array([f[1] == 0 for f in scan(index.value, C.as_texts(batch.column(at)))], pa.bool_()))
+def marked(docs: DataFrame, row: Column, windows: DataFrame, prints: DataFrame, window: int, gram: int, filter_bytes: int) -> DataFrame:
+    """What `row` takes of each row of docs as `_row`, with row_key, n_words and the windows that may be the benchmark's, written once."""
+    shared = filters(windows, prints, filter_bytes)
 
-        docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+    def mark(batches):
+        lengths, raw = shared.value
+        bits, key = Bits(raw), TaskContext.get().partitionId() << 33
+        types = [pa.int64(), pa.int64(), pa.list_(pa.struct([("n", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("start", pa.int32())]))]
+        for batch in batches:
+            found = list(candidates(C.as_texts(batch.column(1)), lengths, bits, window, gram))
+            columns = [range(key, key + len(found)), [f[0] for f in found], [f[1] for f in found]]
+            key += len(found)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=["_row", "row_key", "n_words", "windows"])
 
+    own = docs.select(row.alias("_row"), F.col("text").alias("_text"))
+    return materialise(own.mapInArrow(mark, f"_row {own.schema['_row'].dataType.simpleString()}, {FOUND}"), "marked", compression="zstd")
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row for each row of docs(doc_id, text): see RESULT."""
-    indexes = list(blocks_of(benchmark, window, gram, block_bytes))
-    docs = docs.select("doc_id", "text")
-    if len(indexes) == 1:
-        index = indexes[0]
-
-        def one(batches):
-            for batch in batches:
-                found = list(scan(index.value, C.as_texts(batch.column(1))))
-                ids = index.value.ids
-                names = [set(ids[f[4]]) for f in found]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).cast(pa.int64()), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([len(n) for n in names], pa.int64()), pa.array([digest(n) for n in names], pa.string()), pa.array([f[1] > 0 for f in found], pa.bool_())],
-                    names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-                )
 
-        return docs.mapInArrow(one, RESULT)
+def hits(rows: DataFrame, windows: DataFrame) -> DataFrame:
+    """The benchmark's windows in marked rows: row_key, start, n, item."""
+    asked = rows.filter(F.size("windows") > 0).select("row_key", F.inline("windows"))
+    return asked.join(windows, ["n", "a", "b"]).select("row_key", "start", "n", "item")
 
-    docs = docs.withColumn("row_key", F.monotonically_increasing_id())
-    parts = []
-    for index in indexes:
 
-        def part(batches, index=index):
-            for batch in batches:
-                found = list(scan(index.value, C.as_texts(batch.column(1))))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(2), batch.column(0).cast(pa.int64()), pa.array([f[0] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.list_(pa.int32())), pa.array([f[3] for f in found], pa.list_(pa.int32())), pa.array([list(index.value.ids[f[4]]) for f in found], pa.list_(pa.string()))],
-                    names=["row_key", "doc_id", "n_words", "starts", "ends", "items"],
-                )
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+    """The rows of docs in which no item window occurs, as they are."""
+    windows, prints = windows_of(benchmark, window, gram)
+    rows = marked(docs, F.struct("*"), windows, prints, window, gram, filter_bytes)
+    bad = hits(rows, windows).select("row_key").distinct()
+    untouched, doubtful = rows.filter(F.size("windows") == 0), rows.filter(F.size("windows") > 0)
+    return untouched.unionByName(doubtful.join(bad, "row_key", "left_anti").select(*rows.columns)).select("_row.*")
 
-        parts.append(docs.mapInArrow(part, HITS))
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    joined = union.groupBy("row_key").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
-    def unite(batches):
-        for batch in batches:
-            rows = batch.to_pylist()
-            hit = [int(covered(np.array(r["starts"], np.int64), np.array(r["ends"], np.int64) - np.array(r["starts"], np.int64), r["n_words"]).sum()) for r in rows]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r["doc_id"] for r in rows], pa.int64()), pa.array([r["n_words"] for r in rows], pa.int64()), pa.array(hit, pa.int64()), pa.array([len(r["items"]) for r in rows], pa.int64()), pa.array([digest(r["items"]) for r in rows], pa.string()), pa.array([h > 0 for h in hit], pa.bool_())],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
-
-    return joined.mapInArrow(unite, RESULT)
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+    """One row for each row of docs(doc_id, text): see RESULT."""
+    windows, prints = windows_of(benchmark, window, gram)
+    rows = marked(docs, F.col("doc_id").cast("long"), windows, prints, window, gram, filter_bytes)
+    found = hits(rows, windows)
+    items = found.groupBy("row_key").agg(F.collect_set("item").alias("items"))
+    # words under hits: starts in order, each hit adding what lies behind the furthest end so far
+    spans = found.select("row_key", F.struct("start", "n").alias("s")).distinct().groupBy("row_key").agg(F.array_sort(F.collect_list("s")).alias("spans"))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
+    step = lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["start"] + s["n"] - F.greatest(a["end"], s["start"]))).alias("n"), F.greatest(a["end"], s["start"] + s["n"]).alias("end"))
+    known = items.join(spans.select("row_key", F.aggregate("spans", start, step, lambda a: a["n"]).alias("n_hit")), "row_key")
+    listed = F.array_join(F.array_sort(F.coalesce("items", F.array().cast("array<string>"))), ",")
+    return rows.select("row_key", F.col("_row").alias("doc_id"), "n_words").join(known, "row_key", "left").select(
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+        F.sha2(listed.cast("binary"), 256).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
+    )

@@ -103,8 +103,9 @@ def words2(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 300])
-def test_decontaminate(spark, docs, none, block_bytes):
+@pytest.mark.parametrize("filter_bytes", [decontaminate.FILTER_BYTES, 8])
+def test_decontaminate(spark, docs, none, filter_bytes):
+    """With the usual filter, and with one that is full and lets everything through to the join."""
     texts = dict(awkward())
     items = [(1, " ".join(texts[4].split()[10:25])), (2, "one TWO"), (3, None), (4, "!!"), (10, texts[12][5:200]), (10, "zz"), (None, "w1"), (5, "w1 w2 w3")]
     windows = collections.defaultdict(set)
@@ -124,8 +125,8 @@ def test_decontaminate(spark, docs, none, block_bytes):
                     hit[k : k + n] = [True] * n
         want[(i, len(w), sum(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), any(hit))] += 1
     bench = spark.createDataFrame(items, "item_id long, text string")
-    assert as_set(decontaminate.contamination(docs, bench, block_bytes=block_bytes)) == want
-    clean = decontaminate.clean(docs, bench, block_bytes=block_bytes)
+    assert as_set(decontaminate.contamination(docs, bench, filter_bytes=filter_bytes)) == want
+    clean = decontaminate.clean(docs, bench, filter_bytes=filter_bytes)
     assert clean.columns == docs.columns
     assert clean.count() == sum(n for k, n in want.items() if not k[5])
     assert decontaminate.contamination(none, bench).count() == 0
