@@ -26,7 +26,8 @@ def postings(docs: DataFrame) -> DataFrame:
     """(tok, doc_id, tf, doc_len) of docs(doc_id, text); nothing is shuffled."""
     row = docs.select("doc_id", counted(F.col("text")).alias("counted"))
     length = F.aggregate("counted", F.lit(0).cast("long"), lambda a, x: a + x["tf"])
-    return row.select("doc_id", length.alias("doc_len"), F.inline("counted")).select("tok", "doc_id", "tf", "doc_len")
+    # the length in a step of its own: beside inline() it would be summed for each token
+    return row.withColumn("doc_len", length).select("doc_id", "doc_len", F.inline("counted")).select("tok", "doc_id", "tf", "doc_len")
 
 
 def frequencies(posted: DataFrame) -> DataFrame:

@@ -56,10 +56,16 @@ def hash_embed(docs: DataFrame, dim: int = DIM) -> DataFrame:
 
 def dense_vectors(docs: DataFrame, dim: int = DIM) -> DataFrame:
     """(doc_id, vec array<double>) of the documents whose hash vector isn't empty."""
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+    before = lambda v, k: F.when(k > 0, F.get(v, k - 1)["bucket"]).otherwise(F.lit(-1).cast("long"))
+
+    def filled(v: Column) -> Column:
+        """Zeros up to each component, the component, and zeros to the end."""
+        parts = F.transform(v, lambda x, k: F.concat(zeros(x["bucket"] - before(v, k) - 1), F.array(x["weight"])))
+        return F.flatten(F.concat(parts, F.array(zeros(dim - 1 - F.get(v, F.size(v) - 1)["bucket"]))))
+
     sparse = docs.select("doc_id", hash_vector(F.col("text"), dim).alias("_v")).filter(F.size("_v") > 0)
-    table = lambda v: F.map_from_entries(F.transform(v, lambda x: F.struct(x["bucket"], x["weight"])))
-    filled = bound(table(F.col("_v")), lambda m: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.coalesce(F.try_element_at(m, k.cast("long")), F.lit(0.0))))
-    return sparse.select("doc_id", filled.alias("vec"))
+    return sparse.select("doc_id", bound(F.col("_v"), filled).alias("vec"))
 
 
 def l2_normal(v: Column) -> Column:

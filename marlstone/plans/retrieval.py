@@ -74,7 +74,7 @@ def stored(spark, d) -> dict[str, DataFrame]:
 
 @query(f"select tok, count(distinct doc_id) as df, count(*) as cf from ({TOKS}) group by tok")
 def term_document_frequency(spark, d) -> DataFrame:
-    return lexical.frequencies(lexical.postings(docs(spark, d)))
+    return stored(spark, d)["terms"].select("tok", "df", "cf")
 
 
 @query(f"{LEXICAL} {RANKED.format('bm', 5)}")
@@ -89,7 +89,8 @@ def bm25_topk_filtered(spark, d) -> DataFrame:
 
 @query(f"select doc_id, bucket, round(w, 6) as weight from ({_hashed('documents', 'doc_id')})")
 def hash_embed(spark, d) -> DataFrame:
-    return vectors.hash_embed(docs(spark, d)).withColumn("weight", F.round("weight", 6))
+    rows = stored(spark, d)["vectors"].select("doc_id", F.posexplode("vec").alias("bucket", "weight")).filter("weight <> 0")
+    return rows.select("doc_id", F.col("bucket").cast("long").alias("bucket"), F.round("weight", 6).alias("weight"))
 
 
 def _dense_sql(where: str) -> str:

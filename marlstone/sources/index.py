@@ -28,6 +28,7 @@ from ..session import shared_folder
 MANIFEST = "collection string, signature string, n_vectors long, dim long, version string"
 TABLES = ("documents", "postings", "terms", "stats", "vectors")
 INGREDIENTS = 1500
+SMALL = 128 << 20
 _HANDLES: dict[tuple[str, str], dict[str, DataFrame]] = {}
 
 
@@ -53,13 +54,35 @@ def scrubbed(rows: DataFrame) -> DataFrame:
     return out
 
 
+def _input_status(rows: DataFrame) -> list[tuple[str, int, int]]:
+    """Path, size and time of each input file."""
+    spark, found = rows.sparkSession, []
+    for name in sorted(rows.inputFiles()):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+        found.append((name, status.getLen(), status.getModificationTime()))
+    return found
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over as many partitions as there are cores, where the input files are small: such a file may be
+    one row group, which one task would read. Larger inputs have splits enough and stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if sum(size for _, size, _ in _input_status(rows)) < cores * SMALL else rows
+
+
 def write_index(documents: DataFrame, folder: str, collection: str = "documents", dim: int = vectors.DIM) -> str:
     """Index documents(doc_id, text, ...): a new version of the index in folder. Returns the version."""
     spark = documents.sparkSession
     version = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
     at = f"{folder}/{version}"
     order = [c for c in ("doc_id", "text") if c in documents.columns]
-    unique_ids(scrubbed(documents), "doc_id", order).write.parquet(f"{at}/documents")
+    rows = scrubbed(documents)
+    if rows.groupBy("doc_id").count().filter("count > 1").isEmpty():  # reads ids only; without repeats nothing has to be shuffled
+        named = rows.withColumn("store_id", F.col("doc_id").cast("string"))
+    else:
+        named = unique_ids(rows, "doc_id", order)
+    spread(named).write.parquet(f"{at}/documents")
     stored = spark.read.parquet(f"{at}/documents")
     lexical.postings(stored).repartitionByRange("tok").sortWithinPartitions("tok").write.parquet(f"{at}/postings")
     lexical.corpus_stats(stored).write.parquet(f"{at}/stats")
@@ -90,11 +113,7 @@ def open_index(spark: SparkSession, folder: str, signature: str | None = None) -
 
 def _fingerprint(docs: DataFrame) -> str:
     """What tells a set of input files from another: their paths, sizes and times, and the columns read from them."""
-    spark, found = docs.sparkSession, []
-    for name in sorted(docs.inputFiles()):
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-        status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
-        found.append((name, status.getLen(), status.getModificationTime()))
+    found = _input_status(docs)
     plan = docs._jdf.queryExecution().analyzed().canonicalized().toString()
     return hashlib.sha256(json.dumps([found, plan, docs.columns]).encode()).hexdigest() if found else uuid.uuid4().hex
 
