@@ -103,15 +103,15 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int = CAPACITY) ->
     return places, opened
 
 
-def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """A row for each piece, with its rank among those of its length in its partition."""
+def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+    """A row for each piece, with its rank among those of its length in its partition; with_ids adds its ids (little-endian, 32 bits each)."""
     C.ship(docs.sparkSession)
 
     def cut(batches):
         part = TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
         own = encoder(tokenizer)
-        types = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        types = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), *([pa.binary()] if with_ids else []))
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             for row, ids, at in own.batches(batch.column(1), end_id):
@@ -122,25 +122,26 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
                     lo, size = 0, n % capacity or capacity
                     for piece in range(-(-n // capacity)):
                         begin = 4 * (at[k] + lo)
-                        out.append((part, doc_ids[row + k], piece, lo, size, zlib.crc32(raw[begin : begin + 4 * size]), seen[size]))
+                        held = raw[begin : begin + 4 * size]
+                        out.append((part, doc_ids[row + k], piece, lo, size, zlib.crc32(held), seen[size], *([bytes(held)] if with_ids else [])))
                         seen[size] += 1
                         lo, size = lo + size, capacity
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["_part", "doc_id", "piece", "start", "length", "ids_crc32", "_rank"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["_part", "doc_id", "piece", "start", "length", "ids_crc32", "_rank", *(["_ids"] if with_ids else [])])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES + (", _ids binary" if with_ids else ""))
 
 
-def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Where each piece of docs(doc_id, text) lies: see RESULT."""
+def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+    """Where each piece of docs(doc_id, text) lies: see RESULT; with_ids adds its ids, array<int>."""
     spark = docs.sparkSession
-    cut = materialise(pieces(docs, tokenizer, capacity, end_id), "pieces")
+    cut = materialise(pieces(docs, tokenizer, capacity, end_id, with_ids), "pieces", compression="zstd" if with_ids else "snappy")
     lengths = cut.groupBy("length").count().collect()  # at most `capacity` rows
     places, _ = best_fit_decreasing({int(r[0]): int(r[1]) for r in lengths}, capacity)
     places.sort()
     table = np.array(places, np.int64).reshape(-1, 5)
     shared = spark.sparkContext.broadcast((table[:, 0] << RANK_BITS | table[:, 1], table))
     before = shifts(cut, ["length"], F.lit(1))
-    ranked = cut.join(before, ["length", "_part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_rank") + F.col("_before")).alias("_rank"))
+    ranked = cut.join(before, ["length", "_part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_rank") + F.col("_before")).alias("_rank"), *(["_ids"] if with_ids else []))
 
     def place(batches):
         keys, table = shared.value
@@ -148,6 +149,17 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY,
             length, rank = batch.column(3).to_numpy(), batch.column(5).to_numpy()
             at = table[np.searchsorted(keys, length << RANK_BITS | rank, "right") - 1]
             within = rank - at[:, 1]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(at[:, 2] + within // at[:, 3]), pa.array(at[:, 4] + within % at[:, 3] * length)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            columns, names = [*batch.columns[:5], pa.array(at[:, 2] + within // at[:, 3]), pa.array(at[:, 4] + within % at[:, 3] * length)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+            if with_ids:
+                flat = np.frombuffer(b"".join(batch.column(6).to_pylist()), "<i4")
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(flat)))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return ranked.mapInArrow(place, RESULT)
+    return ranked.mapInArrow(place, RESULT + (", ids array<int>" if with_ids else ""))
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """The sequences to train on: sequence_id, ids, and where its pieces start, of pack(..., with_ids=True)."""
+    held = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("_pieces"))  # a sequence has at most `capacity` ids
+    return held.select("sequence_id", F.flatten(F.transform("_pieces", lambda x: x["ids"])).alias("ids"), F.transform("_pieces", lambda x: x["offset"]).alias("starts"))

@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 MIN_WORDS = 50
 MAX_CLASS_DISTANCE = 0.3
 # Calibrated on labels, on the even document ids of sf0.1: the largest bound (in steps of 0.01) that
@@ -161,12 +163,9 @@ def rules(docs: DataFrame) -> DataFrame:
 
 
 def passing(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, as they are."""
-    columns = docs.columns
-    rows = judged(docs.withColumns({"_own_" + c: F.col(c) for c in columns}))
-    # a filter on a plain column would be moved below the counts, with all of them written out in it anew
-    # for each use; one that is not deterministic stays above them
-    rows = rows.withColumn("kept", F.col("kept") & (F.spark_partition_id() >= 0))
-    return rows.filter("kept").select(*[F.col("_own_" + c).alias(c) for c in columns])
-
+    """The rows of docs that the rules keep, as they are.
 
+    Verdicts are written beside their rows before rows are chosen: a filter on the verdict
+    would be moved below the counts, and count again for each use."""
+    rows = judged(docs.select(F.struct("*").alias("_own"), "text", "lang"))
+    return materialise(rows.select("_own", "kept"), "judged", compression="zstd").filter("kept").select("_own.*")

@@ -612,6 +612,14 @@ def test_packing(docs, none):
         starts = [0, *range(first, len(ids), 64)]
         assert collections.Counter((r.piece, r.start, r.length, r.ids_crc32) for r in by_doc[i]) == collections.Counter({(k, lo, hi - lo, zlib.crc32(ids[lo:hi].tobytes())): copies for k, (lo, hi) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True))})
     assert packing.pack(none).count() == 0
+    packed = packing.pack(docs, capacity=64, with_ids=True)
+    assert packed.drop("ids").dtypes == packing.pack(docs, capacity=64).dtypes
+    for r in packed.collect():
+        assert len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+    whole = packing.sequences(packed).collect()
+    assert len(whole) == len(bins) and all(len(r.ids) <= 64 and r.starts[0] == 0 for r in whole)
+    every = sorted(i for _, t in awkward() for i in ids_of(t, 0).tolist())
+    assert sorted(i for r in whole for i in r.ids) == every
 
 
 def test_sharding(docs, none):
@@ -626,6 +634,24 @@ def test_sharding(docs, none):
     assert sharding.interleave(none).count() == 0
 
 
+@pytest.mark.parametrize("shards", [1, 3, 8])
+def test_sharding_order_by_brute_force(spark, docs, shards):
+    """The order of fractional ranks in a seeded shuffle, row by row, from the draws alone."""
+    draws = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), "source").select("doc_id", F.crc32("t").alias("crc"), "source").withColumn("draw", F.xxhash64(F.lit(sharding.SEED), "doc_id", "crc"))
+    by_source = collections.defaultdict(list)
+    for r in draws.collect():
+        by_source[r.source].append((r.draw, r.doc_id, r.crc))
+    order = sorted(((2 * k + 1) / (2 * len(own)), *row) for own in by_source.values() for k, row in enumerate(sorted(own)))
+    small, larger = divmod(len(order), shards)
+    want, at = [], 0
+    for shard in range(shards):
+        for slot in range(small + (shard < larger)):
+            want.append((order[at][2], order[at][3], shard, slot))
+            at += 1
+    got = [(r.doc_id, r.text_crc32, r.shard, r.slot) for r in sharding.interleave(docs, shards=shards).collect()]
+    assert sorted(got, key=lambda x: x[2:]) == want
+
+
 def test_sharding_keeps_the_mixture(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 7).cast("string"))).alias("source"))
     mix = sharding.interleave(df).join(df.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.max("shard"), *[F.count_if(F.col("shard") == k).alias(f"n{k}") for k in range(8)]).collect()

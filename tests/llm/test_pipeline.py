@@ -6,6 +6,7 @@ import corpus_pipeline as P
 from test_operators import brute_groups, words2
 
 from marlstone.llm import packing, quality, secrets
+from marlstone.llm.tokens import encoder
 from marlstone.session import materialise
 
 
@@ -38,8 +39,35 @@ def test_stages(spark, sf):
         assert not re.search(r"[0-9a-f]{16}", r.text)
 
     packed = materialise(P.best_fit_packing(spark, masked, sf), "stage")
-    assert packed.columns == [c.split()[0] for c in packing.RESULT.split(", ")]
-    assert packed.select("doc_id").distinct().count() == masked.count()
+    assert packed.columns[:7] == [c.split()[0] for c in packing.RESULT.split(", ")]
+    own = encoder(packing.TOKENIZER).tokenizer
+    pieces = {}
+    for r in packed.orderBy("doc_id", "piece").collect():
+        pieces.setdefault(r.doc_id, []).extend(r.ids)
+    assert pieces == {r.doc_id: [*own.encode(r.text or "", add_special_tokens=False).ids, 0] for r in masked.collect()}
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, _own string, _row int, kept string, _spans int, windows int, hub long"
+
+
+def test_stages_on_awkward_tables(spark, sf):
+    """Empty tables, nulls in all columns, repeated rows, ids that several texts share, clashing names."""
+    prose = " ".join(f"word{k % 37} of the" for k in range(40))
+    rows = [(None,) * 11, (1, None, None, None, None, "a", 1, "b", 2, 3, 4), (2, "", "en", "s", 0, None, None, None, None, None, None), (3, " ".join(f"{w}{k}" for k, w in enumerate(prose.split())), "xx", None, 5, "q", 1, "k", 2, 3, 4), (3, " ".join(f"other{k}" for k in range(60)), "xx", None, 5, "q", 1, "k", 2, 3, 4)]
+    rows += [rows[3], (4, rows[3][1] + " token='abcdefABCDEF0123'", "xx", None, 5, "q", 1, "k", 2, 3, 4)]
+    for data in ([], rows):
+        docs = spark.createDataFrame(data, COLUMNS)
+        kept = materialise(P.quality_rules(spark, docs, sf), "stage")
+        assert kept.dtypes == docs.dtypes and {r.doc_id for r in kept.collect()} == ({3, 4} if data else set())
+        one = materialise(P.near_duplicates(spark, kept, sf), "stage")
+        assert one.dtypes == docs.dtypes and sorted(r.text[:6] for r in one.collect()) == (["other0", "word00"] if data else [])
+        clean = materialise(P.decontamination(spark, one, sf), "stage")
+        masked = materialise(P.secret_masking(spark, clean, sf), "stage")
+        assert clean.dtypes == masked.dtypes == docs.dtypes and clean.count() == masked.count() == (2 if data else 0)
+        assert P.best_fit_packing(spark, masked, sf).count() == (2 if data else 0)
+    raw = spark.createDataFrame(rows, COLUMNS)  # stages on what an earlier one would have dropped
+    assert P.near_duplicates(spark, raw, sf).count() == 5 and P.decontamination(spark, raw, sf).count() == 7
+    assert [r.text for r in P.secret_masking(spark, raw, sf).filter("doc_id = 4").collect()] == [rows[3][1] + " [SECRET]'"]
 
 
 def test_run(spark, sf):
