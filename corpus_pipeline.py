@@ -1,13 +1,23 @@
 """Cleaning and packing of a training corpus: five stages, each over all that the one before kept.
 
 1. quality: documents that the quality rules reject go.
-2. near_duplicates: of each group of near-duplicates (five-word shingles, similarity 0.8)
-   the document with the smallest doc_id stays.
+2. near_duplicates: of each group of near-duplicates one document stays, the one with the
+   smallest doc_id. Groups are taken on five-word shingles at a similarity of 0.8, as stages
+   are by default; the query op6 has four words by its contract.
 3. decontamination: documents that hold a ten-word passage of a benchmark item go.
 4. secrets: secrets are masked in place, and n_chars follows the text.
-5. packing: documents become token sequences of at most 2048 tokens.
-
-All but the last return the columns of documents.
+5. packing: documents become token sequences of at most 2048 tokens; each row is a piece of a
+   document with its ids and its place, and marlstone.llm.packing.sequences joins them.
+
+All but the last return the columns of documents, whatever other columns there are and
+however they are called. Each stage gives no rows for an empty table.
+
+Nulls and empty texts: the quality rules reject them, having too few words; the other
+stages keep them (a null text stays null; it packs as its end token alone), and a null
+doc_id, language or source is a value like others (a null doc_id comes last among the rows
+of a group of near-duplicates). Repeated rows are near-duplicates of one another, and one
+stays; rows that share a doc_id are told apart by their text. Ties between texts with one
+doc_id go by the md5 of the text. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -37,7 +47,7 @@ def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack(docs, with_ids=True)
 
 
 STAGES = [
