@@ -7,7 +7,7 @@ kept fingerprint. Document fingerprints are looked up among the benchmark's, and
 hit is extended: the item windows that hold the hit are looked for around it.
 
 Benchmark and documents meet as tables. The benchmark gives two: its kept fingerprints, and
-its windows by 128-bit hash with their items. A filter over both (a bit for each hash, of at
+its windows by 128-bit hash with their items. A filter over both (two bits for each hash, of at
 most FILTER_BYTES however large the benchmark is) goes to all tasks; it lets all true hits
 through, and false ones at a rate that grows as it fills. In one pass over the texts each
 document keeps the fingerprints that pass, extends them to the windows around, and writes
@@ -71,15 +71,19 @@ def at_places(words: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
 
 
 class Bits:
-    """The filter: a bit for each hash, in a power of two of bits."""
+    """The filter: two bits for each hash, in a power of two of bits."""
 
     def __init__(self, bits: np.ndarray):
         self.bits = bits
         self.mask = C.U64(8 * len(bits) - 1)
 
+    @staticmethod
+    def places(hashes: np.ndarray, mask: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        return hashes & mask, hashes >> C.U64(32) & mask
+
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        at = hashes & self.mask
-        return (self.bits[at >> C.U64(3)] >> (at & C.U64(7)).astype(np.uint8)) & np.uint8(1) > 0
+        first, second = ((self.bits[at >> C.U64(3)] >> (at & C.U64(7)).astype(np.uint8)) & np.uint8(1) > 0 for at in self.places(hashes, self.mask))
+        return first & second
 
 
 def windows_of(benchmark: DataFrame, window: int, gram: int) -> tuple[DataFrame, DataFrame]:
@@ -113,14 +117,14 @@ def filters(windows: DataFrame, prints: DataFrame, most_bytes: int = FILTER_BYTE
     bits; only the bits come to the driver."""
     hashes = windows.select(F.col("a").alias("hash")).unionByName(prints)
     n = hashes.count()
-    size = min(most_bytes, 1 << max(10, (2 * n).bit_length()))  # some 16 bits for each hash
+    size = min(most_bytes, 1 << max(10, (8 * n).bit_length()))  # 64 to 128 bits for each hash: one in some 1000 others passes
     part = min(size, 1 << 16)
 
     def bits(batches):
         own = np.zeros(size, np.uint8)
         for batch in batches:
-            at = batch.column(0).to_numpy().view(C.U64) & C.U64(8 * size - 1)
-            np.bitwise_or.at(own, (at >> C.U64(3)).astype(np.int64), np.uint8(1) << (at & C.U64(7)).astype(np.uint8))
+            for at in Bits.places(batch.column(0).to_numpy().view(C.U64), C.U64(8 * size - 1)):
+                np.bitwise_or.at(own, (at >> C.U64(3)).astype(np.int64), np.uint8(1) << (at & C.U64(7)).astype(np.uint8))
         parts = [k for k in range(0, size, part) if own[k : k + part].any()]
         yield pa.RecordBatch.from_arrays([pa.array([k // part for k in parts], pa.int32()), pa.array([own[k : k + part].tobytes() for k in parts], pa.binary())], names=["part", "bits"])
 
