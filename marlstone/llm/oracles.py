@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import string
 
+from . import balls, collocations
 from .quality import COMMON, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_WORDS
 
 LOWER = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
@@ -135,10 +136,78 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = compon
 FROM d JOIN least_of USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
+#: Windows of 20 words are compared as text; the order is by doc_id and place.
+OP11 = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {SPACED}) AS w FROM documents),
+x AS MATERIALIZED (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 18, 1))) AS i FROM d)),
+r AS (SELECT doc_id, i FROM x QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM r),
+k AS (SELECT doc_id, count(*) AS n_removed, list(p) AS ps FROM g GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(array_to_string(CASE WHEN ps IS NULL THEN w ELSE list_filter(w, lambda a, j: NOT list_contains(ps, j)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+OP12 = rf"""
+WITH d AS (SELECT coalesce(lang, '{collocations.NO_LANGUAGE}') AS lang, unnest(regexp_split_to_array({LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+f AS MATERIALIZED (
+  SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, size, unnest(range(1, greatest(len(w) - size + 2, 1))) AS i FROM p CROSS JOIN (SELECT unnest([1, 2, 3]) AS size))
+  GROUP BY ALL HAVING count(*) >= {collocations.LEAST}),
+c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, size)) AS k FROM f WHERE size > 1),
+s AS (
+  SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r, CAST((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[k + 1:], ' ')),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, phrase, max(a) AS longest
+  FROM (SELECT lang, a, array_to_string(w[k:k + 1], ' ') AS phrase FROM c WHERE size = 3) GROUP BY lang, phrase),
+o AS (SELECT m.* FROM m LEFT JOIN longer USING (lang, phrase) WHERE longest IS NULL OR 100 * longest < {collocations.COVERED_PERCENT} * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM o JOIN n USING (lang) QUALIFY rank <= {collocations.BEST}
+"""
+
+_FLOOR = "(s - ((s % c) + c) % c) // c"
+
+
+def _nearest(k: int) -> str:
+    return f"""
+a{k} AS MATERIALIZED (
+  SELECT p.id, min_by(c.k, (far, c.k)) AS k, min(far) AS far
+  FROM (SELECT p.id, c.k, CAST(list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS far FROM p CROSS JOIN c{k} c) c
+  JOIN p USING (id) GROUP BY p.id)"""
+
+
+def _move(k: int) -> str:
+    return f"""
+c{k + 1} AS MATERIALIZED (
+  SELECT c.k, coalesce(m.v, c.v) AS v FROM c{k} c LEFT JOIN (
+    SELECT k, list({_FLOOR} ORDER BY j) AS v
+    FROM (SELECT k, j, CAST(sum(x) AS BIGINT) AS s, count(*) AS c FROM (SELECT a.k, unnest(range(1, {balls.DIM + 1})) AS j, unnest(p.v) AS x FROM a{k} a JOIN p USING (id)) GROUP BY k, j)
+    GROUP BY k) m USING (k))"""
+
+
+OP13 = f"""
+WITH e AS (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = {balls.DIM} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {balls.DIM}),
+p AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: CAST(floor({balls.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM e),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS k, v FROM (SELECT sha256('{balls.SEED}' || CAST(vec_id AS VARCHAR)) AS h, v FROM p ORDER BY h LIMIT {balls.CLUSTERS})),
+{",".join(_nearest(k) + "," + _move(k) for k in range(balls.ROUNDS))},
+{_nearest(balls.ROUNDS)},
+t AS (SELECT k, CAST(sum(far) AS BIGINT) AS own FROM a{balls.ROUNDS} GROUP BY k)
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, far AS distance, own AS cluster_inertia,
+       CAST((SELECT sum(own) FROM t) AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{balls.ROUNDS} JOIN p USING (id) JOIN t USING (k) JOIN c{balls.ROUNDS} c USING (k)
+"""
+
 ORACLES = {
     "op1_prefix_free_parsing": OP1,
     "op2_winnowing": OP2,
     "op3_divergence_rules": OP3,
     "op4_chat_template": OP4,
     "op6_tensored_minhash": OP6,
+    "op11_difference_cover": OP11,
+    "op12_position_bitmaps": OP12,
+    "op13_ball_kmeans": OP13,
 }

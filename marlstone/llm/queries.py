@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, neardup, packing, pages, quality, repeats, secrets, sharding, tokenstore
+from . import anchors, balls, chat, collocations, decontaminate, neardup, packing, pages, quality, repeats, secrets, sharding, tokenstore
 from .common import documents
 from .oracles import ORACLES
 
@@ -57,6 +57,18 @@ def op10_stratified_interleaving(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(documents(spark, sf_dir))
 
 
+def op11_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchors.remove_passages(documents(spark, sf_dir))
+
+
+def op12_position_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balls.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
