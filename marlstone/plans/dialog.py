@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+from itertools import islice
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import answer, asr, evaluate, lexical, routing, safety, state, turn
+from ..operators import answer, asr, dispatch, evaluate, lexical, routing, safety, state, turn
 from .common import query, table
 from .retrieval import LEXICAL, RANKED, asked, docs, stored
 
@@ -348,31 +351,106 @@ def input_changes(spark, d) -> DataFrame:
 # -- live search and provider state ----------------------------------------------------------
 
 _MODE = " ".join(f"when '{k}' then {_candidates(v)}" for k, v in routing.MODES.items())
-_NEAR, _CONFIGURED, _TRIED = "['brave']", "list_filter(['exa', 'tavily', 'brave', 'linkup', 'gemini'], lambda p: conv_id % 2 = 0 or p <> 'gemini')", "case when turn % 4 = 2 then ['tavily', 'exa'] else []::varchar[] end"
+_NEAR, _CONFIGURED, _TRIED = "['brave']", "list_filter(['exa', 'tavily', 'brave', 'linkup', 'gemini'], lambda p: conv_id % 2 = 0 or p <> 'gemini')", "case when turn % 4 = 2 then ['tavily', 'exa'] when (conv_id + turn) % 10 = 9 then ['exa', 'tavily', 'brave', 'linkup', 'gemini'] else []::varchar[] end"
 _PICK = "coalesce(list_filter(case mode {modes} end, lambda p: not list_contains({out}, p) and list_contains(configured, p) and not list_contains({near}, p))[1], list_filter({last}, lambda p: not list_contains({out}, p) and list_contains(configured, p))[1], 'tavily')"
 _pick = lambda out: _PICK.format(modes=_MODE, out=out, near=_NEAR, last=_candidates(()))
+_left = lambda out: f"nullif({_pick(out)}, case when list_contains({out}, {_pick(out)}) then {_pick(out)} end)"
+#: In the stand-in, exa fails for some queries, and linkup can't be loaded at all.
+_DOWN = "provider = 'exa' and slot % 10 = 3"
+_CALLS = f"""with r as (select conv_id, turn, ['{"', '".join(routing.MODES)}'][1 + (conv_id + turn) % {len(routing.MODES)}] as mode, {_CONFIGURED} as configured, {_TRIED} as excluded, (conv_id * 7 + turn) % 50 as slot from conversations where role = 'user'),
+c1 as (select *, {_left('excluded')} as first from r), c2 as (select *, case when first = 'linkup' then list_concat(excluded, ['linkup']) else excluded end as out from c1),
+c as (select * exclude (first), case when first = 'linkup' then {_left('out')} else first end as provider from c2),
+p as (select *, {_pick('list_concat(excluded, [provider])')} as next from c),
+o as (select [{", ".join(f"'{x}'" for x in routing.LAST_RESORT)}][1 + page_id % 6] as provider, page_id % 50 as slot, page_id, case when page_id % 4 = 1 then 'answer ' || page_id else '' end as answer, url from pages),
+f as (select p.*, o.page_id, o.answer, o.url, row_number() over (partition by conv_id, turn order by o.page_id) as n from p join o on o.provider = p.provider and o.slot = p.slot and not ({_DOWN.replace("provider", "p.provider").replace("slot", "p.slot")}) qualify n <= 10),
+g as (select conv_id, turn, count(*) as n, arg_min(answer, page_id) filter (where answer <> '') as answer, string_agg(url, ' ' order by page_id) as urls from f group by all),
+h as (select p.*, conv_id * 1000 + turn as request_id, coalesce(n, 0) as count, answer, coalesce(urls, '') as urls, provider is not null and coalesce(n, 0) < 3 as thin from p left join g using (conv_id, turn))"""
 
 
-@query(f"""with r as (select conv_id, turn, ['{"', '".join(routing.MODES)}'][1 + (conv_id + turn) % {len(routing.MODES)}] as mode, {_CONFIGURED} as configured, {_TRIED} as excluded from conversations where role = 'user'),
-c as (select *, {_pick('excluded')} as provider, (conv_id * 7 + turn) % 50 as slot from r), p as (select *, {_pick('list_concat(excluded, [provider])')} as next from c),
-o as (select [{", ".join(f"'{x}'" for x in routing.LAST_RESORT)}][1 + page_id % 6] as provider, page_id % 50 as slot, page_id, case when page_id % 4 = 1 then 'answer ' || page_id else '' end as answer, url from pages),
-f as (select p.*, o.page_id, o.answer, o.url, row_number() over (partition by conv_id, turn order by o.page_id) as n from p join o on o.provider = p.provider and o.slot = p.slot qualify n <= 10),
-g as (select conv_id, turn, count(*) as n, arg_min(answer, page_id) filter (where answer <> '') as answer, string_agg(url, ' ' order by page_id) as urls from f group by all)
-select conv_id * 1000 + turn as request_id, mode, provider as provider_used, coalesce(n, 0) as count, answer, coalesce(urls, '') as urls, coalesce(n, 0) < 3 as can_escalate, case when coalesce(n, 0) < 3 then next end as escalate_to,
-case when mode = 'deep' then 300 when mode in ('code', 'company', 'people') then 20 when mode = 'academic' then 60 else 15 end as timeout, false as exhausted from p left join g using (conv_id, turn)""")
-def live_search(spark, d) -> DataFrame:
-    """Search composed: provider by mode, configuration, exclusions and quota; results, answer, escalation. Pages stand in for what providers have."""
+def live_requests(spark, d) -> DataFrame:
     k, modes = F.col("conv_id"), F.array(*map(F.lit, routing.MODES))
-    requests = table(spark, d, "conversations").filter("role = 'user'").select(
-        (k * 1000 + F.col("turn")).alias("request_id"), F.get(modes, ((k + F.col("turn")) % len(routing.MODES)).cast("int")).alias("mode"), ((k * 7 + F.col("turn")) % 50).alias("slot"),
-        F.filter(F.array(*map(F.lit, ["exa", "tavily", "brave", "linkup", "gemini"])), lambda p: (k % 2 == 0) | (p != "gemini")).alias("configured"), F.array(F.lit("brave")).alias("near"),
-        F.when(F.col("turn") % 4 == 2, F.array(F.lit("tavily"), F.lit("exa"))).otherwise(F.array().cast("array<string>")).alias("excluded"),
+    gone = F.when(F.col("turn") % 4 == 2, F.array(F.lit("tavily"), F.lit("exa"))).when((k + F.col("turn")) % 10 == 9, F.array(*map(F.lit, ["exa", "tavily", "brave", "linkup", "gemini"])))
+    return table(spark, d, "conversations").filter("role = 'user'").select(
+        (k * 1000 + F.col("turn")).alias("request_id"), F.get(modes, ((k + F.col("turn")) % len(routing.MODES)).cast("int")).alias("mode"), F.concat(F.lit("slot "), ((k * 7 + F.col("turn")) % 50).cast("string")).alias("query"),
+        F.filter(F.array(*map(F.lit, ["exa", "tavily", "brave", "linkup", "gemini"])), lambda p: (k % 2 == 0) | (p != "gemini")).alias("configured"), F.array(F.lit("brave")).alias("near"), gone.alias("excluded"),
     )
-    page = F.col("page_id")
-    pages = table(spark, d, "pages").select(F.get(F.array(*map(F.lit, routing.LAST_RESORT)), (page % 6).cast("int")).alias("provider"), (page % 50).alias("slot"), page.alias("ord"), F.lit("page").alias("title"), "url", F.lit("").alias("snippet"), F.lit(1.0).alias("score"), F.when(page % 4 == 1, F.concat(F.lit("answer "), page.cast("string"))).otherwise("").alias("answer"))
-    offers = requests.select("request_id", "slot").join(pages, "slot").drop("slot")
-    found = routing.live_search(requests.drop("slot"), offers)
-    return found.select("request_id", "mode", "provider_used", "count", "answer", F.array_join(F.transform("sources", lambda x: x["url"]), " ").alias("urls"), "can_escalate", "escalate_to", "timeout", "exhausted")
+
+
+def page_providers(n_pages: int) -> dict:
+    """Stand-ins for search providers, which are called: each has every sixth page, by number, and finds those of a slot."""
+
+    def loading(place: int, name: str):
+        def load():
+            if name == "linkup":
+                raise KeyError("no key")
+
+            def search(query, most, mode):
+                slot = int(query.removeprefix("slot "))
+                if name == "exa" and slot % 10 == 3:
+                    raise ConnectionError("down")
+                return ({"title": "page", "url": f"page:{n}", "score": 1, "answer": f"answer {n}" if n % 4 == 1 else ""} for n in range(slot, n_pages, 50) if n % 6 == place)
+
+            return search
+
+        return load
+
+    return {name: loading(place, name) for place, name in enumerate(routing.LAST_RESORT)}
+
+
+def _with_urls(spark, d, found: DataFrame) -> DataFrame:
+    """Responses with the urls of the pages that their sources name."""
+    named = found.select("request_id", F.posexplode("sources.url").alias("n", "name"))
+    pages = table(spark, d, "pages").select(F.concat(F.lit("page:"), F.col("page_id").cast("string")).alias("name"), "url")
+    urls = named.join(pages, "name").groupBy("request_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "url"))), lambda x: x["url"]), " ").alias("urls"))
+    return found.join(urls, "request_id", "left").withColumn("urls", F.coalesce("urls", F.lit("")))
+
+
+def _searched(spark, d):
+    return dispatch.live_search(live_requests(spark, d), page_providers(table(spark, d, "pages").count()))
+
+
+@query(f"""{_CALLS} select request_id, mode, provider as provider_used, case when {_DOWN} then 'failed' when provider is not null then 'ok' end as status, count, answer, urls, thin as can_escalate, case when thin then next end as escalate_to, case when provider is null then 'no provider' end as error from h""")
+def live_search(spark, d) -> DataFrame:
+    """Search composed: provider by mode, configuration, exclusions and quota, its call, results, answer, escalation."""
+    found, _ = _searched(spark, d)
+    return _with_urls(spark, d, found).select("request_id", "mode", "provider_used", "status", "count", "answer", "urls", "can_escalate", "escalate_to", "error")
+
+
+@query(f"""{_CALLS}, e1 as (select conv_id, turn, mode, configured, slot, list_distinct(list_concat(excluded, [provider])) as excluded from h where thin), e2 as (select *, {_left('excluded')} as first from e1),
+e3 as (select *, case when first = 'linkup' then list_concat(excluded, ['linkup']) else excluded end as out from e2), e as (select * exclude (first), case when first = 'linkup' then {_left('out')} else first end as provider from e3),
+found as (select conv_id, turn, least(count(o.page_id), 10) as n from e left join o on o.provider = e.provider and o.slot = e.slot and not ({_DOWN.replace("provider", "e.provider").replace("slot", "e.slot")}) group by all)
+select conv_id * 1000 + turn as request_id, provider as provider_used, n as count, case when provider is null then 'no provider' end as error, array_to_string(list_sort(excluded), ',') as tried from e join found using (conv_id, turn)""")
+def live_escalate(spark, d) -> DataFrame:
+    """Thin responses once more, at the next provider that wasn't tried."""
+    found, _ = _searched(spark, d)
+    again = dispatch.escalation(found, live_requests(spark, d))
+    more, _ = dispatch.live_search(again, page_providers(table(spark, d, "pages").count()))
+    return more.select("request_id", "provider_used", "count", "error", F.array_join(F.array_sort("previously_tried"), ",").alias("tried"))
+
+
+@query(f"""{_CALLS} select provider, case when {_DOWN} then 'failed' else 'ok' end as status, count(*) as calls, sum(count)::bigint as hits from h where provider is not null group by all""")
+def live_calls(spark, d) -> DataFrame:
+    """What the request log measured of the calls: how they ended, and their hits."""
+    _, made = _searched(spark, d)
+    log = dispatch.request_log(made).withColumn("f", F.from_json("filters", "mode string, provider string, status string")).filter("ms >= 0 and f.status <> 'unavailable'")
+    return log.groupBy(F.col("f.provider").alias("provider"), F.col("f.status").alias("status")).agg(F.count(F.lit(1)).alias("calls"), F.sum("hits").cast("long").alias("hits"))
+
+
+@query(f"""select provider, 'slot ' || slot as query, n - 1 as ord, url from (
+select [{", ".join(f"'{x}'" for x in routing.LAST_RESORT)}][1 + page_id % 6] as provider, page_id % 50 as slot, page_id, url, row_number() over (partition by page_id % 6, page_id % 50 order by page_id) as n from pages)
+where provider in ('tavily', 'brave') and n <= 10 and timestamp '2024-01-01' + page_id * interval 1 hour >= timestamp '2024-01-02'""")
+def search_source(spark, d) -> DataFrame:
+    """Providers as a data source: filters choose which of them are called, for what, and go along as hints."""
+    from ..sources.providers import register
+
+    def service(load):
+        return lambda query, k, mode: [r | {"published": datetime(2024, 1, 1, tzinfo=timezone.utc) + timedelta(hours=int(r["url"][5:]))} for r in islice(load()(query, k, mode), k)]
+
+    register(spark, "pages", {name: service(load) for name, load in page_providers(table(spark, d, "pages").count()).items()})
+    found = spark.read.format("search-pages").option("query", "\n".join(f"slot {n}" for n in range(50))).option("k", 10).load()
+    found = found.filter("provider in ('tavily', 'brave') and mode = 'search' and published >= timestamp'2024-01-02 00:00:00'")
+    pages = table(spark, d, "pages").select(F.concat(F.lit("page:"), F.col("page_id").cast("string")).alias("name"), F.col("url").alias("page"))
+    return found.join(pages, F.col("url") == F.col("name")).select("provider", "query", F.col("ord").cast("long").alias("ord"), F.col("page").alias("url"))
 
 
 @query(f"""select provider, coalesce(case when provider = 'click' then ever else in_month end, 0)::bigint as calls, call_limit, case when call_limit > 0 then coalesce(case when provider = 'click' then ever else in_month end, 0) >= 0.95::double * call_limit else false end as near
@@ -457,9 +535,9 @@ def turn_end_to_end(spark, d) -> DataFrame:
 
 @query("select event_type as provider, strftime(ts, '%Y-%m') as month, count(*) as calls from events group by all")
 def stream_usage_monthly(spark, d) -> DataFrame:
-    from ..streaming.state import monthly_usage
+    from ..streaming.state import event_stream, monthly_usage
 
-    return monthly_usage(spark, d)
+    return monthly_usage(event_stream(spark, d).withColumnRenamed("event_type", "provider"))
 
 
 @query(f"""with recursive o as (select user_id, event_type, epoch_us(ts) as t, row_number() over (partition by user_id, event_type order by ts) as n from events),
@@ -467,14 +545,15 @@ f as (select user_id, event_type, n, t as opened, 0::bigint as hits from o where
 from f join o on o.user_id = f.user_id and o.event_type = f.event_type and o.n = f.n + 1)
 select user_id, event_type, arg_max(hits, n) as hits, max(n) - arg_max(hits, n) as misses from f group by all""")
 def stream_ttl_cache(spark, d) -> DataFrame:
-    from ..streaming.state import cached_requests
+    from ..streaming.state import cached_requests, event_stream
 
-    return cached_requests(spark, d, TTL)
+    rows = cached_requests(event_stream(spark, d).withColumnRenamed("event_id", "id"), ["user_id", "event_type"], TTL)
+    return rows.groupBy("user_id", "event_type").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
 
 
 @query("""select event_id as call_id, n * 60000000 + max(t - n * 60000000) over (partition by user_id order by t, event_id rows unbounded preceding) as start
 from (select event_id, user_id, epoch_us(ts) as t, row_number() over (partition by user_id order by ts, event_id) as n from events)""")
 def stream_throttle(spark, d) -> DataFrame:
-    from ..streaming.state import throttled
+    from ..streaming.state import event_stream, throttled
 
-    return throttled(spark, d, 60_000_000)
+    return throttled(event_stream(spark, d).withColumnRenamed("event_id", "id"), ["user_id"], 60_000_000).select(F.col("id").alias("call_id"), "start")

@@ -1,28 +1,56 @@
-"""Streaming versions of the stateful operators. Sources are files, read to their end."""
+"""Streaming versions of the stateful operators. Sources are files, read to their end.
+
+Rows may come out of order, and files too, by up to the watermark's delay: a key's rows wait in
+its state until the watermark has passed them, and are taken in the order of event time then,
+whichever batch brought them. Later ones than that are dropped. Timers of event time take the
+waiting rows, and end a key's state once it says nothing any more: an idle key costs nothing.
+"""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..session import shared_folder
 
+DELAY, LATE_BY = "1 hour", 3600
+FILES = 4
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: From what a key's state holds (none at first) and the time of a row: what it holds then, what
+#: the row gets, and until when the state matters. Times are microseconds.
+Step = Callable[[int | None, int], tuple[int, int, int]]
+
+
+def deal_in_files(rows: DataFrame, folder: str, files: int = FILES, late_by: int = LATE_BY) -> None:
+    """Write rows(ts, event_id, ...) as files, one after the other, in the order of ts but for up to
+    late_by seconds, by which rows are late; and a last one whose only row, without a key, is a year later."""
+    late = rows.withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(late_by)) * 1000000)
+    first, last, most = late.agg(F.min("_at"), F.max("_at"), F.max("ts")).first()
+    if first is None:
+        first = last = 0
+    step = (last - first) // files + 1
+    for k in range(files):
+        late.filter(((F.col("_at") - first) / step).cast("int") == k).drop("_at").coalesce(1).write.mode("append").parquet(folder)  # one file is the input of one batch
+    end = rows.sparkSession.range(1).select(*[(F.lit(most) + F.expr("interval 1 year") if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema])
+    end.write.mode("append").parquet(folder)
+
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream, with ts as a timestamp that watermarks accept."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet" if _is_folder(spark, f"{sf_dir}/events.parquet") else f"{sf_dir}/events*.parquet")
-    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    """The events table as a stream of several files in some disorder, with ts as a timestamp that watermarks accept."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    folder = f"{shared_folder(spark)}/marlstone-events-{uuid.uuid4().hex}"
+    deal_in_files(events, folder)
+    return files_stream(spark, folder, events.schema)
 
 
-def _is_folder(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+def files_stream(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """A folder of Parquet files as a stream, one file in each batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def to_end(stream: DataFrame, mode: str, name: str) -> DataFrame:
@@ -33,53 +61,103 @@ def to_end(stream: DataFrame, mode: str, name: str) -> DataFrame:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out" if mode == "complete" else f"{folder}/out/batch={number}")
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    try:
+        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     return spark.read.schema(stream.schema).parquet(f"{folder}/out").select(*stream.columns)
 
 
-def monthly_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls by provider and month: counted by day, so that the watermark closes days and their state
-    goes, and summed into months from the days' latest counts."""
-    calls = event_stream(spark, sf_dir).withWatermark("ts", "40 days")
-    days = calls.groupBy(F.col("event_type").alias("provider"), F.window("ts", "1 day").alias("day")).agg(F.count(F.lit(1)).alias("calls"))
+class InOrder(StatefulProcessor):
+    """A step for each row (at, id) of a key, in the order of time, and of id among equals."""
+
+    def __init__(self, step: Step, keys: list[str], result: str):
+        self.step, self.keys, self.result = step, keys, result
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, id long")
+        self.held = handle.getValueState("held", "value long, until long")
+
+    def wake(self, micros: int) -> None:
+        """At the first millisecond that isn't before."""
+        self.handle.registerTimer(-(-micros // 1000))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = [(int(at), int(i)) for frame in rows for at, i in zip(frame["at"], frame["id"], strict=True) if not pd.isna(i)]
+        if new:
+            self.waiting.appendList(new)
+            self.wake(min(new)[0])
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
+        ready = [r for r in rows if r[0] <= passed]
+        value, until = self.held.get() if self.held.exists() else (None, None)
+        out = []
+        for at, i in ready:
+            value, given, until = self.step(value, at)
+            out.append((i, given))
+        if ready:
+            self.waiting.clear()
+            if len(ready) < len(rows):
+                self.waiting.put(rows[len(ready) :])
+                self.wake(rows[len(ready)][0])
+        if until is not None and until <= passed:
+            self.held.clear()
+        elif ready:
+            self.held.update((value, until))
+            self.wake(until)
+        if out:
+            yield pd.DataFrame({**{k: [v] * len(out) for k, v in zip(self.keys, key, strict=True)}, "id": [i for i, _ in out], self.result: [x for _, x in out]})
+
+
+def folded(stream: DataFrame, keys: list[str], step: Step, result: str, delay: str = DELAY) -> DataFrame:
+    """Each row of stream(*keys, ts, id) with what its step gives, as a long: (*keys, id, result)."""
+    kinds = dict(stream.dtypes)
+    schema = ", ".join([f"{k} {kinds[k]}" for k in keys] + ["id long", f"{result} long"])
+    rows = stream.withWatermark("ts", delay).select(*keys, "ts", F.unix_micros("ts").alias("at"), "id")
+    return rows.groupBy(*keys).transformWithStateInPandas(InOrder(step, keys, result), schema, "append", "eventtime")
+
+
+def monthly_usage(calls: DataFrame) -> DataFrame:
+    """Of a stream calls(provider, ts), the number by provider and month: counted by day, so that the watermark
+    closes days and their state goes, and summed into months from the days' latest counts."""
+    days = calls.filter("provider is not null").withWatermark("ts", "1 day").groupBy("provider", F.window("ts", "1 day").alias("day")).agg(F.count(F.lit(1)).alias("calls"))
     latest = to_end(days, "update", "usage").groupBy("provider", "day").agg(F.max("calls").alias("calls"))
     return latest.groupBy("provider", F.date_format("day.start", "yyyy-MM").alias("month")).agg(F.sum("calls").alias("calls"))
 
 
-def cached_requests(spark: SparkSession, sf_dir: str, seconds: float) -> DataFrame:
-    """Hits and misses of a cache by (user_id, event_type), whose window only a miss opens."""
+def cache_step(seconds: float) -> Step:
+    """Whether a cache answers (1), whose window only a miss opens; a window says nothing once it is over."""
     width = int(seconds * 1e6)
 
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        opened, hits, misses = held.get if held.exists else (None, 0, 0)
-        for t in sorted(x for f in frames for x in f["at"]):
-            if opened is not None and t < opened + width:
-                hits += 1
-            else:
-                opened, misses = int(t), misses + 1
-        held.update((opened, hits, misses))
-        yield pd.DataFrame({"user_id": [key[0]], "event_type": [key[1]], "hits": [hits], "misses": [misses]})
-
-    calls = event_stream(spark, sf_dir).select("user_id", "event_type", F.unix_micros("ts").alias("at"))
-    out = calls.groupBy("user_id", "event_type").applyInPandasWithState(fold, "user_id long, event_type string, hits long, misses long", "opened long, hits long, misses long", "update", GroupStateTimeout.NoTimeout)
-    latest = to_end(out, "update", "cache")
-    return latest.groupBy("user_id", "event_type").agg(F.max(F.struct(F.col("hits") + F.col("misses"), "hits", "misses")).alias("m")).select("user_id", "event_type", "m.hits", "m.misses")
-
-
-def throttled(spark: SparkSession, sf_dir: str, gap_micros: int) -> DataFrame:
-    """When each user's calls start, gap_micros apart at least: the earliest start of the next call is a user's state."""
-
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        free = held.get[0] if held.exists else None
-        rows = pd.concat(list(frames)).sort_values(["at", "call_id"])
-        starts = []
-        for t in rows["at"]:
-            at = int(t) if free is None else max(int(t), free)
-            starts.append(at)
-            free = at + gap_micros
-        held.update((free,))
-        yield pd.DataFrame({"call_id": rows["call_id"].to_numpy(), "start": starts})
-
-    calls = event_stream(spark, sf_dir).select("user_id", F.col("event_id").alias("call_id"), F.unix_micros("ts").alias("at"))
-    out = calls.groupBy("user_id").applyInPandasWithState(fold, "call_id long, start long", "free long", "append", GroupStateTimeout.NoTimeout)
-    return to_end(out, "append", "throttle")
+    def step(opened: int | None, at: int) -> tuple[int, int, int]:
+        hit = opened is not None and at < opened + width
+        now = opened if hit else at
+        return now, int(hit), now + width  # type: ignore[return-value,operator]
+
+    return step
+
+
+def throttle_step(gap_micros: int) -> Step:
+    """When a call starts, `gap_micros` after the one before at least; the next start says nothing once it is past."""
+
+    def step(free: int | None, at: int) -> tuple[int, int, int]:
+        start = at if free is None else max(at, free)
+        return start + gap_micros, start, start + gap_micros
+
+    return step
+
+
+def cached_requests(requests: DataFrame, keys: list[str], seconds: float, delay: str = DELAY) -> DataFrame:
+    """Of a stream requests(*keys, ts, id), each with `hit`."""
+    return to_end(folded(requests, keys, cache_step(seconds), "hit", delay), "append", "cache").withColumn("hit", F.col("hit") == 1)
+
+
+def throttled(calls: DataFrame, keys: list[str], gap_micros: int, delay: str = DELAY) -> DataFrame:
+    """Of a stream calls(*keys, ts, id), when each starts: `start`, in microseconds."""
+    return to_end(folded(calls, keys, throttle_step(gap_micros), "start", delay), "append", "throttle")
