@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 BLOCK_BYTES = 8 << 20
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
 SLICE_BYTES = 1 << 20
 SENT = "bucket int, block int, entries binary"
 
@@ -31,7 +31,7 @@ def dealt(docs: DataFrame, block_bytes: int, *more: Column) -> tuple[DataFrame,
     equal texts share a block, and the order by (doc_id, block) is that by (doc_id, key)."""
     size = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     blocks = max(1, -(-size // block_bytes))
-    buckets = max(1, -(-size // max(BUCKET_BYTES, 4 * block_bytes)))
+    buckets = max(1, -(-size // max(BUCKET_BYTES, 2 * block_bytes)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *more)
     rows = rows.withColumn("key", F.xxhash64("text", "doc_id"))
     # the 32 upper bits of the key, as 0 to 2**32 - 1, cut into equal ranges
@@ -49,18 +49,27 @@ def runs_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.append(at[1:], len(values))[: len(at)]
 
 
+def planes(entries: np.ndarray) -> bytes:
+    """Entries by byte places: all first bytes, then all second ones and so on, which compresses well where entries are in order."""
+    return entries.view(np.uint8).reshape(len(entries), entries.dtype.itemsize).T.tobytes()
+
+
+def unplaned(parts: list[bytes], kind: np.dtype) -> np.ndarray:
+    """The entries of several planes() in a row."""
+    return np.concatenate([np.zeros(0, kind), *[np.frombuffer(p, np.uint8).reshape(kind.itemsize, -1).T.copy().view(kind)[:, 0] for p in parts if p]])
+
+
 def sent(block: int, entries: np.ndarray, buckets: int) -> pa.Table:
     """A block's entries (a structured array in the order of its field a) for their buckets: see SENT."""
     bucket = bucket_of(entries["a"], buckets)
     at, to = runs_of(bucket)
-    return pa.table({"bucket": pa.array(bucket[at], pa.int32()), "block": pa.array(np.full(len(at), block), pa.int32()), "entries": pa.array([entries[a:b].tobytes() for a, b in zip(at.tolist(), to.tolist(), strict=True)], pa.binary())})
+    return pa.table({"bucket": pa.array(bucket[at], pa.int32()), "block": pa.array(np.full(len(at), block), pa.int32()), "entries": pa.array([planes(entries[a:b]) for a, b in zip(at.tolist(), to.tolist(), strict=True)], pa.binary())})
 
 
 def received(table: pa.Table, kind: np.dtype) -> tuple[list[int], np.ndarray, np.ndarray]:
     """Of a bucket: the blocks in ascending order, all their entries in a row, and which block (its place) each is from."""
     rows = sorted(zip(table["block"].to_pylist(), table["entries"].to_pylist(), strict=True))
-    entries = np.frombuffer(b"".join(e for _, e in rows), kind)
-    return [b for b, _ in rows], entries, np.repeat(np.arange(len(rows)), [len(e) // kind.itemsize for _, e in rows])
+    return [b for b, _ in rows], unplaned([e for _, e in rows], kind), np.repeat(np.arange(len(rows)), [len(e) // kind.itemsize for _, e in rows])
 
 
 class Words:

@@ -48,8 +48,9 @@ BATCH = 1 << 17
 MARKS = ".,;:!?\n\x0b\x0c\r"
 NO_LANGUAGE = "und"
 COUNT = np.dtype([("a", "<u8"), ("b", "<u4"), ("n", "<u4")])
-FREQUENT = np.dtype([("a", "<u8"), ("b", "<u4"), ("n", "<i8")])  # n is 0 but for the block that gives the words
-ANSWER = "block int, level int, entries binary"
+NAME = np.dtype([("a", "<u8"), ("b", "<u4")])
+OWNED = np.dtype([("a", "<u8"), ("b", "<u4"), ("n", "<i8")])
+ANSWER = "block int, level int, names binary, owned binary"
 GIVEN = "lang string, words int, phrase string, f long"
 
 
@@ -217,25 +218,31 @@ class Block:
 
 
 def sums(table: pa.Table, level: int, least: int) -> pa.Table:
-    """To each block of a bucket its frequent phrases: see ANSWER and FREQUENT."""
+    """To each block of a bucket the names of its frequent phrases, and the counts of those whose words it gives: see ANSWER."""
     blocks, entries, who = B.received(table, COUNT)
     order = np.lexsort((who, entries["b"], entries["a"]))
     own, who = entries[order], who[order]
     new = np.concatenate([[True], (own["a"][1:] != own["a"][:-1]) | (own["b"][1:] != own["b"][:-1])])
     total = np.add.reduceat(own["n"].astype(np.int64), np.flatnonzero(new))[np.cumsum(new) - 1]
     often = total >= least
-    told = np.zeros(int(often.sum()), FREQUENT)
+    told = np.zeros(int(often.sum()), OWNED)
     told["a"], told["b"], told["n"] = own["a"][often], own["b"][often], np.where(new, total, 0)[often]
     who = who[often]
     back = np.argsort(who, kind="stable")
     at, to = B.runs_of(who[back])
-    return pa.table({"block": pa.array([blocks[who[back[a]]] for a in at], pa.int32()), "level": pa.array([level] * len(at), pa.int32()), "entries": pa.array([told[back[a:b]].tobytes() for a, b in zip(at, to, strict=True)], pa.binary())})
-
-
-def told_of(table: pa.Table, level: int) -> np.ndarray:
-    """What a block is told of a level, in the order of names."""
-    rows = [e for e, k in zip(table["entries"].to_pylist(), table["level"].to_pylist(), strict=True) if k == level]
-    entries = np.frombuffer(b"".join(rows), FREQUENT)
+    names, owned = [], []
+    for a, b in zip(at.tolist(), to.tolist(), strict=True):
+        rows = told[back[a:b]]
+        only = np.zeros(len(rows), NAME)
+        only["a"], only["b"] = rows["a"], rows["b"]
+        names.append(B.planes(only))
+        owned.append(B.planes(rows[rows["n"] > 0]))
+    return pa.table({"block": pa.array([blocks[who[back[a]]] for a in at], pa.int32()), "level": pa.array([level] * len(at), pa.int32()), "names": pa.array(names, pa.binary()), "owned": pa.array(owned, pa.binary())})
+
+
+def in_order(parts: list[bytes], kind: np.dtype) -> np.ndarray:
+    """What a block is told, in the order of names."""
+    entries = B.unplaned(parts, kind)
     return entries[np.lexsort((entries["b"], entries["a"]))]
 
 
@@ -245,13 +252,13 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     rows, buckets = B.dealt(docs, block_bytes, F.col("lang").cast("string").alias("lang"))
 
     def words(table: pa.Table) -> pa.Table:
-        return B.sent(table["block"][0].as_py(), Block(table).sends(1, np.zeros(0, FREQUENT)), buckets)
+        return B.sent(table["block"][0].as_py(), Block(table).sends(1, np.zeros(0, NAME)), buckets)
 
     def longer(level: int):
         def phrases(table: pa.Table, told: pa.Table) -> pa.Table:
             if not table.num_rows or not told.num_rows:
                 return B.sent(0, np.zeros(0, COUNT), buckets)
-            return B.sent(table["block"][0].as_py(), Block(table).sends(level, told_of(told, level - 1)), buckets)
+            return B.sent(table["block"][0].as_py(), Block(table).sends(level, in_order(told["names"].to_pylist(), NAME)), buckets)
 
         return phrases
 
@@ -260,20 +267,21 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
 
     levels = [summed(rows.groupBy("block").applyInArrow(words, B.SENT), 1)]
     for level in range(2, longest + 1):
-        levels.append(summed(rows.groupBy("block").cogroup(levels[-1].groupBy("block")).applyInArrow(longer(level), B.SENT), level))
+        levels.append(summed(rows.groupBy("block").cogroup(levels[-1].select("block", "names").groupBy("block")).applyInArrow(longer(level), B.SENT), level))
 
     def given(table: pa.Table, told: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if table.num_rows and told.num_rows:
             block = Block(table)
+            parts = list(zip(told["level"].to_pylist(), told["owned"].to_pylist(), strict=True))
             for level in range(1, longest + 1):
-                every = told_of(told, level)
-                out += block.gives(level, every[every["n"] > 0])
+                out += block.gives(level, in_order([p for k, p in parts if k == level], OWNED))
         types = (pa.string(), pa.int32(), pa.string(), pa.int64())
         return pa.table({name: pa.array([x[k] for x in out], t) for k, (name, t) in enumerate(zip(("lang", "words", "phrase", "f"), types, strict=True))})
 
-    answers = levels[0]
-    for more in levels[1:]:
+    owned = [x.filter(F.octet_length("owned") > 0).select("block", "level", "owned") for x in levels]
+    answers = owned[0]
+    for more in owned[1:]:
         answers = answers.unionByName(more)
     return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(given, GIVEN)
 
