@@ -5,20 +5,21 @@ sidebars, forms, and whatever a class, id or role names as an advert, a notice,
 comments and the like are left out. If the page marks its article (an `article` or
 `main` element with text), only the blocks in it stay.
 
-Page differencing then decides on every page's blocks: within each host, pages are
-ordered by URL path, each is paired with the neighbour that shares the longer part of the
-path, and the two pages' lines are aligned by longest common subsequence. Shared lines,
-the host's template, are deleted. Two guards keep what is no template:
-
-- A partner with the very same lines is a copy and says nothing about templates.
-- In a marked article a shared line is deleted only if it is also on more than half of
-  the host's distinct pages, and on LEAST_PAGES of them at least: articles of a host share
-  licences, quotations and whole passages too, which belong to the text. If half of an
-  article's lines or more would go, its host holds copies of it, and none goes.
-
-Pairs are neighbours in a range-partitioned order, so a host of any size spreads over
-tasks, and only line hashes travel to the partner. Lines on more than half of a host's
-pages are at most twice as many as a page has lines on average.
+Page differencing then decides on every page's blocks, its lines. Pages of a host with the very
+same lines are one body, so that equal pages always get equal texts, and a copy is never
+asked about templates. The distinct bodies of a host, those of marked articles by themselves, are
+ordered by URL path, and aligned by longest common subsequence with their neighbours. Lines that
+pages share go:
+
+- Of a page without a marked article, those that it shares with one neighbour: the one before or
+  after that has the longer part of the path in common.
+- Of a marked article, those that it shares with all of its neighbours, up to REACH before and REACH
+  after, if there are two or more. Articles share licences, quotations and whole passages with one
+  other page too, which belong to the text; one page alone can't tell these from a template.
+
+Neither how long a page is nor how many pages a host has decides otherwise. Neighbours meet by
+their number in a range-partitioned order, so a host of any size spreads over tasks, and only
+line hashes travel. A body's result goes to all its pages; copies are spread over SPREAD keys.
 
 Edge cases: a null html is empty and has the text ''; pages without a readable url are one
 host; unclosed and cut-off markup is read as far as it goes; repeated rows are each
@@ -61,7 +62,8 @@ MARKUP = re.compile(
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NAMED = re.compile(r"[a-z]+|[A-Z][a-z]*")
 PARSED = "uid long, page_id long, url string, host string, path string, marked boolean, blocks array<string>"
-LEAST_PAGES = 5
+REACH = 2
+SPREAD = 16
 RESULT = "page_id long, url string, text string, n_chars long"
 
 
@@ -191,43 +193,49 @@ def longest_common(a: list, b: list) -> set[int]:
     return shared
 
 
-def templates(lines: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """Of each host the lines on more than half of its distinct pages, and on least_pages at least: host, template."""
-    bodies = lines.groupBy("host", F.xxhash64("lines").alias("body")).agg(F.any_value("lines").alias("lines"))
-    held = bodies.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= least_pages)
-    on = bodies.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_pages)
-    return on.join(held, "host").filter("n * 2 > pages").groupBy("host").agg(F.collect_list("line").alias("template"))
-
+def bodies(lines: DataFrame) -> DataFrame:
+    """The distinct bodies of lines(host, marked, path, body, lines), with the smallest path, and the number `at` in order of host, kind and path."""
+    each = lines.groupBy("host", "marked", "body").agg(F.min("path").alias("path"), F.min("lines").alias("lines"))
+    rows = ranged(each, ["host", "marked", "path", "body"], "lines")
+    return rows.join(shifts(rows, [], F.lit(1)), "_part").withColumn("at", F.col("_row") + F.col("_before")).drop("_part", "_row", "_before")
 
-def partners(lines: DataFrame) -> DataFrame:
-    """Each row of lines(uid, host, path, lines, ...) that has a partner, with the partner's lines."""
-    rows = ranged(lines, ["host", "path", "uid"], "lines")
-    ordered = rows.join(shifts(rows, [], F.lit(1)), "_part").withColumn("at", F.col("_row") + F.col("_before")).drop("_part", "_row", "_before")
-    near = ordered.select((F.col("at") + 1).alias("at"), F.struct("host", "path", "lines").alias("before"))
-    far = ordered.select((F.col("at") - 1).alias("at"), F.struct("host", "path", "lines").alias("after"))
-    both = ordered.join(near, "at", "left").join(far, "at", "left")
 
-    def closeness(side: str):
-        same = F.zip_with(F.split("path", "/"), F.split(F.col(f"{side}.path"), "/"), lambda x, y: F.coalesce(x == y, F.lit(False)))
-        depth = F.aggregate(same, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda a, x: F.struct((a["n"] + F.when(a["on"] & x, 1).otherwise(0)).alias("n"), (a["on"] & x).alias("on")), lambda a: a["n"])
-        return F.when((F.col(f"{side}.host") == F.col("host")) & (F.col(f"{side}.lines") != F.col("lines")), depth)
+def depth(a: str, b: str) -> int:
+    """How many leading parts two paths share."""
+    n = 0
+    for x, y in zip(a.split("/"), b.split("/"), strict=False):
+        if x != y:
+            break
+        n += 1
+    return n
 
-    partner = F.when(closeness("before") >= F.coalesce(closeness("after"), F.lit(-1)), F.col("before.lines")).when(closeness("after").isNotNull(), F.col("after.lines"))
-    return both.withColumn("partner", partner).filter("partner is not null").drop("at", "before", "after")
 
-
-def deletions(lines: DataFrame) -> DataFrame:
-    """Which lines of lines(uid, host, path, marked, lines) go: uid, gone (their places), for pages that lose any."""
+def deletions(lines: DataFrame, reach: int = REACH) -> DataFrame:
+    """Which lines of each body of lines(host, marked, path, body, lines) go: host, marked, body, gone (their places); bodies that lose none are left out."""
+    own = bodies(lines)
+    step = F.explode(F.array(*map(F.lit, range(-reach, reach + 1)))).alias("step")
+    met = own.select("*", step).groupBy((F.col("at") - F.col("step")).alias("at")).agg(F.collect_list(F.struct("step", "host", "marked", "body", "path", "lines")).alias("near"))
 
     def align(batches):
         for batch in batches:
-            shared = [sorted(longest_common(own, partner)) for own, partner in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(shared, pa.list_(pa.int32()))], names=["uid", "host", "marked", "lines", "shared"])
-
-    aligned = partners(lines).select("uid", "host", "marked", "lines", "partner").filter(F.arrays_overlap("lines", "partner")).mapInArrow(align, "uid long, host string, marked boolean, lines array<long>, shared array<int>")
-    common = F.filter("shared", lambda k: F.coalesce(F.array_contains(F.col("template"), F.get("lines", k)), F.lit(False)))
-    known = aligned.join(templates(lines), "host", "left").withColumn("gone", F.when(F.col("marked"), common).otherwise(F.col("shared")))
-    return known.filter((F.size("gone") > 0) & (~F.col("marked") | (F.size("gone") * 2 < F.size("lines")))).select("uid", "gone")
+            rows = []
+            for near in batch.column(0).to_pylist():
+                by = {r["step"]: r for r in near}
+                if 0 not in by:
+                    continue
+                own = by.pop(0)
+                by = {k: r for k, r in by.items() if (r["host"], r["marked"]) == (own["host"], own["marked"])}
+                if not own["marked"]:
+                    nearest = max((k for k in (-1, 1) if k in by), key=lambda k: depth(own["path"], by[k]["path"]), default=None)
+                    gone = longest_common(own["lines"], by[nearest]["lines"]) if nearest else set()
+                else:
+                    gone = set.intersection(*(longest_common(own["lines"], r["lines"]) for r in by.values())) if len(by) > 1 else set()
+                if gone:
+                    rows.append((own["host"], own["marked"], own["body"], sorted(gone)))
+            types = (pa.string(), pa.bool_(), pa.string(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["host", "marked", "body", "gone"])
+
+    return met.select("near").mapInArrow(align, "host string, marked boolean, body string, gone array<int>")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -247,8 +255,11 @@ def extract(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["uid", "page_id", "url", "host", "path", "marked", "blocks"])
 
     parsed = materialise(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(parse, PARSED), "pages", compression="zstd")
-    lines = parsed.filter(F.size("blocks") > 0).select("uid", "host", "path", "marked", F.transform("blocks", lambda b: F.xxhash64(b)).alias("lines"))
-    gone = materialise(deletions(lines), "gone")
+    hashed = F.transform("blocks", lambda b: F.xxhash64(b))
+    lines = parsed.filter(F.size("blocks") > 0).select("uid", "host", "path", "marked", hashed.alias("lines")).withColumn("body", F.md5(F.array_join(F.col("lines").cast("array<string>"), " ").cast("binary")))
+    of_body = materialise(deletions(lines), "bodies").withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    own = lines.select("uid", "host", "marked", "body", F.pmod(F.xxhash64("uid"), F.lit(SPREAD)).cast("int").alias("deal"))
+    gone = own.join(of_body, ["host", "marked", "body", "deal"]).select("uid", "gone")
     left = F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b, k: ~F.array_contains("gone", k)))
     text = F.array_join(left, "\n")
     return parsed.join(gone, "uid", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
