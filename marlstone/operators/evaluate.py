@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,34 +48,30 @@ def mean_metrics(metrics: DataFrame) -> DataFrame:
     return metrics.agg(F.count(F.lit(1)).alias("n_queries"), *[F.round(F.avg(c), 4).alias(c) for c in ("recall", "precision", "rr", "ndcg")])
 
 
-def edits(reference: list[str], spoken: list[str]) -> int:
-    """Word edit distance, a column of the table at a time: its steps up and down are the bits of two numbers."""
-    if not reference:
-        return len(spoken)
-    places: dict[str, int] = {}
-    for k, word in enumerate(reference):
-        places[word] = places.get(word, 0) | 1 << k
-    n = len(reference)
-    full, last = (1 << n) - 1, 1 << (n - 1)
-    up, down = full, 0
-    for word in spoken:
-        same = places.get(word, 0)
-        across = ((same & up) + up ^ up) | same
-        right, left = down | ~(across | up) & full, up & across
-        n += bool(right & last) - bool(left & last)
-        right, left = (right << 1 | 1) & full, left << 1 & full
-        up, down = left | ~(same | down | right) & full, right & (same | down)
-    return n
+def as_characters(words: Column, vocabulary: Column) -> Column:
+    """A text in which each word is one character: the word's place in the vocabulary, beyond the first plane, in UTF-8."""
 
+    def in_hex(word: Column) -> Column:
+        n = (F.array_position(vocabulary, word) + 0xFFFF).cast("long")
+        six = lambda bits: F.shiftright(n, bits).bitwiseAND(63)
+        return F.hex(F.lit(0xF0808080) + F.shiftleft(F.shiftright(n, 18), 24) + F.shiftleft(six(12), 16) + F.shiftleft(six(6), 8) + six(0))
+
+    return F.decode(F.unhex(F.array_join(F.transform(words, in_hex), "")), "UTF-8")
 
-def word_error_rate(reference: Column, spoken: Column) -> Column:
-    """Word edit distance over the reference's length, of normalised texts."""
 
-    def rate(a: pd.Series, b: pd.Series) -> pd.Series:
-        pairs = [((x or "").split(), (y or "").split()) for x, y in zip(a, b, strict=True)]
-        return pd.Series([edits(x, y) / len(x) if x else float(bool(y)) for x, y in pairs], dtype="float64")
+def word_edits(reference: Column, spoken: Column) -> Column:
+    """Edit distance of two arrays of words: of two texts over an alphabet made for the pair, a character for
+    each of its distinct words (a million at most)."""
+    pair = F.struct(reference.alias("a"), spoken.alias("b"), F.array_distinct(F.concat(reference, spoken)).alias("v"))
+    bound = F.transform(F.array(pair), lambda p: F.levenshtein(as_characters(p["a"], p["v"]), as_characters(p["b"], p["v"])))
+    return F.get(bound, F.lit(0))
 
-    return F.pandas_udf(rate, "double")(reference, spoken)
+
+def word_error_rate(reference: Column, spoken: Column) -> Column:
+    """Word edit distance over the reference's length, of normalised texts; null texts are empty."""
+    words = lambda text: F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+    pair = F.transform(F.array(F.struct(words(reference).alias("a"), words(spoken).alias("b"))), lambda p: F.when(F.size(p["a"]) > 0, word_edits(p["a"], p["b"]) / F.size(p["a"])).otherwise((F.size(p["b"]) > 0).cast("double")))
+    return F.get(pair, F.lit(0))
 
 
 def invariants(speech_seconds: Column, action: Column, uncited: Column, steps: Column, flagged: Column, budget: float = 15.0, spoken: Column | None = None, audio: Column | None = None) -> Column:

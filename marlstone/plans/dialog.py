@@ -239,26 +239,37 @@ def rated(spark, d) -> DataFrame:
     return asr.with_error_rate(heard(spark, d).filter("reference is not null"))
 
 
-@query()
+_FORMS = "trim(lower(coalesce({0}, '')))"
+for _old, _new in T.SPOKEN_FORMS:
+    _FORMS = f"replace({_FORMS}, '{_old}', '{_new}')"
+_NORMAL = f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_FORMS}, '[-–—]', ' ', 'g'), '[’'']', '', 'g'), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))".replace("{{", "{").replace("}}", "}")
+
+#: A row of the table of distances in each step: its first number, then each number from the row before and the one beside it.
+_WORDS_OF = "list_filter(string_split_regex({0}, '\\s+'), lambda w: w <> '')"
+_RATED = f"""with recursive h as ({_HEARD}),
+q as materialized (select conv_id, turn, speaker, {_WORDS_OF.format('a')} as a, {_WORDS_OF.format('b')} as b from (select conv_id, turn, speaker, {_NORMAL.replace('{0}', 'reference')} as a, {_NORMAL.replace('{0}', 'text')} as b from h where reference is not null)),
+d(conv_id, turn, i, r) as (select conv_id, turn, 0, list_transform(range(0, len(b) + 1), lambda j: j) from q union all
+select d.conv_id, d.turn, i + 1, list_reduce(list_transform(range(1, len(b) + 2), lambda j: [case when j = 1 then i + 1 else least(r[j] + 1, r[j - 1] + (a[i + 1] <> b[j - 1])::int) end]), lambda x, y: list_append(x, least(y[1], x[len(x)] + 1)))
+from d join q using (conv_id, turn) where i < len(a)),
+rated as (select conv_id, turn, speaker, case when len(a) > 0 then r[len(b) + 1] / len(a)::double else (len(b) > 0)::int::double end as wer from d join q using (conv_id, turn) where i = len(a))"""
+
+
+@query(f"{_RATED} select speaker, count(*) as n, round(avg(wer), 6) as wer from rated group by speaker")
 def wer_by_group(spark, d) -> DataFrame:
     return asr.mean_error_rate(rated(spark, d), "speaker")
 
 
-@query()
+@query(f"{_RATED} select count(*) as n, round(avg(wer), 6) as wer from rated")
 def wer_overall(spark, d) -> DataFrame:
     return asr.mean_error_rate(rated(spark, d))
 
 
-@query()
+@query(f"{_RATED} select conv_id, turn, round(wer, 6) as wer from rated where speaker <> 'original' and wer > 0.9")
 def asr_errors(spark, d) -> DataFrame:
     """Transcripts of the other voices that differ much from their reference."""
     return rated(spark, d).filter("dataset = 'voicemod' and wer > 0.9").select("conv_id", "turn", F.round("wer", 6).alias("wer"))
 
 
-_FORMS = "trim(lower(coalesce({0}, '')))"
-for _old, _new in T.SPOKEN_FORMS:
-    _FORMS = f"replace({_FORMS}, '{_old}', '{_new}')"
-_NORMAL = f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_FORMS}, '[-–—]', ' ', 'g'), '[’'']', '', 'g'), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))".replace("{{", "{").replace("}}", "}")
 _N_ITEMS = "(select count(*) from benchmark)"
 _HITS = f"""select item_id as query, doc_id % 3 as voice, term, contains(said, {_NORMAL.replace('{0}', 'term')}) as recognized from (select doc_id, doc_id % {_N_ITEMS} as item_id, {_NORMAL.replace('{0}', 'text')} as said from documents)
 join (select item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) as term from benchmark) using (item_id)"""

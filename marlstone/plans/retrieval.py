@@ -324,12 +324,35 @@ def reconcile_unmatched(spark, d) -> DataFrame:
     return reconcile.unmatched(live(spark, d), same_items(spark, d), ["grp"]).select("grp", "listing", "title")
 
 
-@query()
+#: Matching blocks of titles: the longest block of the last span on a stack, and the spans before and behind it in its place.
+_TITLE = "trim(regexp_replace(lower({0}), '\\s+', ' ', 'g'))"
+TITLES = f"""named as (select grp, item, listing, {_TITLE.format('priv.title')} as a, {_TITLE.format('live.title')} as b from pairs join priv using (grp, item) join live using (grp, listing) where tier is null),
+two as (select distinct a, b from named where a <> '' and b <> '' and 2.0::double * least(length(a), length(b)) / (length(a) + length(b)) >= {reconcile.TITLE_RATIO}::double),
+blocks(a, b, stack, m) as (select a, b, [[1, length(a), 1, length(b)]], 0 from two union all
+select a, b, list_concat(stack[1:len(stack) - 1], list_filter([[s[1], i - 1, s[3], j - 1], [i + n, s[2], j + n, s[4]]], lambda x: n > 0 and x[1] <= x[2] and x[3] <= x[4])), m + n from (
+select a, b, stack, m, s, best[1] as n, -best[2] as i, s[3] - 1 + instr(substr(b, s[3], s[4] - s[3] + 1), substr(a, -best[2], best[1])) as j from (
+select a, b, stack, m, s, list_max(list_transform(range(s[1], s[2] + 1), lambda i: [len(list_filter(range(1, s[2] - i + 2), lambda n: contains(substr(b, s[3], s[4] - s[3] + 1), substr(a, i, n)))), -i])) as best
+from (select a, b, stack, m, stack[len(stack)] as s from blocks where len(stack) > 0)))),
+titled as (select grp, item, listing, 1::bigint as tier, 2.0::double * m / (length(a) + length(b)) as score from blocks join named using (a, b) where len(stack) = 0 and 2.0::double * m / (length(a) + length(b)) >= {reconcile.TITLE_RATIO}::double)"""
+
+
+def greedy_sql(known: str, more: str = "") -> str:
+    """The best pair of each group that is left, time and again."""
+    return f"""with recursive {PAIRS[5:]}{more}, known as ({known}),
+chosen as (select grp, []::bigint[] as items, []::bigint[] as listings, null::bigint as item, null::bigint as listing, 0 as n from (select distinct grp from known)
+union all select c.grp, list_append(c.items, k.item), list_append(c.listings, k.listing), k.item, k.listing, c.n + 1 from chosen c join known k on k.grp = c.grp and not list_contains(c.items, k.item) and not list_contains(c.listings, k.listing)
+qualify row_number() over (partition by c.grp order by k.tier desc, k.score desc, k.item, k.listing) = 1)"""
+
+
+GREEDY = greedy_sql("select * from pairs where tier is not null")
+
+
+@query(f"with recursive {PAIRS[5:]}, {TITLES} select grp, item, listing, tier, score from titled")
 def reconcile_title_match(spark, d) -> DataFrame:
     return reconcile.scored_pairs(private(spark, d), live(spark, d), ["grp"]).filter("tier = 1")
 
 
-@query()
+@query(f"{greedy_sql('select * from pairs where tier is not null union all select * from titled', ', ' + TITLES)} select grp, item, listing, tier, score from chosen join known using (grp, item, listing)")
 def reconcile_assign(spark, d) -> DataFrame:
     return reconcile.assign(reconcile.scored_pairs(private(spark, d), live(spark, d), ["grp"]), ["grp"])
 
@@ -371,12 +394,6 @@ def web_only_promotion(spark, d) -> DataFrame:
     return promoted.unionByName(own.select("grp", F.col("item").alias("doc_id"), "title", "price", F.lit(None).cast("long").alias("live_match")))
 
 
-GREEDY = f"""with recursive {PAIRS[5:]}, known as (select * from pairs where tier is not null),
-chosen as (select grp, []::bigint[] as items, []::bigint[] as listings, null::bigint as item, null::bigint as listing, 0 as n from (select distinct grp from known)
-union all select c.grp, list_append(c.items, k.item), list_append(c.listings, k.listing), k.item, k.listing, c.n + 1 from chosen c join known k on k.grp = c.grp and not list_contains(c.items, k.item) and not list_contains(c.listings, k.listing)
-qualify row_number() over (partition by c.grp order by k.tier desc, k.score desc, k.item, k.listing) = 1)"""
-
-
 @query(f"{GREEDY} select grp, item, listing, tier from chosen join known using (grp, item, listing)")
 def reconcile_assign_known(spark, d) -> DataFrame:
     """One to one by sku and brand, over the whole table."""

@@ -68,7 +68,7 @@ def test_fusion_is_symmetric(spark):
 
 
 def test_word_errors(spark):
-    assert evaluate.edits("a b c".split(), "a x c d".split()) == 2
+    assert values(spark, [("a b c", "a x c d"), ("", "x"), (None, None), ("a", None)], evaluate.word_error_rate(F.col("_1"), F.col("_2"))) == [(2 / 3,), (1.0,), (0.0,), (1.0,)]
     got = values(spark, [("under $15 please", "under fifteen dollars, please")], T.spoken_normal(F.col("_1")), T.spoken_normal(F.col("_2")))
     assert got == [("under fifteen dollars please", "under fifteen dollars please")]
 
@@ -84,9 +84,10 @@ def test_word_errors_of_long_texts(spark, tmp_path):
                 above, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, above + (x != y))
         return row[-1]
 
-    for _ in range(300):
-        a, b = ([rng.choice("abcdefg"[: rng.randrange(1, 8)]) for _ in range(rng.choice([0, 1, 3, 64, 90]))] for _ in range(2))
-        assert evaluate.edits(a, b) == table(a, b)
+    made = [tuple([rng.choice("abcdefg"[: rng.randrange(1, 8)]) for _ in range(rng.choice([0, 1, 3, 64, 90]))] for _ in range(2)) for _ in range(300)]
+    made.append(([f"w{k}" for k in range(400)], [f"w{k}" for k in range(100, 300)] + [f"v{k}" for k in range(300)]))
+    rows = spark.createDataFrame([(k, *x) for k, x in enumerate(made)], "k int, a array<string>, b array<string>").withColumn("n", evaluate.word_edits(F.col("a"), F.col("b")))
+    assert {r.k: r.n for r in rows.collect()} == {k: table(a, b) for k, (a, b) in enumerate(made)}
     said = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)]
     pairs = spark.createDataFrame([(" ".join(said), " ".join(said[:45] + ["other"] * 15))], "reference string, text string")
     assert asr.with_error_rate(pairs).first().wer == 0.25
@@ -328,3 +329,23 @@ def test_small_parts(spark):
     joined = asr.with_reference(lost, known)
     assert sorted((r.query, r.text, r.model) for r in asr.with_fallback(joined, allow=True).collect()) == [("query1", "hello", "fallback-reference"), ("query2", "hi", "asr")]
     assert {r.text for r in asr.with_fallback(joined).collect()} == {None, "hi"}
+
+
+def test_assignment_in_one_large_group(spark):
+    """Rounds of mutual best pairs give what greedy gives, with ties in all of tier and score."""
+    rng = random.Random(6)
+    pairs = list({(rng.randrange(3), rng.randrange(80), rng.randrange(60)): (rng.randrange(1, 4), rng.randrange(72, 80) / 100) for _ in range(1500)}.items())
+    rows = [(g if g else None, i, j, t, s) for (g, i, j), (t, s) in pairs]
+    want = set()
+    for group in (None, 1, 2):
+        items, listings = set(), set()
+        for _, i, j, t, s in sorted((r for r in rows if r[0] == group), key=lambda r: (-r[3], -r[4], r[1], r[2])):
+            if i not in items and j not in listings:
+                want.add((group, i, j, t, s))
+                items.add(i)
+                listings.add(j)
+    got = reconcile.assign(spark.createDataFrame(rows, "grp int, item int, listing int, tier long, score double"), ["grp"])
+    assert {tuple(r) for r in got.collect()} == want
+    chain = spark.createDataFrame([(0, k, k + d, 1, 1.0 - (2 * k + d) / 100) for k in range(12) for d in (0, 1)], got.schema)
+    assert {(r.item, r.listing) for r in reconcile.assign(chain, ["grp"]).collect()} == {(k, k) for k in range(12)}
+    assert reconcile.assign(chain.limit(0), ["grp"]).count() == 0
