@@ -44,7 +44,7 @@ LEAST = 10
 COVERED_PERCENT = 50
 BEST = 2000
 SPREAD = 64
-BATCH = 1 << 17
+BATCH = 1 << 16
 MARKS = ".,;:!?\n\x0b\x0c\r"
 NO_LANGUAGE = "und"
 COUNT = np.dtype([("a", "<u8"), ("b", "<u4"), ("n", "<u4")])
@@ -72,29 +72,39 @@ def combined(words: np.ndarray, places: np.ndarray) -> np.ndarray:
     return out
 
 
-def known(frequent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Places of names in frequent (in the order of a and b), -1 for those that aren't there."""
-    at = np.searchsorted(frequent["a"], a)
+def known(told: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of names in told (in the order of a and b), -1 for those that aren't there."""
     out = np.full(len(a), -1)
-    for _ in range(4):  # entries that share all of a
-        ok = (at < len(frequent)) & (out < 0)
-        ok[ok] = frequent["a"][at[ok]] == a[ok]
-        hit = ok.copy()
-        hit[ok] = frequent["b"][at[ok]] == b[ok]
-        out[hit] = at[hit]
-        if not (ok & ~hit).any():
-            break
-        at = at + 1
+    if not len(told):
+        return out
+    at = np.minimum(np.searchsorted(told["a"], a), len(told) - 1)
+    near = np.flatnonzero(told["a"][at] == a)
+    same = told["b"][at[near]] == b[near]
+    out[near[same]] = at[near[same]]
+    for k in near[~same].tolist():  # several names share their first half
+        for j in range(int(at[k]) + 1, len(told)):
+            if told["a"][j] != a[k]:
+                break
+            if told["b"][j] == b[k]:
+                out[k] = j
     return out
 
 
+def by_name(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The stable order of names. Nearly always that by a; only where names differ in b alone, b is sorted too."""
+    order = np.argsort(a, kind="stable")
+    twins = (a[order[1:]] == a[order[:-1]]) & (b[order[1:]] != b[order[:-1]])
+    return np.lexsort((b, a)) if twins.any() else order
+
+
 def totals(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order with the sums of their counts."""
     if not len(keys):
         return keys, counts
-    order = np.argsort(keys, kind="stable")
-    at, _ = B.runs_of(keys[order])
-    return keys[order][at], np.add.reduceat(counts[order], at)
+    order = np.argsort(keys)
+    keys = keys[order]
+    at, _ = B.runs_of(keys)
+    return keys[at], np.add.reduceat(counts[order], at)
 
 
 class Block:
@@ -134,12 +144,15 @@ class Block:
         if length == 1:
             keys, counts = totals(word, np.bitwise_count(bits).astype(np.int64))
             return keys[:, None], counts
+        every = np.arange(len(self.ids))
         if length == 2:
             held = known(frequent, *self.names(np.arange(len(self.h0))[:, None])) >= 0
             word, chunk, bits = (x[held[word]] for x in (word, chunk, bits))
-        by_byte = np.argsort(chunk, kind="stable")
-        there = word[by_byte], bits[by_byte]
-        first = np.searchsorted(chunk[by_byte], np.arange((int(chunk.max()) if len(chunk) else 0) + 3))
+            every = np.flatnonzero(held[self.ids])
+        # the words' bits byte by byte, which is the order of positions
+        there = self.ids[every], np.left_shift(1, self.position[every] & 7).astype(np.uint8)
+        at_byte = self.position[every] >> 3
+        first = np.searchsorted(at_byte, np.arange((int(self.position[-1]) >> 3 if len(self.position) else 0) + 3))
         out: list[tuple[np.ndarray, np.ndarray]] = []
 
         def deeper(prefixes: np.ndarray, who: np.ndarray, chunk: np.ndarray, bits: np.ndarray) -> None:
@@ -181,7 +194,7 @@ class Block:
         """COUNT entries in the order of their names, each once."""
         places, counts = self.phrases(length, frequent)
         a, b = self.names(places)
-        order = np.lexsort((b, a))
+        order = by_name(a, b)
         a, b, counts = a[order], b[order], counts[order]
         at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
         out = np.zeros(len(at), COUNT)
@@ -195,17 +208,15 @@ class Block:
         n = len(self.words) - length + 1
         if n <= 0 or not len(owned):
             return []
-        near = self.position[length - 1 :] - self.position[:n] == length - 1
-        starts = np.flatnonzero(near)
+        starts = np.flatnonzero(self.position[length - 1 :] - self.position[:n] == length - 1)
         places = np.column_stack([self.ids[starts + k] for k in range(length)])
-        keys = places[:, 0]
-        for k in range(1, length):
-            keys = np.unique(keys, return_inverse=True)[1] * len(self.h0) + places[:, k]
-        _, lead = np.unique(keys, return_index=True)
-        at = known(owned, *self.names(places[lead]))
-        lead, at = starts[lead[at >= 0]], at[at >= 0]
-        order = np.argsort(lead)
-        lead, at = lead[order], at[order]
+        first = combined(self.h0, places)
+        some = np.flatnonzero(owned["a"][np.minimum(np.searchsorted(owned["a"], first), len(owned) - 1)] == first)
+        at = known(owned, first[some], (combined(self.h1, places[some]) >> C.U64(32)).astype("<u4"))
+        lead, at = starts[some[at >= 0]], at[at >= 0]
+        at, once = np.unique(at, return_index=True)
+        order = np.argsort(lead[once])
+        lead, at = lead[once][order], at[order]
         out = []
         for lo, data, begin, end, own in self.words.spans():
             base = int(self.words.at[lo])
@@ -220,7 +231,7 @@ class Block:
 def sums(table: pa.Table, level: int, least: int) -> pa.Table:
     """To each block of a bucket the names of its frequent phrases, and the counts of those whose words it gives: see ANSWER."""
     blocks, entries, who = B.received(table, COUNT)
-    order = np.lexsort((who, entries["b"], entries["a"]))
+    order = by_name(entries["a"], entries["b"])  # stable: of equal names, those of earlier blocks come first
     own, who = entries[order], who[order]
     new = np.concatenate([[True], (own["a"][1:] != own["a"][:-1]) | (own["b"][1:] != own["b"][:-1])])
     total = np.add.reduceat(own["n"].astype(np.int64), np.flatnonzero(new))[np.cumsum(new) - 1]
@@ -243,7 +254,7 @@ def sums(table: pa.Table, level: int, least: int) -> pa.Table:
 def in_order(parts: list[bytes], kind: np.dtype) -> np.ndarray:
     """What a block is told, in the order of names."""
     entries = B.unplaned(parts, kind)
-    return entries[np.lexsort((entries["b"], entries["a"]))]
+    return entries[by_name(entries["a"], entries["b"])]
 
 
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
