@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..ordering import ranged
+
 
 def cached(requests: DataFrame, keys: list[str], seconds: float, order: str = "ts") -> DataFrame:
     """requests(*keys, ts, ...) with `hit`: whether a cache answers, whose window only a miss opens.
@@ -37,14 +39,20 @@ def cache_hits(requests: DataFrame, keys: list[str], seconds: float) -> DataFram
 
 
 def throttle(calls: DataFrame, gap_micros: int, keys: list[str]) -> DataFrame:
-    """When each of a serial caller's calls starts, gap_micros apart at least: calls(*keys, call_id, at).
-
-    start(i) = max(at(i), start(i-1) + gap) = i * gap + max over j <= i of (at(j) - j * gap)."""
-    order = Window.partitionBy(*keys).orderBy("at", "call_id")
-    n = F.row_number().over(order).cast("long")
-    ranked = calls.withColumn("_n", n)
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("start", F.col("_n") * gap_micros + F.max(F.col("at") - F.col("_n") * gap_micros).over(so_far)).drop("_n")
+    """When each of a serial caller's calls starts, gap_micros apart at least: calls(*keys, call_id, at), adds `start`.
+
+    start(i) = max(at(i), start(i-1) + gap) = i * gap + max over j <= i of (at(j) - j * gap). No keys: all
+    calls have one caller. Numbers and maxima are taken within the parts of a range-partitioned order, and
+    carried on from part to part by one row for each caller and part; so a caller of any size spreads."""
+    rows = ranged(calls.withColumn("_key", F.struct(*keys) if keys else F.lit(0)), ["_key", "at", "call_id"], "throttle")
+    slack = F.col("at") - F.col("_row") * gap_micros  # by the part's own row numbers
+    parts = rows.groupBy("_key", "_part").agg(F.min("_row").alias("_from"), F.count(F.lit(1)).alias("_n"), F.max(slack).alias("_peak"))
+    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_from"))  # from those to numbers among the caller's calls
+    parts = parts.withColumn("_most", F.max(F.col("_peak") - F.col("_shift") * gap_micros).over(before)).select("_key", "_part", "_shift", "_most")
+    so_far = Window.partitionBy("_key", "_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.max(slack).over(so_far) - F.col("_shift") * gap_micros
+    return rows.join(parts, ["_key", "_part"]).withColumn("start", (F.col("_shift") + F.col("_row")) * gap_micros + F.greatest(own, F.col("_most"))).select(*calls.columns, "start")
 
 
 def last_of(rows: DataFrame, key: str, order: list[str], n: int = 8) -> DataFrame:

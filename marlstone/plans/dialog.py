@@ -163,6 +163,14 @@ def throttle_schedule(spark, d) -> DataFrame:
     return state.throttle(calls, 60_000_000, ["user_id"]).select("call_id", "start")
 
 
+@query("""select event_id as call_id, n * 60000000 + max(t - n * 60000000) over (order by t, event_id rows unbounded preceding) as start
+from (select event_id, epoch_us(ts) as t, row_number() over (order by ts, event_id) as n from events)""")
+def throttle_global(spark, d) -> DataFrame:
+    """One caller for all calls."""
+    calls = events(spark, d).select(F.col("event_id").alias("call_id"), F.unix_micros("ts").alias("at"))
+    return state.throttle(calls, 60_000_000, []).select("call_id", "start")
+
+
 # -- traces, speech, answers ---------------------------------------------------------------
 
 

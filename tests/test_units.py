@@ -349,3 +349,21 @@ def test_assignment_in_one_large_group(spark):
     chain = spark.createDataFrame([(0, k, k + d, 1, 1.0 - (2 * k + d) / 100) for k in range(12) for d in (0, 1)], got.schema)
     assert {(r.item, r.listing) for r in reconcile.assign(chain, ["grp"]).collect()} == {(k, k) for k in range(12)}
     assert reconcile.assign(chain.limit(0), ["grp"]).count() == 0
+
+
+def test_throttle_over_many_parts(spark):
+    """A busy caller, an idle one, one without a name and all as one, over more parts than callers."""
+    rng = random.Random(8)
+    rows = [(rng.choice(["a"] * 6 + ["b", None]), k, rng.randrange(4000) * (1 + k % 3)) for k in range(400)]
+    calls = spark.createDataFrame(rows, "who string, call_id int, at long").repartition(7)
+    for keys in (["who"], []):
+        free, want = {}, {}
+        for who, k, at in sorted(rows, key=lambda r: (r[2], r[1])):
+            key = who if keys else 0
+            want[k] = max(at, free.get(key, at))
+            free[key] = want[k] + 30
+        spark.conf.set("spark.sql.shuffle.partitions", "9")
+        got = state.throttle(calls, 30, keys)
+        assert {r.call_id: r.start for r in got.collect()} == want and got.columns == ["who", "call_id", "at", "start"]
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert state.throttle(calls.limit(0), 30, ["who"]).count() == 0
