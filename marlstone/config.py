@@ -20,6 +20,8 @@ class Config:
     rrf_k: int = 60
     alpha: float = 0.5
     rerank: bool = False
+    embedder: str = "hash"  # or the name of a loader that the caller brings
+    embedding_model: str = "default"
     dim: int = 384
     allowed_hosts: tuple[str, ...] = ()  # empty: the default list
     cache_seconds: float = 120.0

@@ -31,9 +31,9 @@ def nonempty(filters: Column) -> Column:
     return F.when(F.coalesce(*[filters[n].cast("string") for n in names]).isNotNull(), filters)
 
 
-def clamped(k: Column) -> Column:
+def clamped(k: Column, default: int = hybrid.TOP_K) -> Column:
     """k between 1 and 20; the default for none, zero and less."""
-    return F.coalesce(F.when(k > 0, F.least(k, F.lit(20))), F.lit(hybrid.TOP_K)).cast("int")
+    return F.coalesce(F.when(k > 0, F.least(k, F.lit(20))), F.lit(default)).cast("int")
 
 
 def passes(f: Column) -> Column:
@@ -78,28 +78,30 @@ def metadata_of(index: dict[str, DataFrame]) -> DataFrame:
     return docs.select("doc_id", *[(F.col(c) if c in docs.columns else F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in META])
 
 
-def fused(queries: DataFrame, index: dict[str, DataFrame], alpha: float = hybrid.ALPHA, candidates: int = lexical.CANDIDATES) -> DataFrame:
-    """(qid, doc_id, vec_rank, bm25_rank, fused) for queries(qid, text, [filters]): one predicate for both channels."""
-    filtered = "filters" in queries.columns
-    asked = vectors.dense_vectors(queries.select(F.col("qid").alias("doc_id"), "text")).withColumnRenamed("doc_id", "qid")
+def fused(queries: DataFrame, index: dict[str, DataFrame], alpha: float = hybrid.ALPHA, candidates: int = lexical.CANDIDATES, rrf_k: int = hybrid.RRF_K, dim: int = vectors.DIM, embed: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(qid, doc_id, vec_rank, bm25_rank, fused) for queries(qid, text, [filters]): one predicate for both channels.
+
+    embed and dim are those that the index was built with. Hash vectors without a common component don't meet."""
+    filtered, overlap = "filters" in queries.columns, embed is None
+    asked = vectors.embedded(queries.select(F.col("qid").alias("doc_id"), "text"), dim, embed).withColumnRenamed("doc_id", "qid")
     if not filtered:
-        return hybrid.fuse(vectors.cosine_topk(asked, index["vectors"], candidates, overlap=True), lexical.bm25(queries, index, top=candidates), alpha)
+        return hybrid.fuse(vectors.cosine_topk(asked, index["vectors"], candidates, overlap=overlap), lexical.bm25(queries, index, top=candidates), alpha, rrf_k)
     meta = metadata_of(index)
     asked = asked.join(queries.select("qid", "filters"), "qid")
-    dense = vectors.cosine_topk(asked, index["vectors"].join(meta, "doc_id"), candidates, overlap=True, allowed=_mask, extra=("filters",))
+    dense = vectors.cosine_topk(asked, index["vectors"].join(meta, "doc_id"), candidates, overlap=overlap, allowed=_mask, extra=("filters",))
     scored = lexical.scored(queries, index).join(queries.select("qid", "filters"), "qid").join(meta, "doc_id")
     words = lexical.best(scored.filter(F.col("filters").isNull() | passes(F.col("filters"))).select("qid", "doc_id", "score"), candidates)
-    return hybrid.fuse(dense, words, alpha)
+    return hybrid.fuse(dense, words, alpha, rrf_k)
 
 
-def search(queries: DataFrame, index: dict[str, DataFrame], k: int = 0, alpha: float = hybrid.ALPHA, candidates: int = lexical.CANDIDATES, scorer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def search(queries: DataFrame, index: dict[str, DataFrame], k: int = 0, alpha: float = hybrid.ALPHA, candidates: int = lexical.CANDIDATES, scorer: Callable[[DataFrame], DataFrame] | None = None, **space) -> DataFrame:
     """(qid, rank, doc_id, score) of queries(qid, text, [filters], [k]); scorer reranks the head of each list.
 
-    A query's own k is clamped to 1..20; 0 or none is the default. Where the scorer gives no
+    A query's own k is clamped to 1..20; 0 or none is the default. space (rrf_k, dim, embed) goes to fused(). Where the scorer gives no
     score, as a model that fails does, the fused order stays."""
-    own = clamped(F.col("k")) if "k" in queries.columns else F.lit(hybrid.clamp_k(k))
+    own = clamped(F.col("k"), hybrid.clamp_k(k)) if "k" in queries.columns else F.lit(hybrid.clamp_k(k))
     limits = queries.select("qid", own.alias("_k"))
-    rows = fused(queries, index, alpha, candidates)
+    rows = fused(queries, index, alpha, candidates, **space)
     if scorer is None:
         ranked = lexical.best(rows, hybrid.MOST, "fused").withColumn("score", F.col("fused"))
     else:

@@ -113,14 +113,14 @@ def answered(planned: DataFrame, items: DataFrame, answerer: Callable[[DataFrame
     return done.unionByName(latest)
 
 
-def run(turns: DataFrame, index: dict[str, DataFrame], live: DataFrame, route: Callable[[DataFrame], DataFrame] = routing.route, answerer: Callable[[DataFrame, int], DataFrame] = offline_answer, hosts: list[str] = safety.ALLOWED_HOSTS, hazards: dict = safety.HAZARDS, injections: dict = safety.INJECTIONS) -> DataFrame:
+def run(turns: DataFrame, index: dict[str, DataFrame], live: DataFrame, route: Callable[[DataFrame], DataFrame] = routing.route, answerer: Callable[[DataFrame, int], DataFrame] = offline_answer, hosts: list[str] = safety.ALLOWED_HOSTS, hazards: dict = safety.HAZARDS, injections: dict = safety.INJECTIONS, bound: int = REVISE_BOUND, **parameters) -> DataFrame:
     """One row for each of turns(qid, text): what was planned, found and said, the verdict, and the steps taken.
 
     Only accepted answers are spoken (`speak`)."""
     planned = materialise(routing.plan(route(guarded(turns, hazards, injections))), "planned")
-    private, found = retrieve(planned, index, live, hosts)
+    private, found = retrieve(planned, index, live, hosts, **parameters)
     items, left = reconciled(private, found)
-    final = answered(planned, items, answerer, hazards)
+    final = answered(planned, items, answerer, hazards, bound)
     n = lambda rows, name: rows.groupBy("qid").agg(F.count(F.lit(1)).alias(name))
     counts = final.join(n(private, "n_private"), "qid", "left").join(private.groupBy("qid").agg(F.bool_or("relaxed").alias("relaxed")), "qid", "left").join(n(found.filter("allowed"), "n_live"), "qid", "left").join(n(found.filter("not allowed"), "n_blocked"), "qid", "left").join(n(left, "n_unmatched"), "qid", "left")
     rows = counts.fillna(0, ["n_private", "n_live", "n_blocked", "n_unmatched"]).fillna(False, ["relaxed"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -68,6 +70,15 @@ def dense_vectors(docs: DataFrame, dim: int = DIM) -> DataFrame:
     return sparse.select("doc_id", bound(F.col("_v"), filled).alias("vec"))
 
 
+def embedded(docs: DataFrame, dim: int = DIM, embed: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(doc_id, vec) of docs(doc_id, text): hash vectors, or what embed makes of the text, which must have dim components."""
+    if embed is None:
+        return dense_vectors(docs, dim)
+    made = docs.select("doc_id", embed(F.col("text")).cast("array<double>").alias("vec"))
+    wrong = F.raise_error(F.format_string(f"the embedder gave %d components, not {dim}", F.size("vec"))).cast("array<double>")
+    return made.withColumn("vec", F.when(F.size("vec") == dim, F.col("vec")).otherwise(wrong))
+
+
 def l2_normal(v: Column) -> Column:
     """A vector at unit length; a zero vector stays as it is."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .. import engine
+from ..config import Config
 from ..operators import evaluate, hybrid, lexical, reconcile, safety, search, vectors
+from ..session import shared_folder
 from ..sources.index import handle
 from .common import query, table
 
@@ -288,6 +293,43 @@ def citations_merge(spark, d) -> DataFrame:
     return merge_citations(own.unionByName(live).unionByName(live.withColumn("ord", F.col("ord") + 10)))
 
 
+# -- a catalogue from its files to ranked rows --------------------------------------------------
+
+#: Each hundredth part is asked for by name and brand, at a price that some of its like are above.
+WANTED = "select p_partkey as qid, p_name || ' ' || p_brand as text from part where p_partkey % 100 = 0"
+CATALOGUE = """catalogue as (select 'P' || p_partkey as doc_id, round(p_retailprice, 2) as price, concat_ws(chr(10), p_name, 'Brand: ' || p_brand, 'Features: ' || p_type || '; size ' || p_size, case when p_partkey % 4 <> 0 then 'Ingredients: ' || p_type end,
+case when p_partkey % 3 = 0 then 'Reviews: good size ' || p_size || ' fine' end) as text from part)"""
+
+
+def _from_catalogue() -> str:
+    over = (lexical_sql(WANTED) + hashed_sql(WANTED)).replace("from documents", "from catalogue").replace("with toks", f"with {CATALOGUE}, toks", 1)
+    within = "select {0}.* from {0} join catalogue using (doc_id) where price <= 950"
+    return f"{over}, dense_f as ({within.format('dense')}), bm_f as ({within.format('bm')}){fused_sql('dense_f', 'bm_f')}"
+
+
+def catalogue_file(spark, d, folder: str) -> str:
+    """The parts as a catalogue's CSV files, with texts in the forms that such files have."""
+    k = F.col("p_partkey")
+    told = lambda on, text: F.when(on, text).otherwise("")
+    rows = table(spark, d, "part").select(
+        F.concat(F.lit("P"), k.cast("string")).alias("Uniq Id"), F.col("p_name").alias("Product Name"), F.col("p_brand").alias("Brand Name"), F.lit("").alias("Asin"), F.lit("Household Cleaning").alias("Category"),
+        F.format_string("$ %,.2f", "p_retailprice").alias("Selling Price"), F.concat("p_type", F.lit(" | size "), F.col("p_size").cast("string")).alias("About Product"), told(k % 4 != 0, F.col("p_type")).alias("Ingredients"),
+        F.concat(F.lit("S"), k.cast("string")).alias("Sku"), F.format_string("%.1f out of 5", (k % 50) / 10).alias("Rating"), told(k % 3 == 0, F.format_string("good || size %d ||  || fine || left out", "p_size")).alias("Review Snippets"),
+    )
+    rows.write.option("header", True).mode("overwrite").csv(folder)
+    return folder
+
+
+@query(f"{_from_catalogue()} select qid, row_number() over (partition by qid order by fused desc, doc_id) as rank, doc_id, round(fused, 6) as score, price from fused join catalogue using (doc_id) qualify rank <= 5")
+def catalogue_to_search(spark, d) -> DataFrame:
+    """Files, tables, index and search in one run, by settings."""
+    folder = f"{shared_folder(spark)}/marlstone-catalogue-{uuid.uuid4().hex}"
+    config = Config(index_folder=folder, collection="parts")
+    engine.build(spark, catalogue_file(spark, d, f"{folder}/csv"), config)
+    wanted = table(spark, d, "part").filter("p_partkey % 100 = 0").select(F.col("p_partkey").alias("qid"), F.concat_ws(" ", "p_name", "p_brand").alias("text"), search.filters_of(F.lit('{"price_max": 950}')).alias("filters"))
+    return engine.open_engine(spark, config).results(wanted).select("qid", "rank", "doc_id", "score", "price")
+
+
 # -- reconciliation: part against listings derived from it; a group is 20 rows, as one query's results ----
 
 LIVE = """live as (select p_partkey // 20 as grp, p_partkey as listing, case when p_partkey % 5 = 0 then 'S' || p_partkey else '' end as sku, case when p_partkey % 7 < 3 then p_brand || ' ' || p_name else p_name || ' new' end as title,

@@ -17,8 +17,9 @@ import hashlib
 import json
 import time
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -32,9 +33,9 @@ SMALL = 128 << 20
 _HANDLES: dict[tuple[str, str], dict[str, DataFrame]] = {}
 
 
-def signature_of(dim: int = vectors.DIM) -> str:
-    """Names the space that the vectors lie in."""
-    return f"hash-{dim}"
+def signature_of(dim: int = vectors.DIM, name: str = "hash") -> str:
+    """Names the space that the vectors lie in: of an embedder's name, and its dimension."""
+    return f"{name}-{dim}"
 
 
 def unique_ids(rows: DataFrame, key: str = "doc_id", order: list[str] | None = None) -> DataFrame:
@@ -71,8 +72,10 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if sum(size for _, size, _ in _input_status(rows)) < cores * SMALL else rows
 
 
-def write_index(documents: DataFrame, folder: str, collection: str = "documents", dim: int = vectors.DIM) -> str:
-    """Index documents(doc_id, text, ...): a new version of the index in folder. Returns the version."""
+def write_index(documents: DataFrame, folder: str, collection: str = "documents", dim: int = vectors.DIM, embed: Callable[[Column], Column] | None = None, name: str = "hash") -> str:
+    """Index documents(doc_id, text, ...): a new version of the index in folder. Returns the version.
+
+    embed makes the vectors, of dim components, in the space called name; without it they are hash vectors."""
     spark = documents.sparkSession
     version = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
     at = f"{folder}/{version}"
@@ -88,8 +91,8 @@ def write_index(documents: DataFrame, folder: str, collection: str = "documents"
     lexical.corpus_stats(stored).write.parquet(f"{at}/stats")
     counts = lexical.frequencies(spark.read.parquet(f"{at}/postings"))
     lexical.term_stats(counts, spark.read.parquet(f"{at}/stats")).join(counts.select("tok", "cf"), "tok").write.parquet(f"{at}/terms")
-    vectors.dense_vectors(stored, dim).write.parquet(f"{at}/vectors")
-    made = stored.agg(F.count(F.lit(1)).alias("n_vectors")).select(F.lit(collection).alias("collection"), F.lit(signature_of(dim)).alias("signature"), "n_vectors", F.lit(dim).cast("long").alias("dim"), F.lit(version).alias("version"))
+    vectors.embedded(stored, dim, embed).write.parquet(f"{at}/vectors")
+    made = stored.agg(F.count(F.lit(1)).alias("n_vectors")).select(F.lit(collection).alias("collection"), F.lit(signature_of(dim, name)).alias("signature"), "n_vectors", F.lit(dim).cast("long").alias("dim"), F.lit(version).alias("version"))
     made.write.json(f"{folder}/manifests/{version}")
     return version
 
@@ -111,6 +114,20 @@ def open_index(spark: SparkSession, folder: str, signature: str | None = None) -
     return {name: spark.read.parquet(f"{folder}/{built['version']}/{name}") for name in TABLES}
 
 
+def drop_older(spark: SparkSession, folder: str, keep: int = 2) -> int:
+    """Delete all but the newest `keep` whole versions, which readers may still have open, and builds older than
+    these that never ended. Returns how many went."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = lambda at: {s.getPath().getName() for s in files.listStatus(path(at))}
+    kept = sorted(names(f"{folder}/manifests"))[-keep:]
+    old = sorted(n for n in names(folder) | names(f"{folder}/manifests") if n != "manifests" and kept and n < kept[0])
+    for name in old:
+        files.delete(path(f"{folder}/manifests/{name}"), True)  # first, so that nobody opens it any more
+        files.delete(path(f"{folder}/{name}"), True)
+    return len(old)
+
+
 def _fingerprint(docs: DataFrame) -> str:
     """What tells a set of input files from another: their paths, sizes and times, and the columns read from them."""
     found = _input_status(docs)
