@@ -259,7 +259,7 @@ def extract(pages: DataFrame) -> DataFrame:
     lines = parsed.filter(F.size("blocks") > 0).select("uid", "host", "path", "marked", hashed.alias("lines")).withColumn("body", F.md5(F.array_join(F.col("lines").cast("array<string>"), " ").cast("binary")))
     of_body = materialise(deletions(lines), "bodies").withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
     own = lines.select("uid", "host", "marked", "body", F.pmod(F.xxhash64("uid"), F.lit(SPREAD)).cast("int").alias("deal"))
-    gone = own.join(of_body, ["host", "marked", "body", "deal"]).select("uid", "gone")
+    gone = materialise(own.join(of_body, ["host", "marked", "body", "deal"]).select("uid", "gone"), "gone")  # its size is known then, and texts need not be shuffled for a small one
     left = F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b, k: ~F.array_contains("gone", k)))
     text = F.array_join(left, "\n")
     return parsed.join(gone, "uid", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
