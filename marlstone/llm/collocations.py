@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from . import blocks as B
 from . import common as C
 
@@ -203,6 +204,13 @@ class Block:
             out["n"] = np.add.reduceat(counts, at)
         return out
 
+    def sizes(self) -> list[tuple[str, int, str, int]]:
+        """How many words each language has here, as phrases of no words: see GIVEN."""
+        names = sorted(set(self.langs))
+        number = {x: k for k, x in enumerate(names)}
+        n = np.bincount([number[x] for x in self.langs], np.diff(self.words.at), len(names))
+        return [(x, 0, "", int(n[k])) for k, x in enumerate(names) if n[k]]
+
     def gives(self, length: int, owned: np.ndarray) -> list[tuple[str, int, str, int]]:
         """The words of the phrases of a length in owned: see GIVEN."""
         n = len(self.words) - length + 1
@@ -258,7 +266,8 @@ def in_order(parts: list[bytes], kind: np.dtype) -> np.ndarray:
 
 
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
-    """All phrases of docs(text, lang) that occur `least` times or more in a language: see GIVEN."""
+    """All phrases of docs(text, lang) that occur `least` times or more in a language, and as phrases of no words
+    parts of the languages' numbers of words: see GIVEN."""
     C.ship(docs.sparkSession)
     rows, buckets = B.dealt(docs, block_bytes, F.col("lang").cast("string").alias("lang"))
 
@@ -282,8 +291,9 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
 
     def given(table: pa.Table, told: pa.Table) -> pa.Table:
         out: list[tuple] = []
-        if table.num_rows and told.num_rows:
+        if table.num_rows:
             block = Block(table)
+            out += block.sizes()
             parts = list(zip(told["level"].to_pylist(), told["owned"].to_pylist(), strict=True))
             for level in range(1, longest + 1):
                 out += block.gives(level, in_order([p for k, p in parts if k == level], OWNED))
@@ -297,14 +307,7 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(given, GIVEN)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """lang, n: all words of each language that has any."""
-    pattern = r"[^.,;:!?\x0A-\x0D\x20\x09]+"
-    n = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(pattern)).cast("long")
-    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), n.alias("n")).groupBy("lang").agg(F.sum("n").alias("n")).filter("n > 0")
-
-
-def scored(phrases: DataFrame, longest: int = LONGEST, covered_percent: int = COVERED_PERCENT) -> DataFrame:
+def scored(phrases: DataFrame, covered_percent: int = COVERED_PERCENT) -> DataFrame:
     """Candidates of two words or more with their weakest cut, without those that a longer one covers: lang, phrase, a, l, r, score."""
     parts = phrases.select("lang", F.col("phrase").alias("part"), F.col("f"))
     own = phrases.filter("words > 1").select("lang", "phrase", "words", F.col("f").alias("a"), F.split("phrase", " ").alias("w"))
@@ -332,8 +335,7 @@ def ranked(found: DataFrame, best: int = BEST, spread: int = SPREAD) -> DataFram
 
 def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, covered_percent: int = COVERED_PERCENT, best: int = BEST, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """The best phrases of each language of docs(doc_id, text, lang): lang, rank, phrase, a, l, r, n, score."""
-    from ..session import materialise
-
-    phrases = materialise(frequent_phrases(docs, longest, least, block_bytes), "phrases")
-    top = ranked(scored(phrases, longest, covered_percent), best)
-    return top.join(F.broadcast(word_counts(docs)), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    given = materialise(frequent_phrases(docs, longest, least, block_bytes), "phrases")
+    top = ranked(scored(given.filter("words > 0"), covered_percent), best)
+    sizes = given.filter("words = 0").groupBy("lang").agg(F.sum("f").alias("n"))
+    return top.join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
