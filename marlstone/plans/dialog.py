@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import answer, asr, dispatch, evaluate, lexical, routing, safety, state, turn
+from ..operators import answer, asr, dispatch, evaluate, grounding, lexical, routing, safety, state, turn
 from .common import query, table
 from .retrieval import LEXICAL, RANKED, asked, docs, stored
 
@@ -472,6 +472,41 @@ def search_source(spark, d) -> DataFrame:
     return found.join(pages, F.col("url") == F.col("name")).select("provider", "query", F.col("ord").cast("long").alias("ord"), F.col("page").alias("url"))
 
 
+# -- grounded answers: a conversation is an answer, its turns the pages found and the parts that rest on them --
+
+_CHUNK = "case when turn % 5 <> 4 then 'u' || (length(text) % {0} + {1}) end"
+
+
+def _placed(n: int, plus: int, name: str) -> str:
+    return f"""{name}_c as (select conv_id, uri, min(turn) as t, arg_min(role, turn) as title from (select conv_id, turn, role, {_CHUNK.format(n, plus)} as uri from conversations) where uri is not null group by conv_id, uri),
+{name}_p as (select *, row_number() over (partition by conv_id order by t) - 1 as place from {name}_c),
+{name}_s as (select conv_id, ref, arg_min(text, turn) as text from (select conv_id, turn, text, unnest([turn % 4, (turn + 2) % 9]) as ref from conversations where text <> '') group by conv_id, ref),
+{name} as (select p.conv_id, place, title, uri as url, coalesce(substr(text, 1, 200), '') as snippet from {name}_p p left join {name}_s s on s.conv_id = p.conv_id and s.ref = p.place)"""
+
+
+def answers(spark, d, n: int, plus: int) -> DataFrame:
+    uri = F.when(F.col("turn") % 5 != 4, F.concat(F.lit("u"), (F.length("text") % n + plus).cast("string")))
+    refs = F.array((F.col("turn") % 4).cast("int"), ((F.col("turn") + 2) % 9).cast("int"))
+    rows = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("request_id")).agg(F.array_sort(F.collect_list(F.struct("turn", uri.alias("uri"), F.col("role").alias("title"), "text", refs.alias("refs")))).alias("t"))
+    return rows.select("request_id", F.concat(F.lit("answer "), F.col("request_id").cast("string")).alias("answer"), F.transform("t", lambda t: F.struct(t["uri"].alias("uri"), t["title"].alias("title"))).alias("chunks"), F.transform("t", lambda t: F.struct(t["text"].alias("text"), t["refs"].alias("refs"))).alias("supports"))
+
+
+@query(f"""with {_placed(7, 0, 'found')} select conv_id as request_id, place::int as ord, title, url, snippet, 0.75::double as score, case when place = 0 then 'answer ' || conv_id end as answer from found where place < 5
+union all select conv_id, 0, 'Answer', '', 'answer ' || conv_id, 0.7::double, 'answer ' || conv_id from (select distinct conv_id from conversations) where conv_id not in (select conv_id from found)""")
+def grounded_sources(spark, d) -> DataFrame:
+    """Sources of each answer, with the part of the answer that rests on them."""
+    return grounding.grounded(answers(spark, d, 7, 0))
+
+
+@query(f"""with {_placed(3, 0, 'one')}, {_placed(5, 2, 'two')}, thin as (select conv_id from (select distinct conv_id from conversations) left join (select conv_id, count(*) as n from one group by all) using (conv_id) where coalesce(n, 0) < 4),
+every as (select *, 0 as round from one union all select *, 1 from two where conv_id in (select conv_id from thin) and (conv_id, url) not in (select conv_id, url from one))
+select conv_id as request_id, (row_number() over (partition by conv_id order by round, place) - 1)::int as ord, title, url, snippet, 0.75::double as score from every qualify row_number() over (partition by conv_id order by round, place) <= 4""")
+def grounded_rounds(spark, d) -> DataFrame:
+    """Research in two rounds: the second one for requests with few sources, and only what it adds."""
+    requests = table(spark, d, "conversations").select(F.col("conv_id").alias("request_id")).distinct()
+    return grounding.researched(requests, lambda asked, k: answers(spark, d, *((3, 0), (5, 2))[k]).join(asked.select("request_id"), "request_id", "left_semi"), most=4)
+
+
 @query(f"""select provider, coalesce(case when provider = 'click' then ever else in_month end, 0)::bigint as calls, call_limit, case when call_limit > 0 then coalesce(case when provider = 'click' then ever else in_month end, 0) >= 0.95::double * call_limit else false end as near
 from (values {", ".join(f"('{k}', {n or 'null'}::bigint)" for k, (n, _) in [*LIMITS.items(), ('idle', (10, 'monthly'))])}) l(provider, call_limit)
 left join (select event_type as provider, count(*) as ever, count(*) filter (where strftime(ts, '%Y-%m') = '2024-01') as in_month from events group by all) using (provider)""")
