@@ -9,6 +9,7 @@ from ..functions.text import bound, tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 CANDIDATES = 25
+FEW = 16
 COUNTED = "array<struct<tok:string,tf:bigint>>"
 
 
@@ -22,12 +23,15 @@ def counted(text: Column) -> Column:
     return bound(F.array_sort(tokens(text)), lambda s: F.when(F.size(s) == 0, F.array().cast(COUNTED)).otherwise(runs(s)))
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(tok, doc_id, tf, doc_len) of docs(doc_id, text); nothing is shuffled."""
+def forward(docs: DataFrame) -> DataFrame:
+    """(doc_id, doc_len, counted) of docs(doc_id, text): each document's tokens with their counts, and their number."""
     row = docs.select("doc_id", counted(F.col("text")).alias("counted"))
-    length = F.aggregate("counted", F.lit(0).cast("long"), lambda a, x: a + x["tf"])
-    # the length in a step of its own: beside inline() it would be summed for each token
-    return row.withColumn("doc_len", length).select("doc_id", "doc_len", F.inline("counted")).select("tok", "doc_id", "tf", "doc_len")
+    return row.withColumn("doc_len", F.aggregate("counted", F.lit(0).cast("long"), lambda a, x: a + x["tf"])).select("doc_id", "doc_len", "counted")
+
+
+def postings(documents: DataFrame) -> DataFrame:
+    """(tok, doc_id, tf, doc_len) of forward rows; nothing is shuffled."""
+    return documents.select("doc_id", "doc_len", F.inline("counted")).select("tok", "doc_id", "tf", "doc_len")
 
 
 def frequencies(posted: DataFrame) -> DataFrame:
@@ -35,9 +39,9 @@ def frequencies(posted: DataFrame) -> DataFrame:
     return posted.groupBy("tok").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
-def corpus_stats(docs: DataFrame) -> DataFrame:
-    """One row: n documents and their average length."""
-    return docs.select(F.size(tokens(F.col("text"))).alias("len")).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
+def corpus_stats(documents: DataFrame) -> DataFrame:
+    """One row: n documents and their average length, of forward rows."""
+    return documents.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avgdl"))
 
 
 def term_stats(counts: DataFrame, stats: DataFrame) -> DataFrame:
@@ -48,6 +52,15 @@ def term_stats(counts: DataFrame, stats: DataFrame) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("tok", "df", F.when(F.col("raw_idf") < 0, F.col("mean_idf") * EPSILON).otherwise(F.col("raw_idf")).alias("idf"))  # one row
 
 
+def narrowed(posted: DataFrame, queries: DataFrame) -> DataFrame:
+    """posted, which is sorted by term, with the queries' terms pushed to its scan, so that row groups without any are
+    skipped. Only for FEW queries at most: many have terms in all row groups, and the join finds them."""
+    if len(queries.select("qid").limit(FEW + 1).collect()) > FEW:
+        return posted
+    terms = queries.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("tok")).distinct().collect()
+    return posted.filter(F.col("tok").isin([r.tok for r in terms]))
+
+
 def scored(queries: DataFrame, index: dict[str, DataFrame]) -> DataFrame:
     """(qid, doc_id, score) of all documents that share a token with a query(qid, text).
 
@@ -56,7 +69,7 @@ def scored(queries: DataFrame, index: dict[str, DataFrame]) -> DataFrame:
     asked = queries.select("qid", F.inline(counted(F.col("text")))).withColumnRenamed("tf", "qtf")
     weighed = asked.join(index["terms"].select("tok", "idf"), "tok")
     norm = F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avgdl"))
-    rows = index["postings"].join(weighed, "tok").crossJoin(F.broadcast(index["stats"].select("avgdl")))  # one row
+    rows = narrowed(index["postings"], queries).join(weighed, "tok").crossJoin(F.broadcast(index["stats"].select("avgdl")))  # one row
     part = F.col("idf") * F.col("tf") * (K1 + 1) / norm * F.col("qtf")
     return rows.groupBy("qid", "doc_id").agg(F.round(F.sum(part), 4).alias("score")).filter("score > 0")
 

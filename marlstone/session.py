@@ -12,6 +12,7 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.parquet.pushdown.inFilterThreshold": "1000",  # terms of a search reach the scan of the postings
     "spark.ui.enabled": "false",
 }
 

@@ -1,6 +1,7 @@
 """The stored search index: tables of postings, terms, statistics and vectors, and a manifest.
 
     folder/<version>/documents   what was indexed, with store_id
+    folder/<version>/forward     doc_id, doc_len, counted (tokens with their counts)
     folder/<version>/postings    tok, doc_id, tf, doc_len; sorted by tok over range partitions
     folder/<version>/terms       tok, df, cf, idf
     folder/<version>/stats       n, avgdl
@@ -27,7 +28,7 @@ from ..operators import lexical, vectors
 from ..session import shared_folder
 
 MANIFEST = "collection string, signature string, n_vectors long, dim long, version string"
-TABLES = ("documents", "postings", "terms", "stats", "vectors")
+TABLES = ("documents", "forward", "postings", "terms", "stats", "vectors")
 INGREDIENTS = 1500
 SMALL = 128 << 20
 _HANDLES: dict[tuple[str, str], dict[str, DataFrame]] = {}
@@ -87,8 +88,10 @@ def write_index(documents: DataFrame, folder: str, collection: str = "documents"
         named = unique_ids(rows, "doc_id", order)
     spread(named).write.parquet(f"{at}/documents")
     stored = spark.read.parquet(f"{at}/documents")
-    lexical.postings(stored).repartitionByRange("tok").sortWithinPartitions("tok").write.parquet(f"{at}/postings")
-    lexical.corpus_stats(stored).write.parquet(f"{at}/stats")
+    lexical.forward(stored).write.parquet(f"{at}/forward")
+    forward = spark.read.parquet(f"{at}/forward")
+    lexical.postings(forward).repartitionByRange("tok").sortWithinPartitions("tok").write.parquet(f"{at}/postings")
+    lexical.corpus_stats(forward).write.parquet(f"{at}/stats")
     counts = lexical.frequencies(spark.read.parquet(f"{at}/postings"))
     lexical.term_stats(counts, spark.read.parquet(f"{at}/stats")).join(counts.select("tok", "cf"), "tok").write.parquet(f"{at}/terms")
     vectors.embedded(stored, dim, embed).write.parquet(f"{at}/vectors")

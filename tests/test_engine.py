@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from marlstone import engine
 from marlstone.config import Config, config_of, session_config
-from marlstone.operators import search
+from marlstone.operators import lexical, search
 from marlstone.sources import index
 
 HEAD = "Uniq Id,Product Name,Brand Name,Asin,Category,Selling Price,About Product,Ingredients,Rating,Review Snippets"
@@ -99,3 +99,13 @@ def test_settings_from_environment_and_session(spark):
     spark.conf.set("marlstone.embedding_model", "four")
     assert session_config(spark).embedding_model == "four"
     spark.conf.unset("marlstone.embedding_model")
+
+
+def test_terms_reach_the_scan(spark, csv, tmp_path):
+    config = Config(index_folder=str(tmp_path / "i"))
+    engine.build(spark, csv, config)
+    opened = engine.open_engine(spark, config)
+    found = lexical.scored(spark.createDataFrame([(1, "glass wax wax")], "qid long, text string"), opened.index)
+    plan = found._jdf.queryExecution().explainString(found._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "In(tok, [glass,wax])" in plan or "In(tok, [wax,glass])" in plan
+    assert {r.doc_id for r in found.collect()} == {"u1", "u2"}
