@@ -130,6 +130,7 @@ class Block:
         first = C.mix(words.h0 ^ seed)
         _, lead, self.ids, self.counts = np.unique(first, return_index=True, return_inverse=True, return_counts=True)
         self.h0, self.h1 = first[lead], C.mix(words.h1[lead] + seed[lead])
+        words.h0 = words.h1 = first[:0]  # not needed any more
 
     def names(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return combined(self.h0, places), (combined(self.h1, places) >> C.U64(32)).astype("<u4")
