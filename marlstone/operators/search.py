@@ -17,6 +17,7 @@ from ..session import materialise
 from . import hybrid, lexical, vectors
 
 FILTERS = "struct<price_max:double,price_min:double,min_rating:double,brand:string,material:string,category_contains:string>"
+FILTER_NAMES = tuple(f.split(":")[0] for f in FILTERS[7:-1].split(","))
 META = ("price", "rating", "brand", "material", "category")
 RESULT_COLUMNS = ("sku", "title", "price", "rating", "doc_id", "brand", "ingredients", "url", "price_per_oz", "score")
 
@@ -27,8 +28,7 @@ def filters_of(raw: Column) -> Column:
 
 
 def nonempty(filters: Column) -> Column:
-    names = [f.split(":")[0] for f in FILTERS[7:-1].split(",")]
-    return F.when(F.coalesce(*[filters[n].cast("string") for n in names]).isNotNull(), filters)
+    return F.when(F.coalesce(*[filters[n].cast("string") for n in FILTER_NAMES]).isNotNull(), filters)
 
 
 def clamped(k: Column, default: int = hybrid.TOP_K) -> Column:
@@ -36,39 +36,30 @@ def clamped(k: Column, default: int = hybrid.TOP_K) -> Column:
     return F.coalesce(F.when(k > 0, F.least(k, F.lit(20))), F.lit(default)).cast("int")
 
 
-def passes(f: Column) -> Column:
-    """Whether a row's metadata passes the filters; a missing value never passes a filter on it."""
-    ok = lambda asked, test: asked.isNull() | F.coalesce(test, F.lit(False))
-    same = lambda name: F.lower(F.col(name)) == F.lower(f[name])
-    return (
-        ok(f["price_max"], (F.col("price") >= 0) & (F.col("price") <= f["price_max"])) & ok(f["price_min"], F.col("price") >= f["price_min"])
-        & ok(f["min_rating"], F.col("rating") >= f["min_rating"]) & ok(f["brand"], same("brand")) & ok(f["material"], same("material"))
-        & ok(f["category_contains"], F.contains(F.lower("category"), F.lower(f["category_contains"])))
-    )
-
-
 def _mask(rows: pa.RecordBatch, asked: pa.Table) -> np.ndarray:
-    """passes() as a matrix of queries by rows, for the dense channel."""
-    out = np.ones((asked.num_rows, rows.num_rows), bool)
+    """Whether rows' metadata passes each query's filters, queries by rows; a missing value never passes a filter on it."""
+    asks = [tuple((f or {}).get(c) for c in FILTER_NAMES) for f in asked["filters"].to_pylist()]
+    distinct = {f: k for k, f in enumerate(dict.fromkeys(asks))}  # queries often share theirs
+    out = np.ones((len(distinct), rows.num_rows), bool)
     number = lambda c: np.array([np.nan if x is None else float(x) for x in rows[c].to_pylist()])
     words = lambda c: [None if x is None else x.lower() for x in rows[c].to_pylist()]
     price, rating = number("price"), number("rating")
     held = {c: words(c) for c in ("brand", "material", "category")}
     with np.errstate(invalid="ignore"):
-        for k, f in enumerate(asked["filters"].to_pylist()):
-            f = f or {}
-            if f.get("price_max") is not None:
+        for values, k in distinct.items():
+            f = dict(zip(FILTER_NAMES, values, strict=True))
+            if f["price_max"] is not None:
                 out[k] &= (price >= 0) & (price <= f["price_max"])
-            if f.get("price_min") is not None:
+            if f["price_min"] is not None:
                 out[k] &= price >= f["price_min"]
-            if f.get("min_rating") is not None:
+            if f["min_rating"] is not None:
                 out[k] &= rating >= f["min_rating"]
             for c in ("brand", "material"):
-                if f.get(c) is not None:
+                if f[c] is not None:
                     out[k] &= np.array([x == f[c].lower() for x in held[c]], bool)
-            if f.get("category_contains") is not None:
+            if f["category_contains"] is not None:
                 out[k] &= np.array([x is not None and f["category_contains"].lower() in x for x in held["category"]], bool)
-    return out
+    return out[[distinct[f] for f in asks]]
 
 
 def metadata_of(index: dict[str, DataFrame]) -> DataFrame:
@@ -89,8 +80,7 @@ def fused(queries: DataFrame, index: dict[str, DataFrame], alpha: float = hybrid
     meta = metadata_of(index)
     asked = asked.join(queries.select("qid", "filters"), "qid")
     dense = vectors.cosine_topk(asked, index["vectors"].join(meta, "doc_id"), candidates, overlap=overlap, allowed=_mask, extra=("filters",))
-    scored = lexical.scored(queries, index).join(queries.select("qid", "filters"), "qid").join(meta, "doc_id")
-    words = lexical.best(scored.filter(F.col("filters").isNull() | passes(F.col("filters"))).select("qid", "doc_id", "score"), candidates)
+    words = lexical.bm25(queries, index, top=candidates, meta=meta, allowed=_mask)
     return hybrid.fuse(dense, words, alpha, rrf_k)
 
 

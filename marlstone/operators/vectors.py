@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -10,64 +12,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bound
-from .lexical import best, counted
+from .lexical import lowered, text_blocks, token_runs
+from .topk import over_blocks
 
 DIM = 384
 QUERY_BLOCK = 1024  # queries that a pass over the vectors serves at once
 ROW_BLOCK = 2048
 
 
-def hash_bucket(token: Column, dim: int = DIM) -> Column:
-    """The token's 128-bit MD5 number modulo dim, folded from four 32-bit parts."""
-    step = (1 << 32) % dim
-
-    def fold(digest: Column) -> Column:
-        out = F.lit(0).cast("long")
-        for k in range(4):
-            out = F.pmod(out * step + F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long"), F.lit(dim))
-        return out.cast("long")
-
-    return bound(F.md5(token.cast("binary")), fold)
-
-
-def hash_sign(token: Column) -> Column:
-    return F.when(F.substring(F.md5(token.cast("binary")), 31, 1) >= "8", 1).otherwise(-1).cast("long")
-
-
-def hash_vector(text: Column, dim: int = DIM) -> Column:
-    """A text's sparse unit vector, array of (bucket, weight) by bucket, put together within the row; empty without tokens."""
-
-    def summed(rows: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(rows) - 1), lambda i: (i == 0) | (F.get(rows, i)["b"] != F.get(rows, i - 1)["b"]))
-        sums = bound(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(rows, i)["b"].alias("bucket"), F.aggregate(F.slice(rows, i + 1, F.coalesce(F.get(at, k + 1), F.size(rows)) - i), F.lit(0).cast("long"), lambda a, x: a + x["s"]).alias("s"))))
-        return F.filter(sums, lambda x: x["s"] != 0)
-
-    def unit(sums: Column) -> Column:
-        norm = F.sqrt(F.aggregate(sums, F.lit(0).cast("long"), lambda a, x: a + x["s"] * x["s"]).cast("double"))
-        return bound(norm, lambda n: F.transform(sums, lambda x: F.struct(x["bucket"].alias("bucket"), (x["s"] / n).alias("weight"))))
-
-    signed = F.array_sort(F.transform(counted(text), lambda x: F.struct(hash_bucket(x["tok"], dim).alias("b"), (x["tf"] * hash_sign(x["tok"])).alias("s"))))
-    none = F.array().cast("array<struct<bucket:bigint,weight:double>>")
-    return bound(signed, lambda rows: F.when(F.size(rows) == 0, none).otherwise(bound(summed(rows), unit)))
-
-
-def hash_embed(docs: DataFrame, dim: int = DIM) -> DataFrame:
-    """Sparse unit vectors (doc_id, bucket, weight) of docs(doc_id, text)."""
-    return docs.select("doc_id", F.inline(hash_vector(F.col("text"), dim)))
+@lru_cache(1 << 17)
+def hashed(token: str) -> tuple[int, int]:
+    """The token's 128-bit MD5 number, and the sign that its last byte's first bit gives."""
+    digest = hashlib.md5(token.encode(), usedforsecurity=False).digest()
+    return int.from_bytes(digest, "big"), 1 if digest[15] >= 128 else -1
 
 
 def dense_vectors(docs: DataFrame, dim: int = DIM) -> DataFrame:
-    """(doc_id, vec array<double>) of the documents whose hash vector isn't empty."""
-    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
-    before = lambda v, k: F.when(k > 0, F.get(v, k - 1)["bucket"]).otherwise(F.lit(-1).cast("long"))
+    """(doc_id, vec array<double>) of docs(doc_id, text): unit vectors of the tokens' signed counts by MD5 number modulo dim,
+    of the documents that have any."""
 
-    def filled(v: Column) -> Column:
-        """Zeros up to each component, the component, and zeros to the end."""
-        parts = F.transform(v, lambda x, k: F.concat(zeros(x["bucket"] - before(v, k) - 1), F.array(x["weight"])))
-        return F.flatten(F.concat(parts, F.array(zeros(dim - 1 - F.get(v, F.size(v) - 1)["bucket"]))))
+    def made(batches):
+        for part in text_blocks(batches):
+            for lo in range(0, part.num_rows, ROW_BLOCK):
+                rows = part.slice(lo, ROW_BLOCK)
+                _, names, row, tok, tf = token_runs(rows["text"])
+                signed = [hashed(t) for t in names.to_pylist()]
+                bucket, sign = np.array([h % dim for h, _ in signed], np.int64), np.array([s for _, s in signed], np.int64)
+                sums = np.bincount(row * dim + bucket[tok], tf * sign[tok], rows.num_rows * dim).reshape(rows.num_rows, dim)  # whole numbers
+                norm = np.sqrt((sums * sums).sum(1))
+                some = norm > 0
+                vec = (sums[some] / norm[some, None]).ravel()
+                yield pa.RecordBatch.from_arrays([rows["doc_id"].filter(pa.array(some)), pa.ListArray.from_arrays(pa.array(np.arange(some.sum() + 1, dtype=np.int32) * dim), pa.array(vec))], ["doc_id", "vec"])
 
-    sparse = docs.select("doc_id", hash_vector(F.col("text"), dim).alias("_v")).filter(F.size("_v") > 0)
-    return sparse.select("doc_id", bound(F.col("_v"), filled).alias("vec"))
+    return lowered(docs).mapInArrow(made, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, vec array<double>")
 
 
 def embedded(docs: DataFrame, dim: int = DIM, embed: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -91,9 +68,31 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
 
 
-def rounded(x: np.ndarray) -> np.ndarray:
-    """Four decimals, halves away from zero."""
-    return np.sign(x) * np.floor(np.abs(x) * 1e4 + 0.5) / 1e4
+def near(asked: pa.Table, overlap: bool):
+    """A scorer for topk.over_blocks: cosines of vectors and queries, over the components that a query has."""
+    q = matrix(asked["vec"].combine_chunks())
+    used = np.nonzero((q != 0).any(0))[0] if q.shape[1] else np.zeros(0, np.int64)
+    held, q_norm = np.ascontiguousarray(q[:, used]), np.sqrt((q * q).sum(1))
+
+    def score(batch: pa.RecordBatch):
+        v = matrix(batch["vec"])
+        part = np.ascontiguousarray(v[:, used])
+        norm = np.outer(q_norm, np.sqrt((v * v).sum(1)))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            raw = np.where(norm > 0, held @ part.T / norm, np.nan)
+
+        def meets(who, row, score):
+            """Pairs with a common non-zero component; only where the cosine is zero may there be none."""
+            fits = score != 0
+            if not fits.all():
+                asking, at = np.unique(who[~fits], return_inverse=True)
+                common = (held[asking] != 0).astype(np.float32) @ (part != 0).T.astype(np.float32)
+                fits[~fits] = common[at, row[~fits]] > 0
+            return fits
+
+        return raw, meets if overlap else None
+
+    return None, score
 
 
 def cosine_topk(queries: DataFrame, vectors: DataFrame, top: int, overlap: bool = False, allowed=None, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -105,46 +104,5 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, top: int, overlap: bool
     overlap leaves out pairs without a common non-zero component. allowed(rows, asked) is
     a boolean matrix over a batch of vectors and the block's queries, which have the
     columns `extra` too: filters act before ranking."""
-    spark = queries.sparkSession
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    numbered = queries.withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
-    columns = [c for c in vectors.columns if c not in ("doc_id", "vec")]
-    whole_id = lambda df, c: F.col(c) if df.schema[c].dataType.simpleString() == "string" else F.col(c).cast("long")
-    rows = vectors.select(whole_id(vectors, "doc_id").alias("doc_id"), "vec", *columns)
-    numbered = numbered.withColumn("qid", whole_id(queries, "qid"))
-    kinds = {"qid": numbered.schema["qid"].dataType.simpleString(), "doc_id": rows.schema["doc_id"].dataType.simpleString()}
-    found = None
-    for b in range(blocks):
-        held = spark.sparkContext.broadcast(numbered.filter(F.col("_block") == b).select("qid", F.col("vec").cast("array<double>").alias("vec"), *extra).toArrow())
-
-        def near(batches, held=held):
-            asked = held.value.combine_chunks()
-            if not asked.num_rows:
-                return
-            qids, q = asked["qid"].combine_chunks(), matrix(asked["vec"].combine_chunks())
-            q_norm = np.sqrt((q * q).sum(1))
-            text = kinds["doc_id"] == "string"
-            kept_id = np.zeros((len(qids), 0), "U1" if text else np.int64)
-            kept = np.zeros((len(qids), 0))
-            for whole in batches:
-                for lo in range(0, whole.num_rows, ROW_BLOCK):
-                    batch = whole.slice(lo, ROW_BLOCK)
-                    v = matrix(batch.column(1))
-                    norm = np.outer(q_norm, np.sqrt((v * v).sum(1)))
-                    cosine = np.where(norm > 0, rounded(q @ v.T / np.where(norm > 0, norm, 1)), -np.inf)
-                    if overlap:
-                        cosine = np.where((q != 0).astype(np.float32) @ (v != 0).T.astype(np.float32) > 0, cosine, -np.inf)
-                    if allowed is not None:
-                        cosine = np.where(allowed(batch, asked), cosine, -np.inf)
-                    ids = np.array(batch.column(0).to_pylist(), str) if text else batch.column(0).to_numpy()
-                    ids = np.broadcast_to(ids, cosine.shape)
-                    kept, kept_id = np.hstack([kept, cosine]), np.hstack([kept_id, ids])
-                    order = np.lexsort((kept_id, -kept), axis=1)[:, :top]
-                    kept, kept_id = np.take_along_axis(kept, order, 1), np.take_along_axis(kept_id, order, 1)
-            who, place = np.nonzero(kept > -np.inf)
-            yield pa.RecordBatch.from_arrays([qids.take(pa.array(who)), pa.array(kept_id[who, place]), pa.array(kept[who, place])], names=["qid", "doc_id", "score"])
-
-        part = rows.mapInArrow(near, f"qid {kinds['qid']}, doc_id {kinds['doc_id']}, score double")
-        found = part if found is None else found.unionByName(part)
-    return best(found, top)
+    asked = queries.select("qid", F.col("vec").cast("array<double>").alias("vec"), *extra)
+    return over_blocks(asked, vectors, top, max(1, -(-queries.count() // QUERY_BLOCK)), ROW_BLOCK, lambda block: near(block, overlap), allowed=allowed)
