@@ -50,6 +50,7 @@ SIMILAR_PERCENT = 80
 SUBKEYS = 12
 ROWS = 2
 CHUNK = 20_000
+FILE_EDGES = 4096  # of a round of components, to a file
 SIGNED = "doc_id long, text_key binary, n_shingles long, class binary, subkeys array<long>"
 
 
@@ -244,7 +245,10 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps: every node is tied to the smallest node
     known in its neighbourhood, until nothing changes any more, which takes a logarithmic
     number of rounds. Aggregates and equi-joins only; a hub's edges are split like those of
-    any join key. A round's table goes once the next one is written."""
+    any join key. A round's table goes once the next one is written. A round never has more
+    edges than it was given, so that few edges are a few files, however many partitions a
+    shuffle has: each file that a task writes costs processes for its permissions."""
+    files = max(1, -(-edges.count() // FILE_EDGES))
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         if large:
@@ -258,14 +262,14 @@ def components(edges: DataFrame) -> DataFrame:
         return tied.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
     state = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-    now = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().coalesce(files), "edges")
     before, settled = state(now), False
     while before[0] and not settled:
-        then, now = now, materialise(star(star(now, True), False), "edges")
+        then, now = now, materialise(star(star(now, True), False).coalesce(files), "edges")
         after = state(now)
         settled, before = after == before, after
         drop_materialised(then)
-    return now.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
+    return now.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node").coalesce(files)
 
 
 def grouped(docs: DataFrame, size: int = SHINGLE, percent: int = SIMILAR_PERCENT, subkeys: int = SUBKEYS, rows: int = ROWS, chunk: int = CHUNK) -> DataFrame:
