@@ -69,12 +69,13 @@ def whole_id(df: DataFrame, c: str) -> Column:
     return F.col(c) if df.schema[c].dataType.simpleString() == "string" else F.col(c).cast("long")
 
 
-def over_blocks(queries: DataFrame, rows: DataFrame, top: int, blocks: int, row_block: int, scorer: Callable, positive: bool = False, allowed: Callable | None = None) -> DataFrame:
+def over_blocks(queries: DataFrame, rows: DataFrame, top: int, blocks: int, row_block: int, scorer: Callable, positive: bool = False, allowed: Callable | None = None, ready: Callable | None = None) -> DataFrame:
     """(qid, doc_id, score, rank): the top of rows(doc_id, ...) for each of queries(qid, ...).
 
     scorer(asked) prepares a block of queries and returns a pair: at most how many rows it takes at once (none: row_block), and
     a function of a batch of rows that gives their raw scores (queries by rows) and what Kept.add asks, or None. allowed(batch, asked) is a
-    boolean matrix over a batch and the block's queries: filters act before ranking."""
+    boolean matrix over a batch and the block's queries: filters act before ranking. ready(rows, held), if any, makes what is
+    scored against a block of rows and the block, which is broadcast."""
     spark = queries.sparkSession
     numbered = queries.withColumn("qid", whole_id(queries, "qid")).withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
     if blocks > 1:
@@ -105,6 +106,6 @@ def over_blocks(queries: DataFrame, rows: DataFrame, top: int, blocks: int, row_
             if kept.ids is not None:
                 yield pa.RecordBatch.from_arrays([asked["qid"].combine_chunks().take(pa.array(kept.who)), pa.array(kept.ids), pa.array(kept.score)], names=["qid", "doc_id", "score"])
 
-        part = rows.mapInArrow(near, f"qid {kinds['qid']}, doc_id {kinds['doc_id']}, score double")
+        part = (rows if ready is None else ready(rows, held)).mapInArrow(near, f"qid {kinds['qid']}, doc_id {kinds['doc_id']}, score double")
         found = part if found is None else found.unionByName(part)
     return best(found, top)

@@ -69,6 +69,18 @@ def test_pairs_are_not_shuffled(spark, shop):
     assert "MapInArrow" in plan and "Join" not in plan and plan.count("Exchange hash") == 1
 
 
+def test_filters_shuffle_no_tokens(spark, shop):
+    """Metadata meet the counts of the queries' terms, by number, and not each document's tokens."""
+    plan = lexical.bm25(asked(spark), shop, meta=search.metadata_of(shop), allowed=search._mask)._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan[plan.index("Join") :]
+    assert joined.index("MapInArrow cut") < joined.index("counted#")
+    held = spark.sparkContext.broadcast(spark.createDataFrame([(1, [("b", 1.0), ("zz", 1.0)]), (2, [("aa", 1.0), ("b", 1.0)])], "qid long, terms array<struct<tok:string,weight:double>>").toArrow())
+    words = lexical.block_terms(held.value.combine_chunks())[1].dictionary.to_pylist()
+    got = {r.doc_id: (r.doc_len, sorted(zip([words[a] for a in r.at], r.tf, strict=True))) for r in lexical.cut_to_terms(shop["forward"], held).collect()}
+    every = {r.doc_id: (r.doc_len, sorted((t.tok, t.tf) for t in r.counted if t.tok in words)) for r in shop["forward"].collect()}
+    assert got == {k: v for k, v in every.items() if v[1]} and len(got) < len(every)
+
+
 def test_overlap_where_cosine_is_zero(spark):
     """Components that cancel are a common component; none in common is no pair."""
     queries = spark.createDataFrame([(1, [1.0, 1.0, 0.0]), (2, [0.0, 0.0, 2.0])], "qid long, vec array<double>")
