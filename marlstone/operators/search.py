@@ -121,9 +121,11 @@ def responses(queries: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def relaxed(queries: DataFrame, index: dict[str, DataFrame], **parameters) -> DataFrame:
-    """search(), and once more without filters for queries with filters that found nothing: adds `relaxed`."""
+    """search(), and once more without filters for queries with filters that found nothing: adds `relaxed`.
+
+    The second search has no column of filters, so that it needs no metadata of documents."""
     first = materialise(search(queries, index, **parameters).withColumn("relaxed", F.lit(False)), "found")
-    again = queries.filter(F.col("filters").isNotNull()).join(first.select("qid").distinct(), "qid", "left_anti").withColumn("filters", F.lit(None).cast(FILTERS))
+    again = queries.filter(F.col("filters").isNotNull()).join(first.select("qid").distinct(), "qid", "left_anti").drop("filters")
     return first.unionByName(search(again, index, **parameters).withColumn("relaxed", F.lit(True)))
 
 

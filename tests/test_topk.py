@@ -81,6 +81,17 @@ def test_filters_shuffle_no_tokens(spark, shop):
     assert got == {k: v for k, v in every.items() if v[1]} and len(got) < len(every)
 
 
+def test_relaxed_search_needs_no_metadata(spark, shop, monkeypatch):
+    """Only the first search joins documents with their metadata; the second has no filters to hold them against."""
+    searched = []
+    plain = search.search
+    monkeypatch.setattr(search, "search", lambda queries, *rest, **more: searched.append("filters" in queries.columns) or plain(queries, *rest, **more))
+    none = asked(spark).withColumn("filters", search.filters_of(F.lit('{"price_max": 0.001, "price_min": 0.001}')))
+    got = {(r.qid, r["rank"]): (r.doc_id, r.score, r.relaxed) for r in search.relaxed(none, shop).collect()}
+    assert searched == [True, False]
+    assert got and got == {(r.qid, r["rank"]): (r.doc_id, r.score, True) for r in plain(none.drop("filters"), shop).collect()}
+
+
 def test_overlap_where_cosine_is_zero(spark):
     """Components that cancel are a common component; none in common is no pair."""
     queries = spark.createDataFrame([(1, [1.0, 1.0, 0.0]), (2, [0.0, 0.0, 2.0])], "qid long, vec array<double>")
