@@ -92,7 +92,7 @@ def test_relaxed_search_needs_no_metadata(spark, shop, monkeypatch):
     assert got and got == {(r.qid, r["rank"]): (r.doc_id, r.score, True) for r in plain(none.drop("filters"), shop).collect()}
 
 
-@pytest.mark.parametrize("name", ["provenance", "groundedness"])
+@pytest.mark.parametrize("name", ["provenance", "groundedness", "citations_merge"])
 def test_citing_plans_score_once(spark, sf, name):
     """What reads a list several times reads it from where it was written."""
     from marlstone.plans import QUERIES
