@@ -591,7 +591,7 @@ def turn_end_to_end(spark, d) -> DataFrame:
 def stream_usage_monthly(spark, d) -> DataFrame:
     from ..streaming.state import event_stream, monthly_usage
 
-    return monthly_usage(event_stream(spark, d).withColumnRenamed("event_type", "provider"))
+    return monthly_usage(event_stream(spark, d, "event_type").withColumnRenamed("event_type", "provider"))
 
 
 @query(f"""with recursive o as (select user_id, event_type, epoch_us(ts) as t, row_number() over (partition by user_id, event_type order by ts) as n from events),
@@ -601,7 +601,7 @@ select user_id, event_type, arg_max(hits, n) as hits, max(n) - arg_max(hits, n)
 def stream_ttl_cache(spark, d) -> DataFrame:
     from ..streaming.state import cached_requests, event_stream
 
-    rows = cached_requests(event_stream(spark, d).withColumnRenamed("event_id", "id"), ["user_id", "event_type"], TTL)
+    rows = cached_requests(event_stream(spark, d, "user_id", "event_type").withColumnRenamed("event_id", "id"), ["user_id", "event_type"], TTL)
     return rows.groupBy("user_id", "event_type").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
 
 
@@ -610,4 +610,4 @@ from (select event_id, user_id, epoch_us(ts) as t, row_number() over (partition
 def stream_throttle(spark, d) -> DataFrame:
     from ..streaming.state import event_stream, throttled
 
-    return throttled(event_stream(spark, d).withColumnRenamed("event_id", "id"), ["user_id"], 60_000_000).select(F.col("id").alias("call_id"), "start")
+    return throttled(event_stream(spark, d, "user_id").withColumnRenamed("event_id", "id"), ["user_id"], 60_000_000).select(F.col("id").alias("call_id"), "start")

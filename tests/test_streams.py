@@ -1,6 +1,7 @@
 """Streams over several files in disorder give what batch gives, and their state ends."""
 
 import collections
+import glob
 import random
 
 from pyspark.sql import functions as F
@@ -53,6 +54,26 @@ def test_later_rows_are_dropped_and_idle_keys_go(spark, tmp_path):
     assert waiting.count() == 0
 
 
+def test_many_keys_share_state_and_batches_have_several_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "BUCKETS", 8)
+    rng, folder, keys = random.Random(3), f"{tmp_path}/e", ["user_id", "name", "day", "raw"]
+    rows = [(rng.randrange(700), rng.choice(["a", None]), (1 << 60) + k, 1_700_000_000 + rng.randrange(20_000)) for k in range(3000)]
+    rows = spark.createDataFrame(rows, "user_id long, name string, event_id long, s long").select("user_id", "name", F.timestamp_micros(F.lit(1_699_999_999_123_456)).alias("day"), F.unhex(F.lit("FF00")).alias("raw"), "event_id", F.timestamp_seconds("s").alias("ts"))
+    S.deal_in_files(rows, folder, files=2, parts=3)
+    assert len(glob.glob(f"{folder}/*.parquet")) == 2 * 3 + 1
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", S.ROCKS)
+    stream = S.folded(S.files_stream(spark, folder, rows.schema, 3).withColumnRenamed("event_id", "id"), keys, S.cache_step(600), "hit")
+    seen = []
+    query = stream.writeStream.outputMode("append").option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).foreachBatch(lambda df, _: seen.extend(map(tuple, df.collect()))).start()
+    query.awaitTermination()
+    asked = [p for p in query.recentProgress if p["stateOperators"]]
+    assert sum(p["numInputRows"] > 1 for p in asked) == 2
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in asked) < 100  # of some 1,400 keys
+    want = batch.cached(rows, keys, 600, "event_id").select(*keys, "event_id", F.col("hit").cast("long"))
+    order = lambda found: sorted(map(tuple, found), key=lambda r: r[-2])
+    assert order(seen) == order(want.collect())
+
+
 def test_steps():
     step, state, got = S.cache_step(1), None, []
     for at in (0, 999_999, 1_000_000, 1_500_000, 2_500_000):
