@@ -59,12 +59,13 @@ def embedder_of(config: Config, loaders: Loaders | None = None) -> tuple[Callabl
     return models.embedder(loaders[config.embedder]), f"{config.embedder}:{config.embedding_model}"
 
 
-def build(spark: SparkSession, csv: str, config: Config, loaders: Loaders | None = None) -> DataFrame:
-    """Catalogue files to an index in the folder that settings name: a new version of it. Returns the summary of what was read."""
+def build(spark: SparkSession, csv: str, config: Config, loaders: Loaders | None = None, postings: bool = True) -> DataFrame:
+    """Catalogue files to an index in the folder that settings name: a new version of it. Returns the summary of what was read.
+    Searches need no postings; lookups by token do."""
     embed, name = embedder_of(config, loaders)
     tables = f"{config.index_folder}/tables"
     summary = catalog.ingest(spark, csv, tables)
-    index.write_index(catalog.index_documents(*catalog.load(spark, tables)), f"{config.index_folder}/{config.collection}", config.collection, config.dim, embed, name)
+    index.write_index(catalog.index_documents(*catalog.load(spark, tables)), f"{config.index_folder}/{config.collection}", config.collection, config.dim, embed, name, postings)
     return summary
 
 

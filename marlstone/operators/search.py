@@ -6,7 +6,9 @@ url, price_per_oz (those that are there)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +45,9 @@ def _mask(rows: pa.RecordBatch, asked: pa.Table) -> np.ndarray:
     out = np.ones((len(distinct), rows.num_rows), bool)
     number = lambda c: np.array([np.nan if x is None else float(x) for x in rows[c].to_pylist()])
     words = lambda c: [None if x is None else x.lower() for x in rows[c].to_pylist()]
-    price, rating = number("price"), number("rating")
-    held = {c: words(c) for c in ("brand", "material", "category")}
+    uses = lambda *names: any(f[FILTER_NAMES.index(n)] is not None for f in distinct for n in names)
+    price, rating = number("price") if uses("price_max", "price_min") else None, number("rating") if uses("min_rating") else None
+    held = {c: words(c) for c in ("brand", "material") if uses(c)} | ({"category": words("category")} if uses("category_contains") else {})
     with np.errstate(invalid="ignore"):
         for values, k in distinct.items():
             f = dict(zip(FILTER_NAMES, values, strict=True))
@@ -64,24 +67,52 @@ def _mask(rows: pa.RecordBatch, asked: pa.Table) -> np.ndarray:
 
 def metadata_of(index: dict[str, DataFrame]) -> DataFrame:
     """doc_id and the columns that filters look at; those that the index lacks are null."""
-    docs = index["documents"]
+    return index["documents"].select("doc_id", *meta_columns(index["documents"].columns))
+
+
+def meta_columns(there: Sequence[str]) -> list[Column]:
+    """META in its types; those that aren't there are null."""
     kinds = {"price": "double", "rating": "double"}
-    return docs.select("doc_id", *[(F.col(c) if c in docs.columns else F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in META])
+    return [(F.col(c) if c in there else F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in META]
+
+
+def with_meta(rows: DataFrame, index: dict[str, DataFrame]) -> DataFrame | None:
+    """rows of the index with META, where it keeps the documents' own in that table; none where they are elsewhere."""
+    if not set(META).intersection(index["documents"].columns) <= set(rows.columns):
+        return None
+    return rows.select(*[c for c in rows.columns if c not in META], *meta_columns(rows.columns))
+
+
+def same(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of queries(qid, text, [filters]) the first of those that ask the same, and (qid, _as): whose answer each takes."""
+    by = [c for c in ("text", "filters") if c in queries.columns]
+    first = materialise(queries.groupBy(*by).agg(F.min("qid").alias("qid")), "asked")
+    asks = first.select(F.col("qid").alias("_as"), *[F.col(c).alias(f"_{c}") for c in by])
+    agree = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    return first, queries.join(asks, reduce(and_, agree)).select("qid", "_as")
 
 
 def fused(queries: DataFrame, index: dict[str, DataFrame], alpha: float = hybrid.ALPHA, candidates: int = lexical.CANDIDATES, rrf_k: int = hybrid.RRF_K, dim: int = vectors.DIM, embed: Callable[[Column], Column] | None = None) -> DataFrame:
     """(qid, doc_id, vec_rank, bm25_rank, fused) for queries(qid, text, [filters]): one predicate for both channels.
 
-    embed and dim are those that the index was built with. Hash vectors without a common component don't meet."""
+    embed and dim are those that the index was built with. Hash vectors without a common component don't meet.
+    Queries of one text and the same filters are asked once, and each takes that answer."""
+    asking = queries
+    queries, takes = same(asking)
+    each = lambda rows: rows.withColumnRenamed("qid", "_as").join(takes, "_as").select("qid", "doc_id", "vec_rank", "bm25_rank", "fused")
     filtered, overlap = "filters" in queries.columns, embed is None
     asked = vectors.embedded(queries.select(F.col("qid").alias("doc_id"), "text"), dim, embed).withColumnRenamed("doc_id", "qid")
     if not filtered:
-        return hybrid.fuse(vectors.cosine_topk(asked, index["vectors"], candidates, overlap=overlap), lexical.bm25(queries, index, top=candidates), alpha, rrf_k)
-    meta = metadata_of(index)
+        bare = index["vectors"].select("doc_id", "vec")
+        return each(hybrid.fuse(vectors.cosine_topk(asked, bare, candidates, overlap=overlap), lexical.bm25(queries, index, top=candidates), alpha, rrf_k))
     asked = asked.join(queries.select("qid", "filters"), "qid")
-    dense = vectors.cosine_topk(asked, index["vectors"].join(meta, "doc_id"), candidates, overlap=overlap, allowed=_mask, extra=("filters",))
-    words = lexical.bm25(queries, index, top=candidates, meta=meta, allowed=_mask)
-    return hybrid.fuse(dense, words, alpha, rrf_k)
+    rows, texts, meta = with_meta(index["vectors"], index), with_meta(index["forward"], index), metadata_of(index)
+    dense = vectors.cosine_topk(asked, index["vectors"].select("doc_id", "vec").join(meta, "doc_id") if rows is None else rows, candidates, overlap=overlap, allowed=_mask, extra=("filters",))
+    if texts is None:
+        words = lexical.bm25(queries, index, top=candidates, meta=meta, allowed=_mask)
+    else:
+        words = lexical.bm25(queries, index | {"forward": texts}, top=candidates, own=META, allowed=_mask)
+    return each(hybrid.fuse(dense, words, alpha, rrf_k))
 
 
 def search(queries: DataFrame, index: dict[str, DataFrame], k: int = 0, alpha: float = hybrid.ALPHA, candidates: int = lexical.CANDIDATES, scorer: Callable[[DataFrame], DataFrame] | None = None, **space) -> DataFrame:

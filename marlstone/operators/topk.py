@@ -98,9 +98,16 @@ def over_blocks(queries: DataFrame, rows: DataFrame, top: int, blocks: int, row_
                 while lo < whole.num_rows:
                     batch = whole.slice(lo, step)
                     lo, step = lo + step, min(most, 2 * step)
+                    if allowed is not None:
+                        fits = allowed(batch, asked)
+                        some = fits.any(0)
+                        if not some.all():
+                            batch, fits = batch.filter(pa.array(some)), fits[:, some]  # rows that no query allows aren't scored
+                        if not batch.num_rows:
+                            continue
                     raw, agrees = score(batch)
                     if allowed is not None:
-                        raw = np.where(allowed(batch, asked), raw, np.nan)
+                        raw = np.where(fits, raw, np.nan)
                     ids = batch["doc_id"]
                     kept.add(raw, np.array(ids.to_pylist(), str) if kinds["doc_id"] == "string" else ids.to_numpy(zero_copy_only=False), agrees)
             if kept.ids is not None:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bound
-from .lexical import lowered, text_blocks, token_runs
+from .lexical import lowered, text_blocks, token_runs, types_of
 from .topk import over_blocks
 
 DIM = 384
@@ -27,8 +27,8 @@ def hashed(token: str) -> tuple[int, int]:
     return int.from_bytes(digest, "big"), 1 if digest[15] >= 128 else -1
 
 
-def dense_vectors(docs: DataFrame, dim: int = DIM) -> DataFrame:
-    """(doc_id, vec array<double>) of docs(doc_id, text): unit vectors of the tokens' signed counts by MD5 number modulo dim,
+def dense_vectors(docs: DataFrame, dim: int = DIM, also: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, vec array<double>, *also) of docs(doc_id, text, *also): unit vectors of the tokens' signed counts by MD5 number modulo dim,
     of the documents that have any."""
 
     def made(batches):
@@ -42,16 +42,17 @@ def dense_vectors(docs: DataFrame, dim: int = DIM) -> DataFrame:
                 norm = np.sqrt((sums * sums).sum(1))
                 some = norm > 0
                 vec = (sums[some] / norm[some, None]).ravel()
-                yield pa.RecordBatch.from_arrays([rows["doc_id"].filter(pa.array(some)), pa.ListArray.from_arrays(pa.array(np.arange(some.sum() + 1, dtype=np.int32) * dim), pa.array(vec))], ["doc_id", "vec"])
+                held = pa.array(some)
+                yield pa.RecordBatch.from_arrays([rows["doc_id"].filter(held), pa.ListArray.from_arrays(pa.array(np.arange(some.sum() + 1, dtype=np.int32) * dim), pa.array(vec)), *(rows[c].filter(held) for c in also)], ["doc_id", "vec", *also])
 
-    return lowered(docs).mapInArrow(made, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, vec array<double>")
+    return lowered(docs, also=also).mapInArrow(made, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, vec array<double>{types_of(docs, also)}")
 
 
-def embedded(docs: DataFrame, dim: int = DIM, embed: Callable[[Column], Column] | None = None) -> DataFrame:
-    """(doc_id, vec) of docs(doc_id, text): hash vectors, or what embed makes of the text, which must have dim components."""
+def embedded(docs: DataFrame, dim: int = DIM, embed: Callable[[Column], Column] | None = None, also: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, vec, *also) of docs(doc_id, text, *also): hash vectors, or what embed makes of the text, which must have dim components."""
     if embed is None:
-        return dense_vectors(docs, dim)
-    made = docs.select("doc_id", embed(F.col("text")).cast("array<double>").alias("vec"))
+        return dense_vectors(docs, dim, also)
+    made = docs.select("doc_id", embed(F.col("text")).cast("array<double>").alias("vec"), *also)
     wrong = F.raise_error(F.format_string(f"the embedder gave %d components, not {dim}", F.size("vec"))).cast("array<double>")
     return made.withColumn("vec", F.when(F.size("vec") == dim, F.col("vec")).otherwise(wrong))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.routing import contains_any
+from ..ordering import ranged, shifts
 from ..session import materialise
 
 CATEGORIES = ["clean", "household", "cleaning", "deterg", "dish", "laundry", "polish", "wipe", "disinfect", "bath"]
@@ -35,16 +36,14 @@ def catalog_slice(raw: DataFrame, keywords: list[str] = CATEGORIES, column: str
 def with_ids(raw: DataFrame) -> DataFrame:
     """One id for products and reviews: the unique id, else the ASIN, else the row's number in the slice.
 
-    Rows are numbered within their partitions, written once, and shifted by what the
+    Rows are numbered within partitions of their order, written once, and shifted by what the
     partitions before hold, so that both tables read the same numbers."""
     if "_id" in raw.columns:
         return raw
-    part = F.shiftright("_ord", 33)  # where the reader had the row
-    rows = materialise(raw.withColumn("_part", part), "catalog")
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    shift = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    number = F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy("_ord")) - 1
-    numbered = rows.join(F.broadcast(shift), "_part").withColumn("_number", F.lpad(number.cast("string"), 5, "0")).drop("_part", "_before")
+    rows = ranged(raw, ["_ord"], "catalog")
+    shift = materialise(shifts(rows, [], F.lit(1)), "shifts")  # a row for each partition
+    number = F.col("_before") + F.col("_row")
+    numbered = rows.join(F.broadcast(shift), "_part").withColumn("_number", F.lpad(number.cast("string"), 5, "0")).drop("_part", "_row", "_before")
     asin = F.coalesce(F.nullif(F.trim("Asin"), F.lit("")), F.concat(F.lit("ROW"), "_number"))
     return numbered.withColumn("_asin", asin).withColumn("_id", F.coalesce(F.nullif(F.trim("Uniq Id"), F.lit("")), F.col("_asin")))
 
@@ -82,7 +81,7 @@ def exploded(rows: DataFrame, column: str, delimiter: str) -> DataFrame:
 
 def ingest(spark: SparkSession, path: str, out: str) -> DataFrame:
     """Write both tables and return the summary of what was read."""
-    raw = raw_catalog(spark, path)
+    raw = materialise(raw_catalog(spark, path), "raw")  # a file with rows of several lines is read by one task, so once
     sliced = with_ids(catalog_slice(raw))
     products(sliced).write.mode("overwrite").parquet(f"{out}/products")
     reviews(sliced).write.mode("overwrite").parquet(f"{out}/reviews")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.operators import lexical, search, topk, vectors
-from marlstone.sources import index
+from marlstone.sources import catalog, index
 
 TEXTS = ["The  cat, the CAT-9", "", None, "é!ü", "Kelvin İstanbul x", "end", "9start a_b", "a" * 300, "no-token:\n\t!", "tail cat"]
 
@@ -82,6 +82,48 @@ def test_filters_shuffle_no_tokens(spark, shop):
     assert got == {k: v for k, v in every.items() if v[1]} and len(got) < len(every)
 
 
+def test_equal_queries_are_asked_once(spark, shop, monkeypatch):
+    """Of equal texts and filters one is asked, and each gets what it would alone; null texts and filters are equal too."""
+    filters = search.filters_of(F.col("raw"))
+    rows = [(k, ["a bb", "c", None][k % 3], [None, '{"price_max": 4}'][k % 2]) for k in range(24)] + [(99, "a bb", '{"price_max": 4, "brand": "x"}')]
+    queries = spark.createDataFrame(rows, "qid long, text string, raw string").select("qid", "text", filters.alias("filters"))
+    counted, plain = [], {}
+    for module, name in ((vectors, "cosine_topk"), (lexical, "bm25")):
+        plain[name] = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda q, *rest, name=name, **more: counted.append(q.count()) or plain[name](q, *rest, **more))
+    lists = lambda q: {r: sorted(map(tuple, found)) for r, found in ((i, [x[1:] for x in got if x.qid == i]) for got in [search.fused(q, shop).collect()] for i in {x.qid for x in got})}
+    for q, most in ((queries, 7), (queries.drop("filters"), 3)):
+        counted.clear()
+        got = lists(q)
+        assert len(counted) == 2 and max(counted) <= most
+        assert {k for k, t, _ in rows if t} == set(got)
+        for k in (0, 1, 4, 99):
+            assert got[k] == lists(q.filter(f"qid = {k}"))[k]
+
+
+def test_filters_read_the_index_own_columns(spark, shop):
+    """What filters look at lies in the tables that are scored, so that no vector is shuffled for it; where it is elsewhere, it is joined."""
+    plan = search.fused(asked(spark), shop)._jdf.queryExecution().optimizedPlan().toString()
+    assert "/documents" not in plan and "store_id" not in plan and "price" in shop["vectors"].columns
+    bare = shop | {"vectors": shop["vectors"].select("doc_id", "vec"), "forward": shop["forward"].select("doc_id", "doc_len", "counted")}
+    rows = lambda index: sorted(tuple(r) for r in search.fused(asked(spark), index).collect())
+    assert rows(shop) == rows(bare)
+
+
+def test_batches_that_no_query_allows(spark, tmp_path):
+    docs = spark.createDataFrame([(k, "a b", float(k)) for k in range(300)], "doc_id long, text string, price double").coalesce(1)
+    index.write_index(docs, str(tmp_path))
+    queries = spark.createDataFrame([(1, "b")], "qid long, text string").select("qid", "text", search.filters_of(F.lit('{"price_min": 290}')).alias("filters"))
+    assert {r.doc_id for r in search.fused(queries, index.open_index(spark, str(tmp_path))).collect()} == set(range(290, 300))
+
+
+def test_rows_are_numbered_in_their_order(spark):
+    """Over any partitions, and by the order that the reader saw, of which a slice leaves some out."""
+    raw = spark.range(100).select((F.col("id") * 7 + F.when(F.col("id") > 40, 1 << 33).otherwise(0)).alias("_ord"), F.lit("").alias("Asin"), F.lit("").alias("Uniq Id"), F.col("id"))
+    got = {r.id: r._id for r in catalog.with_ids(raw.repartition(7)).collect()}
+    assert got == {k: f"ROW{k:05d}" for k in range(100)}
+
+
 def test_relaxed_search_needs_no_metadata(spark, shop, monkeypatch):
     """Only the first search joins documents with their metadata; the second has no filters to hold them against."""
     searched = []
